@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import crc_of_id, table
 
 #: Block and allow rules of the url query: fixed values.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -19,6 +19,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .progressive_jpeg import read, store
+
+    return read(store(table(spark, sf_dir, "documents")), tensors=False)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict, sample, train
+
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_of_id(F.col("doc_id"), 3)
+    model = train(*sample(docs, "lang", F.coalesce(fold != 1, F.lit(True))))
+    return predict(docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_of_id(F.col("doc_id"), 4)
+    model = fit(docs, table(spark, sf_dir, "labels"), "quality", fold != 2)
+    return score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -80,7 +104,7 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op7_source_mixing, op8_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
