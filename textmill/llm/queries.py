@@ -34,6 +34,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import fit, score
 
@@ -104,7 +110,7 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
