@@ -109,8 +109,14 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(table(spark, sf_dir, "documents"), F.coalesce(crc_of_id(F.col("doc_id"), 5) != 1, F.lit(True)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
