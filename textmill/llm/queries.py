@@ -115,8 +115,16 @@ def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), F.coalesce(crc_of_id(F.col("doc_id"), 5) != 1, F.lit(True)))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
