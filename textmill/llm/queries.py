@@ -25,6 +25,12 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(store(table(spark, sf_dir, "documents")), tensors=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_classes
+
+    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict, sample, train
 
@@ -124,7 +130,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
