@@ -335,35 +335,43 @@ def spans(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
 CUT = "hash string, n_bytes long, kept binary, removed array<struct<start: long, stop: long>>"
 
 
-def _cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
-    raw, copies, names = _texts(texts) if texts.num_rows else ([], [], [])
-    parts = [replies.column(c).to_pylist() for c in ("contexts", "least", "most")]
-    wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in parts[0]] or [np.zeros(0, np.uint64)])
-    least, most = (np.concatenate([np.frombuffer(x, np.uint8) for x in p] or [np.zeros(0, np.uint8)]).astype(np.int64) for p in parts[1:])
-    order = np.argsort(wanted)
-    wanted, least, most = wanted[order], least[order], most[order]
-    found: dict[int, list[tuple[int, int]]] = {}
-    if len(wanted):
-        for before, a in _runs_of(raw):
-            c = a.contexts()
-            at = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
-            hit = np.flatnonzero(wanted[at] == c)
-            inside = a.at[hit] - a.joined.starts[a.text[hit]]
-            first, last = inside - most[at[hit]], inside - least[at[hit]] + SPAN
-            edges = np.searchsorted(a.text[hit], np.arange(len(a.joined.lengths) + 1))
-            for t in np.flatnonzero(np.diff(edges)).tolist():
-                found[before + t] = spans(first[edges[t] : edges[t + 1]], last[edges[t] : edges[t + 1]])
-    rows = []
-    for i, (t, n, h) in enumerate(zip(raw, copies, names)):
-        gone = [(0, len(t))] if n > 1 and len(t) >= SPAN else found.get(i, [])
-        edges = [0, *(x for s in gone for x in s), len(t)]
-        kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2])) if gone else t
-        rows.append((h, len(t), kept, [{"start": a, "stop": b} for a, b in gone]))
-    return _table(rows, "hash n_bytes kept removed", pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+def _cut(whole_characters: bool):
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        raw, copies, names = _texts(texts) if texts.num_rows else ([], [], [])
+        parts = [replies.column(c).to_pylist() for c in ("contexts", "least", "most")]
+        wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in parts[0]] or [np.zeros(0, np.uint64)])
+        least, most = (np.concatenate([np.frombuffer(x, np.uint8) for x in p] or [np.zeros(0, np.uint8)]).astype(np.int64) for p in parts[1:])
+        order = np.argsort(wanted)
+        wanted, least, most = wanted[order], least[order], most[order]
+        found: dict[int, list[tuple[int, int]]] = {}
+        if len(wanted):
+            for before, a in _runs_of(raw):
+                c = a.contexts()
+                at = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[at] == c)
+                inside = a.at[hit] - a.joined.starts[a.text[hit]]
+                first, last = inside - most[at[hit]], inside - least[at[hit]] + SPAN
+                edges = np.searchsorted(a.text[hit], np.arange(len(a.joined.lengths) + 1))
+                for t in np.flatnonzero(np.diff(edges)).tolist():
+                    found[before + t] = spans(first[edges[t] : edges[t + 1]], last[edges[t] : edges[t + 1]])
+        rows = []
+        for i, (t, n, h) in enumerate(zip(raw, copies, names)):
+            gone = [(0, len(t))] if n > 1 and len(t) >= SPAN else found.get(i, [])
+            edges = [0, *(x for s in gone for x in s), len(t)]
+            kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2])) if gone else t
+            if whole_characters and gone:
+                kept = kept.decode("utf-8", "ignore").encode()
+            rows.append((h, len(t), kept, [{"start": a, "stop": b} for a, b in gone]))
+        return _table(rows, "hash n_bytes kept removed", pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+
+    return run
+
 
+def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, kept (the bytes that stay) and removed (the spans that go).
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_bytes, kept (the bytes that stay) and removed (the spans that go)."""
+    A span may begin or end inside a character; with ``whole_characters`` what is left of such characters is not kept.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
@@ -374,6 +382,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = asked.groupBy("part").applyInArrow(_tell, "block int, keys binary")
     sent = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(parts), "part int, block int, contexts binary, many binary, run binary")
     merged = sent.groupBy("part").applyInArrow(_merge, "block int, contexts binary, least binary, most binary")
-    cut = dealt.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_cut, CUT)
+    cut = dealt.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_cut(whole_characters), CUT)
     kept = [c for c in docs.columns if c not in ("n_bytes", "kept", "removed", "of_hash")]
     return docs.select(*kept, F.md5(text.cast("binary")).alias("of_hash")).join(cut, F.col("of_hash") == F.col("hash")).drop("of_hash", "hash")
