@@ -1,0 +1,165 @@
+"""Weak labels, classification measures, evaluation cases and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.values import FIELDS
+from ..operators import cases, labeling, profile
+from .corpus_queries import ARTICLES, arts
+from .registry import query, read
+from .text_queries import KEY
+
+#: Keywords that occur in the invented test texts; the label set is the fixed one.
+TEST_KEYWORDS = {"event": ["the and", "heating"], "research": ["tion", "keit"], "teaching": ["leaux", "mente"], "extension": ["ndly"]}
+_HITS = " UNION ALL ".join(f"SELECT '{label}' AS label, '{w}' AS word" for label, words in TEST_KEYWORDS.items() for w in words)
+_PLACE = "CASE label " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(labeling.PRIORITY)) + " END"
+WEAK = f"weak AS (SELECT doc_id, coalesce(min_by(label, {_PLACE}), 'other') AS label, count(word)::BIGINT AS hits FROM (SELECT doc_id, {KEY} AS key FROM documents) d LEFT JOIN ({_HITS}) k ON contains(d.key, k.word) GROUP BY doc_id)"
+
+
+def weak(spark, sf_dir):
+    w = labeling.weak_label(F.col("text"), TEST_KEYWORDS)
+    hits = F.reduce(F.map_values("w.matches"), F.lit(0), lambda n, m: n + F.size(m))
+    return read(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.col("w.label").alias("label"), hits.cast("long").alias("hits"))
+
+
+@query(f"WITH {WEAK} SELECT doc_id, label, hits FROM weak")
+def c10_weak_label(spark, sf_dir):
+    return weak(spark, sf_dir)
+
+
+@query(f"WITH {WEAK} SELECT label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent FROM weak GROUP BY 1")
+def c10_weak_distribution(spark, sf_dir):
+    return profile.distribution(weak(spark, sf_dir), "label")
+
+
+PREDICTED = "cm AS (SELECT quality::VARCHAR AS truth, (CASE WHEN n_chars >= 700 THEN 1 ELSE 0 END)::VARCHAR AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL)"
+BY_CLASS = """g AS (SELECT truth AS label, sum(n) AS support FROM cm GROUP BY 1), s AS (SELECT predicted AS label, sum(n) AS said FROM cm GROUP BY 1), r AS (SELECT truth AS label, n AS hits FROM cm WHERE truth = predicted),
+b AS (SELECT label, coalesce(support, 0) AS support, CASE WHEN coalesce(said, 0) = 0 THEN 0.0 ELSE coalesce(hits, 0)::DOUBLE / said END AS p, CASE WHEN coalesce(support, 0) = 0 THEN 0.0 ELSE coalesce(hits, 0)::DOUBLE / support END AS r FROM g FULL JOIN s USING (label) LEFT JOIN r USING (label)),
+bc AS (SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1, support::BIGINT AS support FROM b)"""
+
+
+def _confusion(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("quality", F.when(F.col("n_chars") >= 700, 1).otherwise(0).alias("rule"))
+    return labeling.confusion(rows, "quality", "rule")
+
+
+@query(f"WITH {PREDICTED} SELECT truth, predicted, n FROM cm")
+def a28_confusion(spark, sf_dir):
+    return _confusion(spark, sf_dir)
+
+
+@query(f"WITH {PREDICTED}, {BY_CLASS} SELECT label, precision, recall, f1, support FROM bc")
+def a27_by_class(spark, sf_dir):
+    return labeling.by_class(_confusion(spark, sf_dir))
+
+
+@query(f"WITH {PREDICTED}, {BY_CLASS} SELECT round((SELECT sum(n) FILTER (truth = predicted)::DOUBLE / sum(n) FROM cm), 4) AS accuracy, round(avg(f1), 4) AS macro_f1, round(sum(f1 * support)::DOUBLE / sum(support), 4) AS weighted_f1 FROM bc")
+def a26_metrics(spark, sf_dir):
+    return labeling.summary(_confusion(spark, sf_dir))
+
+
+ORDER = "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
+_TRUTH = {"who": "environment", "what": "title", "when": "published", "where": "unit", "why": "''", "how": "CASE WHEN words > 100 THEN 'by mail' ELSE '' END", "source": "article_id", "unit": "unit"}
+CASE = f"""c AS (SELECT doc_id, (2 + doc_id % 4)::INT AS depth, MAP {{{', '.join(f"'{f}': trim({e})" for f, e in _TRUTH.items())}}} AS truth FROM {ARTICLES}),
+o AS (SELECT *, list_filter({ORDER}, lambda f: truth[f] <> '' AND f <> 'what') AS present FROM c),
+ch AS (SELECT *, list_transform(list_slice(list_sort(list_transform(present, lambda f: sha256('42:' || doc_id::VARCHAR || ':' || f) || f)), 1, depth), lambda x: lower(truth[substr(x, 65)])) AS gone FROM o),
+m AS (SELECT *, list_filter(present, lambda f: list_contains(gone, lower(truth[f]))) AS removed FROM ch), a AS (SELECT *, list_filter({ORDER}, lambda f: truth[f] <> '' AND NOT list_contains(removed, f)) AS available FROM m)"""
+LABEL_MAP = "MAP {" + ", ".join(f"'{f}': '{v}'" for f, v in cases.LABELS.items()) + "}"
+
+
+def masked_cases(spark, sf_dir):
+    rows = arts(spark, sf_dir)
+    truth = cases.ground_truth(who=F.col("environment"), what=F.col("title"), when=F.col("published"), where=F.col("unit"), how=F.when(F.col("words") > 100, "by mail").otherwise(""), source=F.col("article_id"), unit=F.col("unit"))
+    return cases.masked(rows.select("doc_id", truth.alias("truth"), (2 + F.col("doc_id") % 4).cast("int").alias("depth")), "truth", 42, "doc_id", "depth")
+
+
+@query(f"WITH {CASE} SELECT doc_id, array_to_string(removed, ',') AS removed, array_to_string(available, ',') AS available, len(removed)::INT AS mask_depth, array_to_string(list_transform(available, lambda f: {LABEL_MAP}[f] || ': ' || truth[f] || '.'), ' ') || ' {cases.ENDING}' AS pitch FROM a")
+def c25_masked_case(spark, sf_dir):
+    rows = masked_cases(spark, sf_dir)
+    kept = F.filter(F.array(*map(F.lit, FIELDS)), lambda f: F.map_contains_key("available", f))
+    rows = rows.withColumns({"pitch": cases.pitch(F.col("available")), "kept": kept})
+    return rows.select("doc_id", F.array_join("removed_fields", ",").alias("removed"), F.array_join("kept", ",").alias("available"), "mask_depth", "pitch")
+
+
+@query(f"WITH {CASE} SELECT doc_id, array_to_string(list_filter({ORDER}, lambda f: NOT list_contains(available, f)), ',') AS missing, least(5, len(list_filter({ORDER}, lambda f: NOT list_contains(available, f))))::INT AS n_questions, truth['who'] = coalesce(CASE WHEN list_contains(available, 'who') THEN truth['who'] END, truth['who']) AS who_kept FROM a WHERE NOT contains(truth['what'], ':') AND truth['what'] <> ''")
+def c26_extract_missing(spark, sf_dir):
+    rows = masked_cases(spark, sf_dir).where("not contains(truth['what'], ':') and truth['what'] <> ''").withColumn("pitch", cases.pitch(F.col("available")))
+    rows = rows.withColumn("found", cases.extract(F.col("pitch"))).withColumn("missing", cases.missing(F.col("pitch"), F.col("found")))
+    same = F.coalesce(F.try_element_at("found", F.lit("who")), F.try_element_at("truth", F.lit("who"))) == F.try_element_at("truth", F.lit("who"))
+    return rows.select("doc_id", F.array_join("missing", ",").alias("missing"), F.size(cases.questions(F.col("missing"))).alias("n_questions"), same.alias("who_kept"))
+
+
+@query(f"WITH {CASE} SELECT field, count(*) AS removed FROM (SELECT unnest(removed) AS field FROM a) GROUP BY 1")
+def a20_removed_fields(spark, sf_dir):
+    return masked_cases(spark, sf_dir).select(F.explode("removed_fields").alias("field")).groupBy("field").agg(F.count("*").alias("removed"))
+
+
+def outputs(spark, sf_dir):
+    """Four configurations for each case: each asks about other fields and supports other numbers of claims."""
+    rows = masked_cases(spark, sf_dir).select(F.col("doc_id").alias("case_id"), "removed_fields")
+    config = F.explode(F.array(*(F.struct(F.lit(c).alias("configuration"), F.lit(i).alias("k")) for i, c in enumerate(cases.CONFIGURATIONS))))
+    rows = rows.select("case_id", "removed_fields", config.alias("x")).select("case_id", "removed_fields", "x.*")
+    asked = F.slice(F.array(*map(F.lit, FIELDS + FIELDS)), F.col("k") + 1, F.col("k") + 2)
+    return rows.withColumns({"asked": asked, "claims": (F.col("case_id") % 5).cast("int"), "supported": F.least((F.col("case_id") % 5).cast("int"), F.col("k"))})
+
+
+OUTPUTS = f"{CASE}, x AS (SELECT doc_id AS case_id, removed, configuration, k, list_slice(list_concat({ORDER}, {ORDER}), k + 1, 2 * k + 2) AS asked, (doc_id % 5)::INT AS claims, least(doc_id % 5, k)::INT AS supported FROM a, (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(cases.CONFIGURATIONS)) + ") v(configuration, k))"
+SCORED = f"""{OUTPUTS}, sc AS (SELECT case_id, configuration, round((8 - len(removed)) / 8.0::DOUBLE, 4) AS completeness, CASE WHEN claims = 0 THEN 1.0 ELSE round(supported::DOUBLE / claims, 4) END AS factual_precision, CASE WHEN claims = 0 THEN 0.0 ELSE round((claims - supported)::DOUBLE / claims, 4) END AS hallucination_rate,
+round(len(list_filter(asked, lambda q: list_contains(removed, q)))::DOUBLE / len(asked), 4) AS question_relevance, CASE WHEN len(removed) = 0 THEN 1.0 ELSE round(len(list_intersect(removed, asked))::DOUBLE / len(removed), 4) END AS question_coverage FROM x)"""
+MEASURES = ["completeness", "factual_precision", "hallucination_rate", "question_relevance", "question_coverage"]
+
+
+def scored(spark, sf_dir):
+    rows = outputs(spark, sf_dir)
+    measures = cases.score(F.col("removed_fields"), F.col("asked"), F.col("asked"), F.col("claims"), F.col("supported"))
+    return rows.select("case_id", "configuration", *(measures[m].cast("double").alias(m) for m in MEASURES))
+
+
+@query(f"WITH {SCORED} SELECT case_id, configuration, {', '.join(MEASURES)} FROM sc")
+def c30_score(spark, sf_dir):
+    return scored(spark, sf_dir)
+
+
+@query(f"WITH {SCORED} SELECT configuration, {', '.join(f'round(avg({m}), 4) AS {m}' for m in MEASURES)}, count(*) AS cases, list_position(['{chr(39) + ', ' + chr(39)}'], configuration)::INT AS place FROM sc GROUP BY configuration".replace("['', '']", "[" + ", ".join(f"'{c}'" for c in cases.CONFIGURATIONS) + "]"))
+def a19_comparison(spark, sf_dir):
+    return cases.compare(scored(spark, sf_dir), MEASURES)
+
+
+@query("""WITH o AS (SELECT user_id AS case_id, event_type AS configuration, CASE WHEN event_id % 400 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 300 = 0 THEN 'bad' ELSE '' END AS parse_error FROM events), c AS (SELECT case_id, count(DISTINCT configuration) AS kinds, count(*) AS n, count_if(status <> 'ok') AS failed, count_if(parse_error <> '') AS unparsed FROM o GROUP BY 1)
+SELECT 'incomplete_cases' AS check_name, count_if(kinds < 4)::BIGINT AS offending FROM c UNION ALL SELECT 'repeated_outputs', count_if(n > kinds)::BIGINT FROM c UNION ALL SELECT 'failed_cases', count_if(failed > 0)::BIGINT FROM c UNION ALL SELECT 'unparsed_cases', count_if(unparsed > 0)::BIGINT FROM c""")
+def a30_audit(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("configuration"), F.when(F.col("event_id") % 400 == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("event_id") % 300 == 0, "bad").otherwise("").alias("parse_error"))
+    return cases.audit(rows)
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS versions, count(*) AS saves FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+def c33_checkpoint_conflicts(spark, sf_dir):
+    return cases.checkpoint_conflicts(read(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+_LABELS = "(SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'Campus ' || lower(n_name) WHEN 2 THEN n_name || ' - ' || c_mktsegment ELSE c_name END AS label FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+_MATCHED = f"""l AS (SELECT DISTINCT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS key FROM {_LABELS}), n AS (SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS k, n_nationkey::VARCHAR AS code FROM nation), a AS (SELECT k, code FROM n UNION ALL SELECT 'campus ' || k, code FROM n),
+m AS (SELECT label, min(a.code) AS exact_code, min_by(n.code, n.code::INT) AS rule_code FROM l LEFT JOIN a ON a.k = l.key LEFT JOIN n ON contains(l.key, n.k) GROUP BY label)"""
+
+
+def _units(spark, sf_dir):
+    from ..functions.text import comparison_key
+    from ..operators import units
+
+    nation = read(spark, sf_dir, "nation").select(comparison_key(F.col("n_name")).alias("k"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_nationkey").alias("ord"))
+    aliases = nation.select(F.col("k").alias("alias_key"), "code").union(nation.select(F.concat(F.lit("campus "), "k"), "code"))
+    people = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    kind = F.col("c_custkey") % 4
+    label = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat(F.lit("Campus "), F.lower("n_name"))).when(kind == 2, F.concat_ws(" - ", "n_name", "c_mktsegment")).otherwise(F.col("c_name"))
+    return units.match_units(people.select(label.alias("label")), "label", aliases, nation.select(F.col("k").alias("fragment"), "code", "ord"))
+
+
+@query(f"WITH {_MATCHED} SELECT label, coalesce(exact_code, rule_code) AS code, CASE WHEN exact_code IS NOT NULL THEN 'exact_match' ELSE 'rule_match' END AS status FROM m WHERE exact_code IS NOT NULL OR rule_code IS NOT NULL")
+def c4_unit_exact_rule(spark, sf_dir):
+    return _units(spark, sf_dir).where("status in ('exact_match', 'rule_match')").select("label", "code", "status")
+
+
+@query()
+def c4_unit_fuzzy(spark, sf_dir):
+    return _units(spark, sf_dir)

@@ -1,0 +1,41 @@
+"""Streams over the event files, run until all is read; the SQL is the same over the whole table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources.scratch import shared_dir
+from ..streaming import events
+from .registry import query
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE value > 10")
+def st1_resume(spark, sf_dir):
+    """Two runs with one checkpoint: the second finds nothing new."""
+    base = f"{shared_dir(spark)}/resume-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rows = events.stream(spark, sf_dir, "events").where("value > 10").select("event_id", "event_type", "value")
+        found = events.drain(rows, "append", f"{base}/checkpoint", f"{base}/table")
+    return found
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def st2_dedupe(spark, sf_dir):
+    return events.drain(events.first_seen(events.stream(spark, sf_dir, "events"), "user_id", "event_type"), "append")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL")
+def st6_tumbling(spark, sf_dir):
+    return events.drain(events.tumbling(events.stream(spark, sf_dir, "events"), "1 hour", "event_type"), "complete")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL")
+def st6_sliding(spark, sf_dir):
+    return events.drain(events.sliding(events.stream(spark, sf_dir, "events"), "2 hours", "1 hour", "event_type"), "complete")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def st6_session(spark, sf_dir):
+    return events.drain(events.sessions(events.stream(spark, sf_dir, "events"), "30 minutes", "user_id"), "complete")
