@@ -55,24 +55,25 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken for each row."""
+    """``docs`` with size, source_size, target, copies and taken for each row; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in ADDED]
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
-    measured = docs.withColumns({"size": words(F.col("text")), "order_key": key}).withColumns({"class": size_class(F.col("size")), "salt": F.substring("order_key", 1, 2)})
-    cells = measured.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    plan = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("class", "salt")) - F.col("n")
-    cells = cells.withColumn("before", before).select(F.col("source").alias("of"), F.col("class").alias("in_class"), F.col("salt").alias("in_salt"), "before")
-    plan = plan.select(F.col("source").alias("from"), "source_size", "target")
-    ranked = measured.withColumn("row", F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("order_key")))
-    joined = ranked.join(cells, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in_class")) & (F.col("salt") == F.col("in_salt")), "left").join(plan, F.col("source").eqNullSafe(F.col("from")), "left")
+    measured = docs.select(*kept, F.col("source").alias("_source"), words(F.col("text")).alias("size"), key.alias("_key")).withColumns({"_class": size_class(F.col("size")), "_salt": F.substring("_key", 1, 2)})
+    cells = measured.groupBy("_source", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    plan = targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")))
+    before = F.sum("n").over(Window.partitionBy("_source").orderBy("_class", "_salt")) - F.col("n")
+    cells = cells.withColumn("_before", before).select(F.col("_source").alias("_of"), F.col("_class").alias("_in_class"), F.col("_salt").alias("_in_salt"), "_before")
+    plan = plan.select(F.col("source").alias("_from"), "source_size", "target")
+    ranked = measured.withColumn("_row", F.row_number().over(Window.partitionBy("_source", "_class", "_salt").orderBy("_key")))
+    joined = ranked.join(cells, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_class") == F.col("_in_class")) & (F.col("_salt") == F.col("_in_salt")), "left").join(plan, F.col("_source").eqNullSafe(F.col("_from")), "left")
     each = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size")))
-    offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rank = F.col("before") + F.col("row")
+    offset = F.conv(F.substring(F.md5(F.coalesce("_source", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    rank = F.col("_before") + F.col("_row")
     copies = (F.floor(rank * each + offset) - F.floor((rank - 1) * each + offset)).cast("long")
     done = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return done.select(*docs.columns, *ADDED)
+    return done.select(*kept, *ADDED)
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as it was taken."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

@@ -363,7 +363,7 @@ def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     firsts = ids.groupBy("hash").agg(F.min("own_id").alias("first_id"))
     classes = sets.select("hash", F.col("n").alias("n_shingles")).join(firsts, "hash").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component"))
-    classes = stage(classes.join(least, "root").select(F.col("hash").alias("of_hash"), "n_shingles", "component"), "classes")
-    kept = [c for c in docs.columns if c not in ("n_shingles", "component_id", "row_hash")]
-    joined = docs.select(*kept, F.md5(text.cast("binary")).alias("row_hash")).join(classes, F.col("row_hash") == F.col("of_hash"))
-    return joined.select(*kept, "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    classes = stage(classes.join(least, "root").select(F.col("hash").alias("_hash"), F.col("n_shingles").alias("_shingles"), F.col("component").alias("_component")), "classes")
+    kept = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
+    joined = docs.select(*kept, F.md5(text.cast("binary")).alias("_row_hash")).join(classes, F.col("_row_hash") == F.col("_hash"))
+    return joined.select(*kept, F.col("_shingles").alias("n_shingles"), F.when(F.col("_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))

@@ -383,5 +383,5 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
     sent = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(parts), "part int, block int, contexts binary, many binary, run binary")
     merged = sent.groupBy("part").applyInArrow(_merge, "block int, contexts binary, least binary, most binary")
     cut = dealt.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_cut(whole_characters), CUT)
-    kept = [c for c in docs.columns if c not in ("n_bytes", "kept", "removed", "of_hash")]
-    return docs.select(*kept, F.md5(text.cast("binary")).alias("of_hash")).join(cut, F.col("of_hash") == F.col("hash")).drop("of_hash", "hash")
+    kept = [c for c in docs.columns if c not in ("n_bytes", "kept", "removed")]
+    return docs.select(*kept, F.md5(text.cast("binary")).alias("_row_hash")).join(cut.withColumnRenamed("hash", "_hash"), F.col("_row_hash") == F.col("_hash")).drop("_row_hash", "_hash")
