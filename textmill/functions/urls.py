@@ -36,7 +36,8 @@ def path(url: Column) -> Column:
 
 def normalize_path(p: Column) -> Column:
     """One leading slash, no empty segments, no dots; a trailing slash stays."""
-    segments = F.filter(F.split(F.regexp_replace(p, ";[^/]*$", ""), "/"), lambda s: ~s.isin("", "."))
+    p = F.regexp_replace(p, ";[^/]*$", "")
+    segments = F.filter(F.split(p, "/"), lambda s: ~s.isin("", "."))
     folded = F.reduce(segments, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
     joined = F.concat(F.lit("/"), F.array_join(folded, "/"))
     return F.when(F.endswith(p, F.lit("/")) & (joined != "/"), F.concat(joined, F.lit("/"))).otherwise(joined)

@@ -163,3 +163,13 @@ def c4_unit_exact_rule(spark, sf_dir):
 @query()
 def c4_unit_fuzzy(spark, sf_dir):
     return _units(spark, sf_dir)
+
+
+@query()
+def c11_train(spark, sf_dir):
+    """Accuracy and F1 of a trained model on the documents that its training did not see."""
+    from ..operators import classify, sampling
+
+    docs = sampling.split(read(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "text", "lang"), "lang", 42, "doc_id", {"train": 0.8, "test": 0.2})
+    model = classify.train(docs.where("part = 'train'"), "text", "lang", "hashed_logistic")
+    return labeling.summary(labeling.confusion(classify.predict(model, docs.where("part = 'test'")), "lang", "predicted"))
