@@ -31,6 +31,28 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM cut
+), shingles AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)
+), both_ways AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(node, other) AS (
+  SELECT DISTINCT x, x FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.other
+), least AS (
+  SELECT node, min(other) AS least FROM reach GROUP BY 1
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id FROM sets LEFT JOIN least ON node = doc_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict, sample, train
 
@@ -129,9 +151,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM raw, LATERAL (SELECT unnest(range(length(h) // 2 - 199)) AS i)
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS far, lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL AS first FROM repeated
+), numbered AS (
+  SELECT doc_id, i, sum((far OR first)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM marked
+), spans AS (
+  SELECT doc_id, span, min(i) AS start, max(i) + 200 AS stop FROM numbered GROUP BY ALL
+), gaps AS (
+  SELECT doc_id, span, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM spans
+), cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY span) AS head, max(stop) AS last FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM raw LEFT JOIN cut USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
