@@ -2,7 +2,7 @@
 
 A text is the average of the embeddings of its hashed byte n-grams; a linear layer and a softmax give the
 languages. Embeddings and layer are trained by stochastic gradient descent in numpy on at most ``PER_LABEL``
-documents of each label (the bound of the training sample, taken in hash order), whole and as short extracts.
+different texts of each label (the bound of the training sample, taken in hash order), whole and as short extracts.
 A quarter of the sample is held back for calibration: a temperature for the softmax and the score below which a
 prediction is rejected. As averaging and the layer are both linear, each bucket is stored as its score per
 language, and a text is read once, whatever the width of the embeddings.
@@ -26,7 +26,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 from .common import slices, text_bytes
 
 UNKNOWN = "und"
-PER_LABEL = 1200
+PER_LABEL = 1000
 BUCKET_BITS = 15
 WIDTH = 16
 GRAMS = (2, 3, 4)
@@ -157,11 +157,17 @@ def train(texts: list[bytes], given: list[str], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, label: str, usable: Column) -> tuple[list[bytes], list[str]]:
-    """At most PER_LABEL documents of each label, in the order of a hash of their texts."""
+    """At most PER_LABEL different texts of each label, in the order of a hash of the texts.
+
+    Only labels and hashes are ranked; the texts of the chosen ones are picked up in a second scan.
+    """
     rows = docs.where(usable & F.col("text").isNotNull() & F.col(label).isNotNull()).select(F.col("text"), F.col(label).alias("label"), F.md5(F.col("text").cast("binary")).alias("h"))
     first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    found = sorted(map(tuple, rows.withColumn("n", first).where(F.col("n") <= PER_LABEL).select("h", "label", "text").collect()))
-    return [t.encode() for _, _, t in found], [g for _, g, _ in found]
+    chosen = rows.select("label", "h").distinct().withColumn("n", first).where(F.col("n") <= PER_LABEL).select("label", "h")
+    held = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "label string, h string")  # PER_LABEL rows a label
+    found = {(r["h"], r["label"]): r["text"] for r in rows.join(F.broadcast(held), ["label", "h"], "left_semi").select("h", "label", "text").dropDuplicates(["h", "label"]).collect()}
+    ordered = sorted(found)
+    return [found[k].encode() for k in ordered], [g for _, g in ordered]
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
