@@ -58,16 +58,18 @@ def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken for each row; columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in ADDED]
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
-    measured = docs.select(*kept, F.col("source").alias("_source"), words(F.col("text")).alias("size"), key.alias("_key")).withColumns({"_class": size_class(F.col("size")), "_salt": F.substring("_key", 1, 2)})
+    of = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null, so that joins and windows share one exchange
+    measured = docs.select(*kept, of.alias("_source"), words(F.col("text")).alias("size"), key.alias("_key")).withColumns({"_class": size_class(F.col("size")), "_salt": F.substring("_key", 1, 2)})
     cells = measured.groupBy("_source", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    plan = targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")))
+    named = F.when(F.col("_source") != "", F.substr("_source", F.lit(2)))
+    plan = targets(cells.groupBy("_source").agg(F.sum("words").alias("source_size")).select(named.alias("source"), "source_size"))
+    plan = plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), "source_size", "target")
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_class", "_salt")) - F.col("n")
-    cells = cells.withColumn("_before", before).select(F.col("_source").alias("_of"), F.col("_class").alias("_in_class"), F.col("_salt").alias("_in_salt"), "_before")
-    plan = plan.select(F.col("source").alias("_from"), "source_size", "target")
+    cells = cells.withColumn("_before", before).join(plan, "_source").select("_source", "_class", "_salt", "_before", "source_size", "target")
     ranked = measured.withColumn("_row", F.row_number().over(Window.partitionBy("_source", "_class", "_salt").orderBy("_key")))
-    joined = ranked.join(cells, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_class") == F.col("_in_class")) & (F.col("_salt") == F.col("_in_salt")), "left").join(plan, F.col("_source").eqNullSafe(F.col("_from")), "left")
+    joined = ranked.join(cells, ["_source", "_class", "_salt"])  # in place: rows are already dealt by these
     each = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size")))
-    offset = F.conv(F.substring(F.md5(F.coalesce("_source", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    offset = F.conv(F.substring(F.md5(F.substr("_source", F.lit(2)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rank = F.col("_before") + F.col("_row")
     copies = (F.floor(rank * each + offset) - F.floor((rank - 1) * each + offset)).cast("long")
     done = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
