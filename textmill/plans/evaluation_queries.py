@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.values import FIELDS
-from ..operators import cases, labeling, profile
+from ..operators import briefings, cases, labeling, profile
 from .corpus_queries import ARTICLES, arts
 from .registry import query, read
-from .text_queries import KEY
+from .text_queries import COLLAPSED, KEY
 
 #: Keywords that occur in the invented test texts; the label set is the fixed one.
 TEST_KEYWORDS = {"event": ["the and", "heating"], "research": ["tion", "keit"], "teaching": ["leaux", "mente"], "extension": ["ndly"]}
@@ -173,3 +173,53 @@ def c11_train(spark, sf_dir):
     docs = sampling.split(read(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "text", "lang"), "lang", 42, "doc_id", {"train": 0.8, "test": 0.2})
     model = classify.train(docs.where("part = 'train'"), "text", "lang", "hashed_logistic")
     return labeling.summary(labeling.confusion(classify.predict(model, docs.where("part = 'test'")), "lang", "predicted"))
+
+_FIRST = f"(SELECT CASE WHEN contains(c, '. ') THEN split_part(c, '. ', 1) || '.' WHEN contains(c, '! ') THEN split_part(c, '! ', 1) || '!' WHEN contains(c, '? ') THEN split_part(c, '? ', 1) || '?' ELSE left(c, 240) END FROM (SELECT {COLLAPSED.replace('text', 'body')} AS c))"
+PITCHED = f"""p AS (SELECT doc_id, unit, title, environment, published, {_FIRST} AS f, length(title) + length({_FIRST}) + least(length(body), 500) AS q FROM {ARTICLES}), pi AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY q DESC, doc_id) AS place FROM p QUALIFY row_number() OVER (PARTITION BY unit ORDER BY q DESC, doc_id) <= 25)"""
+
+
+def pitched(spark, sf_dir):
+    return briefings.pitches(arts(spark, sf_dir), "unit", 25).withColumnRenamed("unit", "label")
+
+
+@query(f"WITH {PITCHED} SELECT doc_id, unit AS label, place::INT AS place, 'Write about: ' || f AS pitch, 'where' AS missing FROM pi WHERE title <> ''")
+def c20_pitches(spark, sf_dir):
+    return pitched(spark, sf_dir).where("expected_what <> ''").select("doc_id", "label", "place", "pitch", F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"WITH {PITCHED} SELECT doc_id, 'fixed_form' AS configuration, concat_ws(chr(10), 'Title: ' || title, 'Lead: Write about: ' || f, 'Body: who: ' || environment || '; what: ' || title || '; when: ' || published || '; unit: ' || unit, 'Source: ' || environment) AS briefing, 0 AS questions FROM pi WHERE title <> '' UNION ALL SELECT doc_id, 'direct', 'Text: Write about: ' || f, 0 FROM pi WHERE title <> '' UNION ALL SELECT doc_id, 'rules_retrieval', concat_ws(chr(10), 'Summary: Write about: ' || f, 'Confirmed: who: ' || environment || '; what: ' || title || '; when: ' || published || '; unit: ' || unit, 'Missing: where'), 1 FROM pi WHERE title <> ''")
+def c21_briefings(spark, sf_dir):
+    return briefings.briefings(pitched(spark, sf_dir).where("expected_what <> ''")).select("doc_id", "configuration", "briefing", F.size("questions").alias("questions"))
+
+
+@query(f"WITH {PITCHED} SELECT configuration, count(*) AS n FROM pi, (VALUES ('fixed_form'), ('direct'), ('rules_retrieval')) v(configuration) GROUP BY 1")
+def c22_briefing_counts(spark, sf_dir):
+    return briefings.scores(briefings.briefings(pitched(spark, sf_dir))).groupBy("configuration").agg(F.count("*").alias("n"))
+
+
+@query()
+def c22_briefing_scores(spark, sf_dir):
+    return briefings.scores(briefings.briefings(pitched(spark, sf_dir)))
+
+
+@query()
+def c36_questions(spark, sf_dir):
+    return briefings.flatten_questions(briefings.briefings(pitched(spark, sf_dir)))
+
+
+@query()
+def f10_claims(spark, sf_dir):
+    written = briefings.briefings(pitched(spark, sf_dir)).where("configuration = 'fixed_form'")
+    return briefings.audit_claims(written.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "briefing", "text")
+
+
+@query()
+def t18_strict_pitch(spark, sf_dir):
+    from ..functions import text
+
+    return arts(spark, sf_dir).select("doc_id", briefings.strict_pitch(F.col("title"), text.lead(F.split("body", "\n")), F.col("body")).alias("pitch"))
+
+
+@query()
+def t21_anonymize(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", briefings.anonymize(F.col("text"), "the institute", ["erin", "inor"], ["And Then"]).alias("text"))
