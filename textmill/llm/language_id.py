@@ -33,7 +33,7 @@ GRAMS = (2, 3, 4)
 EPOCHS = 4
 RATE = 0.6
 #: Share of rightly labelled calibration texts that may be rejected, and the largest score that rejects.
-REJECTED, MOST = 0.0005, 0.5
+REJECTED, MOST = 0.0005, 0.35
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
