@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
+from ..sources.scratch import stage
 from .graph import components
 
 TITLE_LEAST, BODY_LEAST = 95, 90
 LARGEST_BLOCK = 350
+CELL = 512
 BODY_CHARS = 4000
 
 
@@ -27,20 +29,25 @@ def exact_edges(df: DataFrame, key_of: dict[str, tuple[Column, float]], node: st
     return found
 
 
-def blocked_pairs(df: DataFrame, keys: Column, node: str = "doc_id", largest: int = LARGEST_BLOCK) -> DataFrame:
+def blocked_pairs(df: DataFrame, keys: Column, node: str = "doc_id", largest: int | None = None) -> DataFrame:
     """Different pairs (a, b), a < b, of rows that share one of an array of block keys.
 
-    As in the operator that this reproduces, blocks above ``largest`` are left out; see :func:`oversized_blocks`.
+    Large blocks are dealt into cells of about CELL rows, and each two cells meet in a task of their own. Only with
+    ``largest`` are blocks above it left out; see :func:`oversized_blocks`.
     """
-    keyed = df.select(F.col(node), F.explode(F.array_distinct(keys)).alias("block")).where("block <> ''")
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where(f"n between 2 and {largest}").select("block")
-    kept = keyed.join(sizes, "block", "left_semi")
-    return kept.withColumnRenamed(node, "a").join(kept.withColumnRenamed(node, "b"), "block").where("a < b").select("a", "b").distinct()
+    keyed = df.select(F.col(node).alias("node"), F.explode(F.array_distinct(keys)).alias("block")).where("block <> ''")
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1" if largest is None else f"n between 2 and {largest}")
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    placed = keyed.join(sizes, "block").select("node", "block", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("own"))
+    low = placed.select("block", F.col("own").alias("low"), F.explode(F.sequence("own", F.col("cells") - 1)).alias("high"), F.col("node").alias("x"))
+    high = placed.select("block", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("low"), F.col("own").alias("high"), F.col("node").alias("y"))
+    met = low.join(high, ["block", "low", "high"]).where("x < y or low < high and x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def oversized_blocks(df: DataFrame, keys: Column, largest: int = LARGEST_BLOCK) -> DataFrame:
-    """The blocks that :func:`blocked_pairs` leaves out, with their sizes."""
-    return df.select(F.explode(F.array_distinct(keys)).alias("block")).groupBy("block").agg(F.count("*").alias("n")).where(f"n > {largest}")
+    """The blocks that :func:`blocked_pairs` leaves out with the same ``largest``, with their sizes."""
+    return df.select(F.explode(F.array_distinct(keys)).alias("block")).where("block <> ''").groupBy("block").agg(F.count("*").alias("n")).where(f"n > {largest}")
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -74,6 +81,22 @@ def may_reach(a: Column, b: Column, least: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
 
 
+def lengths_fit(a: Column, b: Column) -> Column:
+    """False only where bodies of these lengths cannot be alike."""
+    return F.abs(a - b) <= (1 - (BODY_LEAST - 0.5) / 100) * (a + b)
+
+
+def scored_titles(both: DataFrame) -> DataFrame:
+    """With ``title_score`` of a_title and b_title, 0 where it cannot be TITLE_LEAST."""
+    near = may_reach(F.col("a_title"), F.col("b_title"), TITLE_LEAST)
+    return both.withColumn("title_score", F.when(near, indel_score(F.when(near, F.col("a_title")), F.when(near, F.col("b_title")))).otherwise(0))
+
+
+def scored_bodies(both: DataFrame) -> DataFrame:
+    """The pairs whose bodies are alike, with ``body_score``."""
+    return both.withColumn("body_score", indel_score("a_body", "b_body")).where(F.col("body_score") >= BODY_LEAST)
+
+
 def fuzzy_edges(pairs: DataFrame, rows: DataFrame, title: str, body: str, dedupable: str, safe: Column | None = None, node: str = "doc_id") -> DataFrame:
     """Edges for pairs (a, b) with alike titles, or else alike bodies if both are dedupable.
 
@@ -81,15 +104,40 @@ def fuzzy_edges(pairs: DataFrame, rows: DataFrame, title: str, body: str, dedupa
     """
     side = lambda s: rows.select(F.col(node).alias(s), F.col(title).alias(f"{s}_title"), F.left(F.col(body), F.lit(BODY_CHARS)).alias(f"{s}_body"), F.col(dedupable).alias(f"{s}_ok"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = may_reach(F.col("a_title"), F.col("b_title"), TITLE_LEAST)
-    scored = both.withColumn("title_score", F.when(near, indel_score(F.when(near, F.col("a_title")), F.when(near, F.col("b_title")))).otherwise(0))
+    scored = scored_titles(both)
     by_title = (F.col("title_score") >= TITLE_LEAST) & (F.lit(True) if safe is None else safe)
     titled = scored.where(by_title).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("title_similarity").alias("reason"), (F.col("title_score") / 100).alias("confidence"))
-    rest = scored.where(~by_title & F.col("a_ok") & F.col("b_ok")).where(F.abs(F.length("a_body") - F.length("b_body")) <= (1 - (BODY_LEAST - 0.5) / 100) * (F.length("a_body") + F.length("b_body")))
-    bodied = rest.withColumn("body_score", indel_score("a_body", "b_body")).where(F.col("body_score") >= BODY_LEAST)
+    bodied = scored_bodies(scored.where(~by_title & F.col("a_ok") & F.col("b_ok")).where(lengths_fit(F.length("a_body"), F.length("b_body"))))
     return titled.union(bodied.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
 
 
+def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable: str, node: str = "doc_id") -> DataFrame:
+    """Edges that connect what :func:`fuzzy_edges` connects over all pairs of rows that share a block, whatever its size.
+
+    Rows with one title are linked to the smallest of them, and titles are compared once each, as titles of the
+    smallest rows. Bodies are compared between titles that are not alike: once for each title and body, where rows
+    share a block. The groups, their reasons and highest confidences are those of all pairs.
+    """
+    titled = stage(rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("same"), F.least(F.length(body), F.lit(BODY_CHARS)).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys")), "titled")
+    first = stage(titled.groupBy("title").agg(F.min("node").alias("first")), "titles")
+    edges = titled.join(first, "title").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.lit("title_similarity").alias("reason"), F.lit(1.0).alias("confidence"))
+    # a title has the blocks of all its rows
+    blocks = titled.select("title", F.explode("keys").alias("block")).distinct().join(first, "title")
+    held = blocks.select(F.col("first").alias("node"), F.col("title"), "block")
+    pairs = blocked_pairs(held, F.array("block"), "node")
+    side = lambda s: first.select(F.col("first").alias(s), F.col("title").alias(f"{s}_title"))
+    scored = stage(scored_titles(pairs.join(side("a"), "a").join(side("b"), "b")), "scored")
+    edges = edges.union(scored.where(F.col("title_score") >= TITLE_LEAST).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("title_similarity").alias("reason"), (F.col("title_score") / 100).alias("confidence")))
+    apart = scored.where(F.col("title_score") < TITLE_LEAST).select("a_title", "b_title")
+    kinds = titled.where("ok").groupBy("title", "same", "n").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    kinds = stage(kinds, "bodies")
+    member = lambda s: kinds.select(F.col("title").alias(f"{s}_title"), F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("keys").alias(f"{s}_keys"))
+    met = apart.join(member("a"), "a_title").join(member("b"), "b_title").where(lengths_fit(F.col("a_n"), F.col("b_n")) & F.arrays_overlap("a_keys", "b_keys")).select("a", "b")
+    text = lambda s: rows.select(F.col(node).alias(s), F.left(F.col(body), F.lit(BODY_CHARS)).alias(f"{s}_body"))
+    bodied = scored_bodies(stage(met, "met").join(text("a"), "a").join(text("b"), "b"))
+    return edges.union(bodied.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
+
+
 def assign_groups(rows: DataFrame, edges: DataFrame, better: list[Column], node: str = "doc_id") -> DataFrame:
     """``rows`` with group_root (own node if alone), group_size and is_canonical: the best of each group by ``better``, then the smallest node."""
     roots = components(edges).select(F.col("node").alias(node), F.col("root"))

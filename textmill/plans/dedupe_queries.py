@@ -69,14 +69,20 @@ BLOCKED = f"keyed AS {KEYED}, exploded AS (SELECT doc_id, unnest({BLOCKS}) AS bl
 
 @query(f"WITH {BLOCKED} SELECT a, b FROM pairs")
 def j11_blocked_pairs(spark, sf_dir):
-    return dedupe.blocked_pairs(keyed(spark, sf_dir).where("title_key <> ''"), block_keys())
+    return dedupe.blocked_pairs(keyed(spark, sf_dir).where("title_key <> ''"), block_keys(), largest=dedupe.LARGEST_BLOCK)
+
+
+@query(f"WITH keyed AS {KEYED}, exploded AS (SELECT unnest({BLOCKS}) AS block FROM keyed WHERE title_key <> '') SELECT block, count(*) AS n FROM exploded GROUP BY 1 HAVING count(*) > 350")
+def j11_oversized_blocks(spark, sf_dir):
+    """What the bound in the SQL of j11_blocked_pairs and c1_fuzzy_levenshtein leaves out there; c1_fuzzy_indel has no bound."""
+    return dedupe.oversized_blocks(keyed(spark, sf_dir).where("title_key <> ''"), block_keys())
 
 
 @query(f"WITH {BLOCKED} SELECT a, b, round(1 - levenshtein(translate(x.title_key, 'ß', 's'), translate(y.title_key, 'ß', 's'))::DOUBLE / greatest(length(x.title_key), length(y.title_key)), 4) AS score FROM pairs JOIN keyed x ON x.doc_id = a JOIN keyed y ON y.doc_id = b WHERE levenshtein(translate(x.title_key, 'ß', 's'), translate(y.title_key, 'ß', 's')) <= 0.1 * greatest(length(x.title_key), length(y.title_key))")
 def c1_fuzzy_levenshtein(spark, sf_dir):
     rows = keyed(spark, sf_dir).where("title_key <> ''")
     side = lambda s: rows.select(F.col("doc_id").alias(s), F.translate("title_key", "ß", "s").alias(f"{s}_key"))
-    both = dedupe.blocked_pairs(rows, block_keys()).join(side("a"), "a").join(side("b"), "b")
+    both = dedupe.blocked_pairs(rows, block_keys(), largest=dedupe.LARGEST_BLOCK).join(side("a"), "a").join(side("b"), "b")
     longest, distance = F.greatest(F.length("a_key"), F.length("b_key")), F.levenshtein("a_key", "b_key")
     return both.where(distance <= 0.1 * longest).select("a", "b", F.round(1 - distance / longest, 4).alias("score"))
 
@@ -84,8 +90,7 @@ def c1_fuzzy_levenshtein(spark, sf_dir):
 @query()
 def c1_fuzzy_indel(spark, sf_dir):
     rows = keyed(spark, sf_dir).withColumn("ok", articles.dedupable(F.col("status"), F.col("words"), F.col("body")))
-    pairs = dedupe.blocked_pairs(rows.where("title_key <> ''"), block_keys())
-    return dedupe.fuzzy_edges(pairs, rows, "title_key", "body", "ok")
+    return dedupe.near_edges(rows, block_keys(), "title_key", "body", "ok")
 
 
 @query("""WITH u AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, sha256(coalesce(text, '')) AS h FROM documents), g AS (SELECT *, printf('gart_%08d', row_number() OVER (ORDER BY dataset, doc_id)) AS global_id FROM u)
