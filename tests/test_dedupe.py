@@ -1,5 +1,6 @@
 """Blocks, near edges and groups on rows whose answers are known."""
 
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -35,3 +36,22 @@ def test_near_edges_connect_what_all_pairs_connect(spark):
     assert roots(near) == roots(every) and {n for n, _ in roots(near)} == {*range(360), *range(400, 420), 500}
     best = lambda e: {(r["reason"], r["c"]) for r in e.groupBy("reason").agg(F.max("confidence").alias("c")).collect()}
     assert best(near) == best(every)
+
+
+def test_whole_bodies_are_compared(spark):
+    opening, one, other = "same opening " * 400, "first rest " * 500, "quite 0ther END; " * 300
+    rows = [(1, "alpha beta gamma", opening + one, True), (2, "alpha delta", opening + other, True), (3, "alpha epsilon", "unlike 9876 " * 350 + one * 9, True), (4, "alpha zeta eta theta", "Begun: QWXYZ " * 320 + one.replace(" ", "  ") * 9, True)]
+    df = spark.createDataFrame(rows, ROWS)
+    key = F.array(F.left("title", F.lit(5)))
+    pairs = dedupe.blocked_pairs(df, key)
+    for edges in (dedupe.near_edges(df, key, "title", "body", "ok"), dedupe.fuzzy_edges(pairs, df, "title", "body", "ok")):
+        assert [(r["src"], r["dst"], r["reason"]) for r in edges.collect()] == [(3, 4, "body_similarity")]
+
+
+def test_bounded_similarity_is_the_plain_one():
+    pick = random.Random(2)
+    for _ in range(2000):
+        a = "".join(pick.choices("ab c", k=pick.randint(0, 40)))
+        b = "".join(pick.choice("ab c") if pick.random() < 0.1 else c for c in a) if pick.random() < 0.7 else a[::-1]
+        plain = dedupe.indel(a, b)
+        assert dedupe.indel_from(a, b, 90) == (plain if plain >= 90 else 0)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from os.path import commonprefix
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions import text
 from ..sources.scratch import stage
 from .graph import components
 
 TITLE_LEAST, BODY_LEAST = 95, 90
 LARGEST_BLOCK = 350
 CELL = 512
-BODY_CHARS = 4000
 
 
 def exact_edges(df: DataFrame, key_of: dict[str, tuple[Column, float]], node: str = "doc_id") -> DataFrame:
@@ -75,6 +78,26 @@ def indel_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def indel_from(a: str, b: str, least: int) -> int:
+    """:func:`indel` where that is ``least`` or more, else 0: whole texts, but most unlike ones end at their letter counts."""
+    total = len(a) + len(b)
+    if a == b or not total:
+        return 100
+    top = min(len(a), len(b))
+    head = len(commonprefix((a, b)))
+    tail = len(commonprefix((a[head:][::-1], b[head:][::-1])))
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]  # ends in common are in a longest common subsequence
+    if round(200 * top / total) < least or round(200 * (head + tail + (Counter(a) & Counter(b)).total()) / total) < least:
+        return 0
+    score = round(200 * (head + tail + common_subsequence(a, b)) / total)
+    return score if score >= least else 0
+
+
+@F.pandas_udf(IntegerType())
+def body_indel_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel_from(x or "", y or "", BODY_LEAST) for x, y in zip(a, b)], dtype="int32")
+
+
 def may_reach(a: Column, b: Column, least: int) -> Column:
     """False only where the rounded indel similarity cannot be ``least``: a native test before the UDF."""
     most = F.floor((1 - (least - 0.5) / 100) * (F.length(a) + F.length(b))).cast("int")
@@ -94,15 +117,15 @@ def scored_titles(both: DataFrame) -> DataFrame:
 
 def scored_bodies(both: DataFrame) -> DataFrame:
     """The pairs whose bodies are alike, with ``body_score``."""
-    return both.withColumn("body_score", indel_score("a_body", "b_body")).where(F.col("body_score") >= BODY_LEAST)
+    return both.withColumn("body_score", body_indel_score("a_body", "b_body")).where(F.col("body_score") >= BODY_LEAST)
 
 
 def fuzzy_edges(pairs: DataFrame, rows: DataFrame, title: str, body: str, dedupable: str, safe: Column | None = None, node: str = "doc_id") -> DataFrame:
-    """Edges for pairs (a, b) with alike titles, or else alike bodies if both are dedupable.
+    """Edges for pairs (a, b) with alike titles, or else alike bodies, whole and normalised, if both are dedupable.
 
     ``safe`` is a condition on (a_title, b_title, same_date) for titles that prove nothing on their own.
     """
-    side = lambda s: rows.select(F.col(node).alias(s), F.col(title).alias(f"{s}_title"), F.left(F.col(body), F.lit(BODY_CHARS)).alias(f"{s}_body"), F.col(dedupable).alias(f"{s}_ok"))
+    side = lambda s: rows.select(F.col(node).alias(s), F.col(title).alias(f"{s}_title"), text.normalize_space(F.col(body)).alias(f"{s}_body"), F.col(dedupable).alias(f"{s}_ok"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     scored = scored_titles(both)
     by_title = (F.col("title_score") >= TITLE_LEAST) & (F.lit(True) if safe is None else safe)
@@ -118,7 +141,8 @@ def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable:
     smallest rows. Bodies are compared between titles that are not alike: once for each title and body, where rows
     share a block. The groups, their reasons and highest confidences are those of all pairs.
     """
-    titled = stage(rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("same"), F.least(F.length(body), F.lit(BODY_CHARS)).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys")), "titled")
+    normal = text.normalize_space(F.col(body))
+    titled = stage(rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), F.md5(normal.cast("binary")).alias("same"), F.length(normal).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys")), "titled")
     first = stage(titled.groupBy("title").agg(F.min("node").alias("first")), "titles")
     edges = titled.join(first, "title").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.lit("title_similarity").alias("reason"), F.lit(1.0).alias("confidence"))
     # a title has the blocks of all its rows
@@ -133,8 +157,8 @@ def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable:
     kinds = stage(kinds, "bodies")
     member = lambda s: kinds.select(F.col("title").alias(f"{s}_title"), F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("keys").alias(f"{s}_keys"))
     met = apart.join(member("a"), "a_title").join(member("b"), "b_title").where(lengths_fit(F.col("a_n"), F.col("b_n")) & F.arrays_overlap("a_keys", "b_keys")).select("a", "b")
-    text = lambda s: rows.select(F.col(node).alias(s), F.left(F.col(body), F.lit(BODY_CHARS)).alias(f"{s}_body"))
-    bodied = scored_bodies(stage(met, "met").join(text("a"), "a").join(text("b"), "b"))
+    whole = lambda s: rows.select(F.col(node).alias(s), normal.alias(f"{s}_body"))
+    bodied = scored_bodies(stage(met, "met").join(whole("a"), "a").join(whole("b"), "b"))
     return edges.union(bodied.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
 
 
