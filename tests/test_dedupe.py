@@ -55,3 +55,14 @@ def test_bounded_similarity_is_the_plain_one():
         b = "".join(pick.choice("ab c") if pick.random() < 0.1 else c for c in a) if pick.random() < 0.7 else a[::-1]
         plain = dedupe.indel(a, b)
         assert dedupe.indel_from(a, b, 90) == (plain if plain >= 90 else 0)
+
+
+def test_titles_alone_make_candidates(spark):
+    from textmill.plans.dedupe_queries import candidate_keys
+
+    long = "one long title that stands in two units and in two years"
+    rows = [(1, long, "en", "2021-05-01"), (2, long + "s", "de", "2023-05-01"), (3, "five words of this title here", None, "2022-01-01"), (4, "five words of this title there", "en", "2024-01-01"), (5, "short title", "en", "2021-01-01"), (6, "short tithe", "de", "2022-01-01")]
+    df = spark.createDataFrame(rows, "doc_id long, title_key string, unit string, published string")
+    assert sorted((r["a"], r["b"]) for r in dedupe.title_pairs(df, candidate_keys(), "title_key").collect()) == [(1, 2), (3, 4)]
+    df = df.withColumns({"ok": F.lit(False), "body": F.lit("")})
+    assert sorted((r["src"], r["dst"]) for r in dedupe.near_edges(df, candidate_keys(), "title_key", "body", "ok").collect()) == [(1, 2), (3, 4)]

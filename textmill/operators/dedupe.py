@@ -134,6 +134,17 @@ def fuzzy_edges(pairs: DataFrame, rows: DataFrame, title: str, body: str, dedupa
     return titled.union(bodied.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
 
 
+def title_pairs(rows: DataFrame, keys: Column, title: str, node: str = "doc_id") -> DataFrame:
+    """(a, b, a_title, b_title, a_rows, b_rows): pairs of different titles with a block in common, each as its smallest row.
+
+    A title has the blocks of all its rows. How often a title stands does not matter to the number of pairs.
+    """
+    titles = stage(rows.groupBy(F.col(title).alias("title")).agg(F.min(node).alias("first"), F.count("*").alias("rows")), "titles")
+    blocks = rows.select(F.col(title).alias("title"), F.explode(keys).alias("block")).distinct().join(titles, "title").select("first", F.array("block").alias("keys"))
+    side = lambda s: titles.select(F.col("first").alias(s), F.col("title").alias(f"{s}_title"), F.col("rows").alias(f"{s}_rows"))
+    return blocked_pairs(blocks, F.col("keys"), "first").join(side("a"), "a").join(side("b"), "b")
+
+
 def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable: str, node: str = "doc_id") -> DataFrame:
     """Edges that connect what :func:`fuzzy_edges` connects over all pairs of rows that share a block, whatever its size.
 
@@ -145,12 +156,7 @@ def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable:
     titled = stage(rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), F.md5(normal.cast("binary")).alias("same"), F.length(normal).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys")), "titled")
     first = stage(titled.groupBy("title").agg(F.min("node").alias("first")), "titles")
     edges = titled.join(first, "title").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.lit("title_similarity").alias("reason"), F.lit(1.0).alias("confidence"))
-    # a title has the blocks of all its rows
-    blocks = titled.select("title", F.explode("keys").alias("block")).distinct().join(first, "title")
-    held = blocks.select(F.col("first").alias("node"), F.col("title"), "block")
-    pairs = blocked_pairs(held, F.array("block"), "node")
-    side = lambda s: first.select(F.col("first").alias(s), F.col("title").alias(f"{s}_title"))
-    scored = stage(scored_titles(pairs.join(side("a"), "a").join(side("b"), "b")), "scored")
+    scored = stage(scored_titles(title_pairs(titled, F.col("keys"), "title", "node")), "scored")
     edges = edges.union(scored.where(F.col("title_score") >= TITLE_LEAST).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("title_similarity").alias("reason"), (F.col("title_score") / 100).alias("confidence")))
     apart = scored.where(F.col("title_score") < TITLE_LEAST).select("a_title", "b_title")
     kinds = titled.where("ok").groupBy("title", "same", "n").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))

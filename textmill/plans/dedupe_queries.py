@@ -64,6 +64,18 @@ def block_keys():
     return F.array(F.concat_ws("|", F.left("published", F.lit(4)), F.left("title_key", F.lit(12))), F.concat_ws("|", "unit", F.left("title_key", F.lit(16))))
 
 
+CANDIDATES = "['title:' || left(title_key, 24), CASE WHEN len(string_split(title_key, ' ')) >= 4 THEN 'words:' || array_to_string(string_split(title_key, ' ')[1:5], ' ') END, 'year:' || left(published, 4) || '|' || left(title_key, 12), 'unit:' || unit || '|' || left(title_key, 16)]"
+TITLE_PAIRS = f"keyed AS {KEYED}, titles AS (SELECT title_key, min(doc_id) AS first, count(*) AS n FROM keyed WHERE title_key <> '' GROUP BY 1), blocks AS (SELECT DISTINCT title_key, unnest({CANDIDATES}) AS block FROM keyed WHERE title_key <> ''), title_pairs AS (SELECT DISTINCT x.title_key AS x_key, y.title_key AS y_key FROM blocks x JOIN blocks y ON x.block = y.block AND x.title_key < y.title_key), both_titles AS (SELECT least(x.first, y.first) AS a, greatest(x.first, y.first) AS b, CASE WHEN x.first < y.first THEN x.n ELSE y.n END AS a_rows, CASE WHEN x.first < y.first THEN y.n ELSE x.n END AS b_rows, translate(x_key, 'ß', 's') AS x_plain, translate(y_key, 'ß', 's') AS y_plain FROM title_pairs JOIN titles x ON x.title_key = x_key JOIN titles y ON y.title_key = y_key)"
+
+
+def candidate_keys():
+    """The title alone (24 characters, five words), and the keys of block_keys; null where one does not apply."""
+    words = F.split("title_key", " ")
+    five = F.when(F.size(words) >= 4, F.concat(F.lit("words:"), F.array_join(F.slice(words, 1, 5), " ")))
+    of_year = F.concat(F.lit("year:"), F.left("published", F.lit(4)), F.lit("|"), F.left("title_key", F.lit(12)))
+    return F.array(F.concat(F.lit("title:"), F.left("title_key", F.lit(24))), five, of_year, F.concat(F.lit("unit:"), "unit", F.lit("|"), F.left("title_key", F.lit(16))))
+
+
 BLOCKED = f"keyed AS {KEYED}, exploded AS (SELECT doc_id, unnest({BLOCKS}) AS block FROM keyed WHERE title_key <> ''), sized AS (SELECT * FROM exploded QUALIFY count(*) OVER (PARTITION BY block) BETWEEN 2 AND 350), pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM sized x JOIN sized y ON x.block = y.block AND x.doc_id < y.doc_id)"
 
 
@@ -78,6 +90,23 @@ def j11_oversized_blocks(spark, sf_dir):
     return dedupe.oversized_blocks(keyed(spark, sf_dir).where("title_key <> ''"), block_keys())
 
 
+def titles_and_pairs(spark, sf_dir):
+    return dedupe.title_pairs(keyed(spark, sf_dir).where("title_key <> ''"), candidate_keys(), "title_key")
+
+
+@query(f"WITH {TITLE_PAIRS} SELECT a, b, a_rows, b_rows FROM both_titles")
+def j11_title_pairs(spark, sf_dir):
+    """Different titles that share a block, by their smallest documents, without a bound; equal titles go without saying."""
+    return titles_and_pairs(spark, sf_dir).select("a", "b", "a_rows", "b_rows")
+
+
+@query(f"WITH {TITLE_PAIRS} SELECT a, b, a_rows, b_rows, round(1 - levenshtein(x_plain, y_plain)::DOUBLE / greatest(length(x_plain), length(y_plain)), 4) AS score FROM both_titles WHERE levenshtein(x_plain, y_plain) <= 0.1 * greatest(length(x_plain), length(y_plain))")
+def c1_title_levenshtein(spark, sf_dir):
+    both = titles_and_pairs(spark, sf_dir).withColumns({s: F.translate(f"{s}_title", "ß", "s") for s in "ab"} | {"first": F.col("a"), "second": F.col("b")})
+    longest, distance = F.greatest(F.length("a"), F.length("b")), F.levenshtein("a", "b")
+    return both.where(distance <= 0.1 * longest).select(F.col("first").alias("a"), F.col("second").alias("b"), "a_rows", "b_rows", F.round(1 - distance / longest, 4).alias("score"))
+
+
 @query(f"WITH {BLOCKED} SELECT a, b, round(1 - levenshtein(translate(x.title_key, 'ß', 's'), translate(y.title_key, 'ß', 's'))::DOUBLE / greatest(length(x.title_key), length(y.title_key)), 4) AS score FROM pairs JOIN keyed x ON x.doc_id = a JOIN keyed y ON y.doc_id = b WHERE levenshtein(translate(x.title_key, 'ß', 's'), translate(y.title_key, 'ß', 's')) <= 0.1 * greatest(length(x.title_key), length(y.title_key))")
 def c1_fuzzy_levenshtein(spark, sf_dir):
     rows = keyed(spark, sf_dir).where("title_key <> ''")
@@ -90,7 +119,7 @@ def c1_fuzzy_levenshtein(spark, sf_dir):
 @query()
 def c1_fuzzy_indel(spark, sf_dir):
     rows = keyed(spark, sf_dir).withColumn("ok", articles.dedupable(F.col("status"), F.col("words"), F.col("body")))
-    return dedupe.near_edges(rows, block_keys(), "title_key", "body", "ok")
+    return dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok")
 
 
 @query("""WITH u AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, sha256(coalesce(text, '')) AS h FROM documents), g AS (SELECT *, printf('gart_%08d', row_number() OVER (ORDER BY dataset, doc_id)) AS global_id FROM u)
