@@ -66,3 +66,16 @@ def test_titles_alone_make_candidates(spark):
     assert sorted((r["a"], r["b"]) for r in dedupe.title_pairs(df, candidate_keys(), "title_key").collect()) == [(1, 2), (3, 4)]
     df = df.withColumns({"ok": F.lit(False), "body": F.lit("")})
     assert sorted((r["src"], r["dst"]) for r in dedupe.near_edges(df, candidate_keys(), "title_key", "body", "ok").collect()) == [(1, 2), (3, 4)]
+
+
+def test_near_copies_are_grouped(spark, tmp_path):
+    from textmill.plans import catalogue
+
+    body = "\n" + " ".join(f"word{i}" for i in range(80))
+    texts = [("A title of some length, once" + body, "en"), ("A title of some length, once!" + body + " more", "de"), ("A title of some length, oncf" + body + " and yet more", "fr"), ("Something else" + body[::-1], "en"), ("Something else" + body[::-1], "en")]
+    rows = [(i + 1, t, lang, f"s{i}") for i, (t, lang) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["group_root"], r["group_size"], r["is_canonical"]) for r in catalogue.queries()["c1_dedupe"](spark, str(tmp_path)).collect()}
+    assert found == {1: (1, 3, False), 2: (1, 3, False), 3: (1, 3, True), 4: (4, 2, True), 5: (4, 2, False)}
+    table = {r["members"]: r for r in catalogue.queries()["a23_near_duplicate_groups"](spark, str(tmp_path)).collect()}
+    assert table["1,2,3"]["canonical"] == 3 and table["1,2,3"]["reasons"] == "title_similarity" and table["4,5"]["reasons"] == "content_hash;title_similarity;title_unit" and len(table) == 2

@@ -52,7 +52,10 @@ def c1_exact_dedupe(spark, sf_dir):
 why AS (SELECT group_root, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(reason))), ';') AS reasons FROM edges JOIN grouped ON doc_id = dst GROUP BY 1)
 SELECT printf('dup_%08d', row_number() OVER (ORDER BY first)) AS group_id, canonical, size, confidence, reasons, members, cross_source FROM members JOIN why USING (group_root)""")
 def a23_duplicate_groups(spark, sf_dir):
-    rows, edges = grouped(spark, sf_dir)
+    return listed(*grouped(spark, sf_dir))
+
+
+def listed(rows, edges):
     found = dedupe.group_table(stage(rows, "grouped"), edges)
     return found.select("group_id", "canonical", "size", "confidence", F.array_join("reasons", ";").alias("reasons"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "cross_source")
 
@@ -122,6 +125,23 @@ def c1_fuzzy_indel(spark, sf_dir):
     return dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok")
 
 
+def grouped_near(spark, sf_dir):
+    """Groups by exact and near edges together."""
+    rows = stage(keyed(spark, sf_dir).withColumn("ok", articles.dedupable(F.col("status"), F.col("words"), F.col("body"))), "keyed")
+    edges = stage(edges_of(rows).union(dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok")), "all")
+    return dedupe.assign_groups(rows.select("doc_id", "words", "environment"), edges, [F.col("words")]), edges
+
+
+@query()
+def c1_dedupe(spark, sf_dir):
+    return grouped_near(spark, sf_dir)[0].select("doc_id", "group_root", "group_size", "is_canonical")
+
+
+@query()
+def a23_near_duplicate_groups(spark, sf_dir):
+    return listed(*grouped_near(spark, sf_dir))
+
+
 @query("""WITH u AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, sha256(coalesce(text, '')) AS h FROM documents), g AS (SELECT *, printf('gart_%08d', row_number() OVER (ORDER BY dataset, doc_id)) AS global_id FROM u)
 SELECT global_id, doc_id AS original_id, dataset, min(global_id) OVER (PARTITION BY h) AS group_first, count(*) OVER (PARTITION BY h) AS group_size FROM g""")
 def c3_consolidate(spark, sf_dir):
