@@ -7,6 +7,8 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import stage
+
 VOCABULARY, MIN_DF = 50_000, 2
 
 
@@ -45,6 +47,24 @@ def train(df: DataFrame, text: str, label: str, name: str, vocabulary: int = VOC
     return models(text, label, vocabulary)[name].fit(balanced(df, label))
 
 
+def compare(train_rows: DataFrame, test_rows: DataFrame, text: str, label: str, vocabulary: int = VOCABULARY) -> dict[str, DataFrame]:
+    """(label, predicted) of the test rows by each of :func:`models`. Models with the same features share them, written once."""
+    found, held = {}, {}
+    weighted = balanced(train_rows, label)
+    for name, pipeline in models(text, label, vocabulary).items():
+        *prepared, classifier = pipeline.getStages()
+        kind = "hashed" if name.startswith("hashed") else "tfidf"
+        if kind not in held:
+            fitted = Pipeline(stages=prepared).fit(weighted)
+            ready = stage(fitted.transform(weighted).select("label", "weight", "features"), f"{kind}-train")
+            held[kind] = fitted, ready, stage(fitted.transform(test_rows).select(label, "label", "features"), f"{kind}-test")
+        fitted, ready, asked = held[kind]
+        model = classifier.fit(ready)
+        names = F.array(*map(F.lit, fitted.stages[0].labels))
+        found[name] = stage(model.transform(asked.withColumn("weight", F.lit(1.0))).select(label, F.get(names, F.col("prediction").cast("int")).alias("predicted")), name)
+    return found
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with ``predicted``."""
     names = model.stages[0].labels
