@@ -32,8 +32,8 @@ WIDTH = 16
 GRAMS = (2, 3, 4)
 EPOCHS = 4
 RATE = 0.6
-#: Share of rightly labelled calibration texts that may be rejected, and the largest score that rejects.
-REJECTED, MOST = 0.0005, 0.35
+#: Share of rightly labelled calibration texts that may be rejected.
+REJECTED = 0.0005
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -152,7 +152,7 @@ def train(texts: list[bytes], given: list[str], seed: int = 7) -> Model | None:
         model.temperature = min(tried, key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-30)).mean())
         p = _softmax(logits / model.temperature)
         right = p.argmax(axis=1) == truth
-        model.threshold = float(min(MOST, np.quantile(p.max(axis=1)[right], REJECTED))) if right.any() else 0.0
+        model.threshold = float(np.quantile(p.max(axis=1)[right], REJECTED)) if right.any() else 0.0
     return model
 
 
