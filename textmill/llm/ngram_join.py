@@ -95,7 +95,7 @@ def _ask(parts: int, size: int):
         block = table.column("block")[0].as_py()
         sets = list(token_sets(_texts(table)[0], size))
         tokens, owner = _counted_half(sets)
-        groups = np.array([s[0] >> np.uint64(32) if len(s) else 0 for s in sets], np.uint32)
+        groups = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
         to = _part(tokens, parts)
         order = np.argsort(to, kind="stable")
         tokens, owner, edges = tokens[order], owner[order], np.searchsorted(to[order], np.arange(parts + 1)).tolist()
@@ -114,7 +114,7 @@ def _tell(table: pa.Table) -> pa.Table:
     """For each token sent, in the order sent, how many groups hold it."""
     blocks = table.column("block").to_pylist()
     tokens = [_long(t) for t in table.column("tokens").to_pylist()]
-    groups = [np.repeat(np.frombuffer(g, np.uint32), np.frombuffer(r, np.uint32)) for g, r in zip(table.column("groups").to_pylist(), table.column("runs").to_pylist())]
+    groups = [np.repeat(np.frombuffer(g, np.uint64), np.frombuffer(r, np.uint32)) for g, r in zip(table.column("groups").to_pylist(), table.column("runs").to_pylist())]
     t, g = np.concatenate(tokens), np.concatenate(groups)
     order = np.argsort(t)
     t, g = t[order], g[order]
@@ -124,7 +124,7 @@ def _tell(table: pa.Table) -> pa.Table:
     shared = np.diff(np.append(first, len(t))) > 1
     inside = shared[run]
     if inside.any():  # only tokens that stand more than once need their groups counted
-        r, h = run[inside].astype(np.uint64), g[inside].astype(np.uint64)
+        r, h = run[inside].astype(np.uint64), np.unique(g[inside], return_inverse=True)[1].astype(np.uint64)  # groups by number, as 64 bits and a run do not fit
         pairs = np.sort(r << np.uint64(32) | h)
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
         of, n = np.unique(pairs >> np.uint64(32), return_counts=True)
