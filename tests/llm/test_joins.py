@@ -64,8 +64,10 @@ def family(n, seed):
     return rows
 
 
-def test_split_groups(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_split_groups(spark, monkeypatch, rounds):
     monkeypatch.setattr(ngram_join, "SHARD", 7)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     rows = family(60, 4) + family(30, 5)
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
     same(ngram_join.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect(), rows)

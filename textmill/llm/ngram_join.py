@@ -5,19 +5,22 @@ the same smallest hash, as two sets have it in common as often as their Jaccard
 tokens and groups holds the union of each group's tokens; it is never stored, but dealt by token into parts.
 
 1. Equal texts are collapsed; the others are dealt into blocks by their hash.
-2. Blocks send the tokens of the even half of the token space to the parts. A part answers each token with the
-   number of groups whose union holds it. A text that links to one of another group shares all but a quarter of its
-   tokens with it, so among any quarter and one more of its tokens is one of that group's. Blocks take those that
-   fewest groups hold, in one order for all texts; tokens of a single group bound the overlap with all other groups,
-   and most texts end here, as no group can hold enough of them.
-3. The rest say which pairs of groups may overlap enough. Only those groups are opened: the texts of the smaller one
-   visit the larger one. There each visitor's overlap with the union of tokens is counted, and only if it is enough
-   with the members; members among themselves likewise, but for what links already connect.
-4. Connected components of the links are found by hooking to the smallest neighbour and pointer jumping, as tables.
-
-Large groups are split into shards of at most SHARD texts. All shards are visited by one pivot text of the group;
-what links to it is connected, and only the texts that do not then visit all shards. No pairs are formed inside
-a group. Links are found whole: no cap, and no hash decides but for the equality of 64-bit hashes of shingles.
+2. Blocks send the tokens of the even half of the token space to the parts, each once: with its group if one group
+   of the block holds it, else with their number. A part answers how many groups hold the token. A text that links
+   to one of another group shares all but a quarter of its tokens with it, so among any quarter and one more of its
+   tokens is one of that group's. Texts choose those that fewest groups hold, in one order for all; tokens of a
+   single group bound the overlap with all other groups, and most texts end here: no group holds enough of them.
+3. Members of a group meet in its cells, of SHARD texts at most. One pivot text visits all cells of a group.
+4. The rest say which other groups may hold enough of them. For each token they chose, the cell with most texts there
+   is opened, and the others visit it: their overlap with its union of tokens is counted first, and that with its
+   members only if it is enough. No pairs of texts or groups are formed. A token is done when links connect all its
+   texts; after ROUNDS such rounds the texts of the others, in different classes still and of sizes and numbers of
+   shared tokens that can link, visit each other's cells.
+5. Divided groups with texts that the pivot's class lacks go through the steps 2 and 4 with tokens counted by text.
+6. Connected components of the links are found by hooking to the smallest neighbour and pointer jumping, as tables.
+
+A cell with many visitors is copied for each SHARD of them. A token that many texts hold sends one row from each
+block. Links are found whole: no cap, and no hash decides but for the equality of 64-bit hashes of shingles.
 
 Defined results: words are lower-cased (A-Z); a text with fewer than SIZE words is one shingle of all its words;
 null texts and texts without words have an empty set, link to nothing, and are each their own class; equal rows are
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytehash import Joined, shingles
 from .common import SLICE_BYTES, spread, stage
@@ -38,7 +41,7 @@ from .suffix_dedup import _collapse, _table, _texts
 
 SIZE, PERCENT = 5, 75
 BLOCK_BYTES, PART_TOKENS = 16 << 20, 4 << 20
-SHARD = 2000
+SHARD, ROUNDS = 2000, 2
 #: Answers above 1 are 2 and quarter steps of the logarithm of the number of groups.
 SINGLE = 1
 
@@ -90,150 +93,275 @@ def _counted_half(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *even]), np.repeat(np.arange(len(sets)), [len(e) for e in even])
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _edges(to: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of the sorted parts that have something."""
+    cuts = np.searchsorted(to, np.arange(parts + 1)).tolist()
+    return ((p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a)
+
+
+def _ids(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Numbers of the texts of a block: given, or the block and their place in it."""
+    if "id" in table.column_names:
+        given = dict(zip(table.column("hash").to_pylist(), table.column("id").to_pylist()))
+        return np.array([given[h] for h in names], np.int64)
+    return (np.int64(table.column("block")[0].as_py()) << 32) + np.arange(len(names), dtype=np.int64)
+
+
+def _groups(table: pa.Table, names: list[str], sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest hash of each set; where ids are given, each text is its own group."""
+    return _ids(table, names).view(np.uint64) if "id" in table.column_names else np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+
+
+def _travelling(sets: list[np.ndarray], groups: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """The different even tokens of a block as they travel: by part, first those of one group, by group.
+
+    With their parts, whether several groups of the block hold them, the smallest of these and their number.
+    """
+    tokens, owner = _counted_half(sets)
+    order = np.argsort(tokens, kind="stable")
+    t, g = tokens[order], groups[owner[order]]
+    first = _firsts(t)
+    if not len(first):
+        return t, np.zeros(0, np.int64), np.zeros(0, bool), g, np.zeros(0, np.uint32)
+    least = np.minimum.reduceat(g, first)
+    several = least != np.maximum.reduceat(g, first)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    inside = np.flatnonzero(several[run])
+    inside = inside[np.lexsort((g[inside], run[inside]))]
+    r, h = run[inside], g[inside]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+    counts = np.maximum(np.bincount(r[new], minlength=len(first)), 1).astype(np.uint32)
+    u = t[first]
+    to = _part(u, parts)
+    order = np.lexsort((u, np.where(several, 0, least), several, to))
+    return u[order], to[order], several[order], least[order], counts[order]
+
+
 def _ask(parts: int, size: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        sets = list(token_sets(_texts(table)[0], size))
-        tokens, owner = _counted_half(sets)
-        groups = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        to = _part(tokens, parts)
-        order = np.argsort(to, kind="stable")
-        tokens, owner, edges = tokens[order], owner[order], np.searchsorted(to[order], np.arange(parts + 1)).tolist()
-        rows = []
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                of = owner[a:b]
-                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                rows.append((p, block, _short(tokens[a:b]), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), groups[of[first]].tobytes()))
-        return _table(rows, "part block tokens runs groups", pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        raw, _, names = _texts(table)
+        sets = list(token_sets(raw, size))
+        tokens, to, several, groups, counts = _travelling(sets, _groups(table, names, sets), parts)
+        rows, block = [], table.column("block")[0].as_py()
+        for p, a, b in _edges(to, parts):
+            own = groups[a:b][~several[a:b]]
+            first = _firsts(own)
+            rows.append((p, block, _short(tokens[a:b]), np.diff(np.append(first, len(own))).astype(np.uint32).tobytes(), own[first].tobytes(), counts[a:b][several[a:b]].tobytes()))
+        return _table(rows, "part block tokens runs groups many", pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
     return run
 
 
 def _tell(table: pa.Table) -> pa.Table:
-    """For each token sent, in the order sent, how many groups hold it."""
-    blocks = table.column("block").to_pylist()
-    tokens = [_long(t) for t in table.column("tokens").to_pylist()]
-    groups = [np.repeat(np.frombuffer(g, np.uint64), np.frombuffer(r, np.uint32)) for g, r in zip(table.column("groups").to_pylist(), table.column("runs").to_pylist())]
-    t, g = np.concatenate(tokens), np.concatenate(groups)
+    """For each token sent, in the order sent, how common it is: SINGLE if one group holds it."""
+    sent = [(_long(t), np.frombuffer(r, np.uint32), np.frombuffer(g, np.uint64), np.frombuffer(m, np.uint32)) for t, r, g, m in zip(*(table.column(c).to_pylist() for c in ("tokens", "runs", "groups", "many")))]
+    t = np.concatenate([x[0] for x in sent])
+    groups = np.concatenate([np.append(np.repeat(g, r), np.zeros(len(m), np.uint64)) for _, r, g, m in sent])
+    weight = np.concatenate([np.append(np.ones(len(t) - len(m), np.int64), m) for t, _, _, m in sent])
     order = np.argsort(t)
-    t, g = t[order], g[order]
-    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    run = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1
-    counts = np.ones(len(first), np.int64)
-    shared = np.diff(np.append(first, len(t))) > 1
-    inside = shared[run]
-    if inside.any():  # only tokens that stand more than once need their groups counted
-        r, h = run[inside].astype(np.uint64), np.unique(g[inside], return_inverse=True)[1].astype(np.uint64)  # groups by number, as 64 bits and a run do not fit
-        pairs = np.sort(r << np.uint64(32) | h)
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        of, n = np.unique(pairs >> np.uint64(32), return_counts=True)
-        counts[of.astype(np.int64)] = n
-    level = np.where(counts == 1, SINGLE, np.minimum(250, 2 + 4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    first = _firsts(t[order])
+    held = np.add.reduceat(weight[order], first)
+    alone = (np.minimum.reduceat(groups[order], first) == np.maximum.reduceat(groups[order], first)) & (np.maximum.reduceat(weight[order], first) == 1)
+    level = np.where(alone, SINGLE, np.minimum(250, 2 + 4 * np.log2(held))).astype(np.uint8)
     told = np.empty(len(t), np.uint8)
-    told[order] = level[run]
-    edges = np.cumsum([0, *map(len, tokens)])
-    return _table([(p, b, told[x:y].tobytes()) for p, b, x, y in zip(table.column("part").to_pylist(), blocks, edges[:-1], edges[1:])], "part block levels", pa.int32(), pa.int32(), pa.binary())
+    told[order] = np.repeat(level, np.diff(np.append(first, len(t))))
+    edges = np.cumsum([0, *(len(x[0]) for x in sent)])
+    return _table([(p, b, told[x:y].tobytes()) for p, b, x, y in zip(table.column("part").to_pylist(), table.column("block").to_pylist(), edges[:-1], edges[1:])], "part block levels", pa.int32(), pa.int32(), pa.binary())
 
 
-PROBES = "kind int, part int, block int, hashes array<string>, sizes binary, groups binary, tokens binary"
+#: What ``_probe`` gives: all sets of a block; its chosen tokens, each with its text; the tokens of texts that chose some.
+SETS, CHOSEN, OPEN = 0, 1, 2
+PROBES = "kind int, block int, id long, hashes array<string>, ids binary, sizes binary, shared binary, groups binary, tokens binary"
+_PROBES = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 5)
 
 
 def _probe(parts: int, size: int):
-    """Kind 0: the texts of a block with set size and group; kind 1: by part, tokens that may lead to other groups."""
-
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        names_of = "kind part block hashes sizes groups tokens"
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+        names_of = "kind block id hashes ids sizes shared groups tokens"
         if not texts.num_rows:
-            return _table([], names_of, *kinds)
+            return _table([], names_of, *_PROBES)
         block = texts.column("block")[0].as_py()
         raw, _, names = _texts(texts)
-        sets = list(token_sets(raw, size))
+        sets, ids = list(token_sets(raw, size)), _ids(texts, names)
         n = np.array([len(s) for s in sets], np.int64)
-        groups = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        tokens, owner = _counted_half(sets)
+        groups = _groups(texts, names, sets)
+        different = _travelling(sets, groups, parts)[0]
         answers = dict(zip(told.column("part").to_pylist(), told.column("levels").to_pylist()))
-        levels = np.empty(len(tokens), np.uint8)
-        order = np.argsort(_part(tokens, parts), kind="stable")
-        levels[order] = np.frombuffer(b"".join(answers[p] for p in sorted(answers)), np.uint8)
-        edges = np.searchsorted(owner, np.arange(len(sets) + 1)).tolist()
+        order = np.argsort(different)
+        level_of = np.frombuffer(b"".join(answers[p] for p in sorted(answers)), np.uint8)[order]
+        different = different[order]
         need = (misses(n) + 1).tolist()
-        out_t, out_o = [], []
-        for i, (a, b, p) in enumerate(zip(edges[:-1], edges[1:], need)):
-            level = levels[a:b]
-            single = int((level == SINGLE).sum())
-            if single >= p or not n[i]:
-                continue
+        shared, chosen, of, rows = n.copy(), [], [], []
+        for i, (s, p) in enumerate(zip(sets, need)):
+            even = s[(s & np.uint64(1)) == 0]
+            level = level_of[np.searchsorted(different, even)]
             rest = np.flatnonzero(level != SINGLE)
-            chosen = tokens[a:b][rest[np.lexsort((tokens[a:b][rest], level[rest]))[: p - single]]]
-            if b - a < p:  # too few even tokens: the order goes on with the odd ones
-                chosen = np.concatenate([chosen, sets[i][(sets[i] & np.uint64(1)) == 1][: p - (b - a)]])
-            out_t.append(chosen)
-            out_o.append(np.full(len(chosen), i))
-        rows = [(0, None, block, names, n.astype(np.uint32).tobytes(), groups.tobytes(), np.isin(np.arange(len(sets)), [o[0] for o in out_o]).tobytes())]
-        if out_t:
-            t, o = np.concatenate(out_t), np.concatenate(out_o)
-            to = _part(t, parts)
-            order = np.argsort(to, kind="stable")
-            t, o = t[order], o[order]
-            cuts = np.searchsorted(to[order], np.arange(parts + 1)).tolist()
-            rows += [(1, p, block, None, n[o[a:b]].astype(np.uint32).tobytes(), groups[o[a:b]].tobytes(), t[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            single = len(even) - len(rest)
+            shared[i] -= single
+            if single >= p or not len(s):
+                continue
+            picked = even[rest[np.lexsort((even[rest], level[rest]))[: p - single]]]
+            if len(even) < p:  # too few even tokens: the order goes on with the odd ones
+                picked = np.concatenate([picked, s[(s & np.uint64(1)) == 1][: p - len(even)]])
+            chosen.append(picked)
+            of.append(np.full(len(picked), i))
+            rows.append((OPEN, block, int(ids[i]), *[None] * 5, s.tobytes()))
+        opened = np.isin(np.arange(len(sets)), [o[0] for o in of])
+        rows.append((SETS, block, None, names, ids.tobytes(), n.astype(np.uint32).tobytes(), np.where(opened, shared, 0).astype(np.uint32).tobytes(), groups.tobytes(), None))
+        if of:
+            t, o = np.concatenate(chosen), np.concatenate(of)
+            rows.append((CHOSEN, block, None, None, ids[o].tobytes(), None, None, None, t.tobytes()))
+        return _table(rows, names_of, *_PROBES)
+
+    return run
+
+
+OFFERS = "kind int, part int, block int, tokens binary, cells binary, counts binary, classes binary, ids binary, sizes binary, shared binary"
+_OFFERS = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 7)
+#: Kinds of offers: to a part, one row a token; what the block keeps of them; to a part, each text.
+SUMMARY, KEPT, EACH = 0, 1, 2
+
+
+def _offer(parts: int):
+    """Per token that texts of a block chose: the cell with most of them, how many it has, and their class or 0 if there are several."""
+
+    def run(chosen: pa.Table, state: pa.Table) -> pa.Table:
+        names_of = "kind part block tokens cells counts classes ids sizes shared"
+        if not chosen.num_rows:
+            return _table([], names_of, *_OFFERS)
+        block = chosen.column("block")[0].as_py()
+        ids, t = (np.concatenate([np.frombuffer(x, kind) for x in chosen.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("tokens", np.uint64)))
+        known = {c: state.column(c).to_numpy() for c in ("id", "cell", "class", "n", "shared")}
+        order = np.argsort(known["id"])
+        at = order[np.searchsorted(known["id"], ids, sorter=order)]
+        cells, classes = known["cell"][at], known["class"][at]
+        to = _part(t, parts)
+        order = np.lexsort((cells, t, to))
+        t, to, cells, classes, ids, at = t[order], to[order], cells[order], classes[order], ids[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (cells[1:] != cells[:-1])]))
+        counts = np.diff(np.append(first, len(t)))
+        token = _firsts(t[first])  # among the (token, cell) runs
+        best = np.lexsort((cells[first], -counts, np.repeat(np.arange(len(token)), np.diff(np.append(token, len(first))))))[token]
+        runs = first[token]
+        low, high = np.minimum.reduceat(classes, runs), np.maximum.reduceat(classes, runs)
+        u, of = t[runs], to[runs]
+        rows = [(SUMMARY, p, block, u[a:b].tobytes(), cells[first][best][a:b].tobytes(), counts[best][a:b].astype(np.uint32).tobytes(), np.where(low == high, low, SEVERAL)[a:b].tobytes(), None, None, None) for p, a, b in _edges(of, parts)]
+        rows.append((KEPT, None, block, t.tobytes(), cells.tobytes(), None, classes.tobytes(), ids.tobytes(), known["n"][at].astype(np.uint32).tobytes(), known["shared"][at].astype(np.uint32).tobytes()))
+        return _table(rows, names_of, *_OFFERS)
+
+    return run
+
+
+SEVERAL = -1
+
+
+def _hub(table: pa.Table) -> pa.Table:
+    """For each token offered, in the order sent: its cell with most texts, and whether its texts are of several classes."""
+    sent = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(n, np.uint32), np.frombuffer(k, np.int64)) for t, c, n, k in zip(*(table.column(x).to_pylist() for x in ("tokens", "cells", "counts", "classes")))]
+    t, c, n, k = (np.concatenate([x[i] for x in sent]) for i in range(4))
+    order = np.lexsort((c, t))
+    ts, cs, ns, ks = t[order], c[order], n[order].astype(np.int64), k[order]
+    pair = np.flatnonzero(np.concatenate([[True], (ts[1:] != ts[:-1]) | (cs[1:] != cs[:-1])]))
+    held = np.add.reduceat(ns, pair)
+    token = _firsts(ts[pair])
+    best = np.lexsort((cs[pair], -held, np.repeat(np.arange(len(token)), np.diff(np.append(token, len(pair))))))[token]
+    runs = pair[token]
+    low, high = np.minimum.reduceat(ks, runs), np.maximum.reduceat(ks, runs)
+    at = np.searchsorted(ts[runs], t)
+    hubs, mixed = cs[pair][best][at], ((low != high) | (low == SEVERAL))[at]
+    edges = np.cumsum([0, *(len(x[0]) for x in sent)])
+    return _table([(p, b, hubs[x:y].tobytes(), mixed[x:y].tobytes()) for p, b, x, y in zip(table.column("part").to_pylist(), table.column("block").to_pylist(), edges[:-1], edges[1:])], "part block hubs mixed", pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+
+#: Kinds of choices: a text that visits a cell; the tokens of a block that are not done, with their texts.
+VISIT, LEFT = 0, 1
+CHOICES = "kind int, part int, block int, id long, home long, tokens binary, ids binary, cells binary, classes binary, sizes binary, shared binary"
+
+
+def _choose(parts: int, last: bool):
+    """Visits to the opened cells, and what is left; in the last round all texts of tokens that are not done, by part."""
+
+    def run(kept: pa.Table, told: pa.Table) -> pa.Table:
+        names_of, kinds = "kind part block id home tokens ids cells classes sizes shared", (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+        if not kept.num_rows:
+            return _table([], names_of, *kinds)
+        block = kept.column("block")[0].as_py()
+        t, cells, classes, ids, n, shared = (np.frombuffer(kept.column(c)[0].as_py(), kind) for c, kind in (("tokens", np.uint64), ("cells", np.int64), ("classes", np.int64), ("ids", np.int64), ("sizes", np.uint32), ("shared", np.uint32)))
+        by_part = sorted(zip(*(told.column(c).to_pylist() for c in ("part", "hubs", "mixed"))))
+        hubs, mixed = np.frombuffer(b"".join(x[1] for x in by_part), np.int64), np.frombuffer(b"".join(x[2] for x in by_part), bool)
+        lengths = np.diff(np.append(_firsts(t), len(t)))
+        away = np.repeat(mixed, lengths) & ((cells != np.repeat(hubs, lengths)) | last)
+        if last:
+            to = _part(t[away], parts)
+            columns = [x[away] for x in (t, ids, cells, classes, n, shared)]
+            return _table([(LEFT, p, block, None, None, *(x[a:b].tobytes() for x in columns)) for p, a, b in _edges(to, parts)], names_of, *kinds)
+        ways = np.unique(np.stack([ids[away], np.repeat(hubs, lengths)[away]]), axis=1) if away.any() else np.zeros((2, 0), np.int64)
+        rows = [(VISIT, None, block, i, h, *[None] * 6) for i, h in ways.T.tolist()]
+        if away.any():
+            rows.append((LEFT, None, block, None, None, t[away].tobytes(), ids[away].tobytes(), None, None, None, None))
         return _table(rows, names_of, *kinds)
 
     return run
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different groups that hold the same token in texts of sizes that can link, once for each part."""
-    t, g = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("tokens", "groups"))
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-    order = np.lexsort((g, t))
-    t, g, n = t[order], g[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
-    least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
-    t, g = t[first], g[first]
-    edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+    """(text, cell to visit) of texts that hold one token, in different cells and classes, if they can link."""
+    t, ids, cells, classes, n, shared = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("cells", np.int64), ("classes", np.int64), ("sizes", np.uint32), ("shared", np.uint32)))
+    order = np.lexsort((ids, cells, t))
+    t, ids, cells, classes = t[order], ids[order], cells[order], classes[order]
+    n, shared = n[order].astype(np.int64), shared[order].astype(np.int64)
+    first = _firsts(t)
     found, held = [], 0
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+    for a, b in zip(first.tolist(), np.append(first, len(t))[1:].tolist()):
         for i in range(a, b - 1):
-            fits = (most[i + 1 : b] * 100 >= least[i] * PERCENT) & (most[i] * 100 >= least[i + 1 : b] * PERCENT)
-            found.append(np.stack([np.full(int(fits.sum()), g[i]), g[i + 1 : b][fits]]))
-            held += found[-1].shape[1]
+            rest = slice(i + 1, b)
+            # the overlap is at most what either shares with anything, and has to be 75 of 175 of both sizes
+            fits = (cells[rest] != cells[i]) & (classes[rest] != classes[i]) & ((100 + PERCENT) * np.minimum(shared[rest], shared[i]) >= PERCENT * (n[rest] + n[i]))
+            if fits.any():
+                to = np.unique(cells[rest][fits])
+                found.append(np.stack([np.full(len(to), ids[i]), to]))
+                held += len(to)
         if held > 1 << 20:
             found = [np.unique(np.concatenate(found, axis=1), axis=1)]
             held = 0
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.uint64)
-    return pa.Table.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["low", "high"])
+    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.Table.from_arrays([pa.array(both[0]), pa.array(both[1])], ["id", "home"])
 
 
 def _fetch(size: int):
-    """The sets of the texts that have to go somewhere, one row for each way."""
+    """The sets of the texts that have to go somewhere, one row for each way: (home, role)."""
 
     def run(texts: pa.Table, ways: pa.Table) -> pa.Table:
-        names_of, kinds = "home shard role hash tokens", (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+        names_of, kinds = "home role id tokens", (pa.int64(), pa.int32(), pa.int64(), pa.binary())
         if not texts.num_rows or not ways.num_rows:
             return _table([], names_of, *kinds)
-        wanted: dict[str, list[tuple]] = {}
-        for h, *way in zip(*(ways.column(c).to_pylist() for c in ("hash", "home", "shard", "role"))):
-            wanted.setdefault(h, []).append(way)
+        wanted: dict[int, list[tuple]] = {}
+        for i, *way in zip(*(ways.column(c).to_pylist() for c in ("id", "home", "role"))):
+            wanted.setdefault(i, []).append(way)
         raw, _, names = _texts(texts)
-        chosen = [i for i, h in enumerate(names) if h in wanted]
+        ids = _ids(texts, names).tolist()
+        chosen = [k for k, i in enumerate(ids) if i in wanted]
         rows = []
-        for i, s in zip(chosen, token_sets([raw[i] for i in chosen], size)):
+        for k, s in zip(chosen, token_sets([raw[k] for k in chosen], size)):
             data = s.tobytes()
-            rows += [(*way, names[i], data) for way in wanted[names[i]]]
+            rows += [(*way, ids[k], data) for way in wanted[ids[k]]]
         return _table(rows, names_of, *kinds)
 
     return run
 
 
 MEMBER, VISITOR, PIVOT = 0, 1, 2
-LINKS = "home long, a string, b string"
+LINKS = "a long, b long"
 
 
-def links_of(sets: list[np.ndarray], roles: list[int], names: list[str]) -> list[tuple[str, str]]:
-    """Links that connect what the texts of one shard connect: (text, text it links to), and (pivot, pivot) if there is one."""
+def links_of(sets: list[np.ndarray], roles: list[int], names: list, classes: list | None = None) -> list[tuple]:
+    """Links that connect what the texts of one cell connect: of members, unless their classes are known, and of visitors to members."""
     members = [i for i, r in enumerate(roles) if r == MEMBER]
     sizes = np.array([len(sets[i]) for i in members], np.int64)
     tokens = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in members)])
@@ -242,8 +370,8 @@ def links_of(sets: list[np.ndarray], roles: list[int], names: list[str]) -> list
     tokens, owner = tokens[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     union, length = tokens[first], np.diff(np.append(first, len(tokens)))
-    root = np.arange(len(members))
-    found: list[tuple[str, str]] = []
+    root = np.arange(len(members)) if classes is None else np.unique([classes[i] for i in members], return_inverse=True)[1].ravel()
+    found: list[tuple] = []
 
     def query(s: np.ndarray) -> np.ndarray:
         """Members that the set links to."""
@@ -264,7 +392,7 @@ def links_of(sets: list[np.ndarray], roles: list[int], names: list[str]) -> list
                 found.append((names[members[i]], names[members[int(linked[root[linked] == r][0])]]))
                 root[root == r] = root[i]
 
-    if members:
+    if members and classes is None:
         join(0, query(sets[members[0]]))
         largest = np.bincount(root).argmax() if len(members) > 1 else 0
         for i in range(1, len(members)):
@@ -279,10 +407,10 @@ def links_of(sets: list[np.ndarray], roles: list[int], names: list[str]) -> list
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    home = table.column("home")[0].as_py()
-    rows = sorted(zip(table.column("role").to_pylist(), table.column("hash").to_pylist(), table.column("tokens").to_pylist()))
-    found = links_of([np.frombuffer(t, np.uint64) for _, _, t in rows], [r for r, _, _ in rows], [h for _, h, _ in rows])
-    return _table([(home, a, b) for a, b in found], "home a b", pa.int64(), pa.string(), pa.string())
+    columns = [c for c in ("role", "id", "tokens", "class") if c in table.column_names]
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in columns)))
+    found = links_of([np.frombuffer(r[2], np.uint64) for r in rows], [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows] if "class" in columns else None)
+    return _table(found, "a b", pa.int64(), pa.int64())
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -303,6 +431,52 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, names, ids, n, shared, g in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "ids", "sizes", "shared", "groups"))):
+            wide = [pa.array(np.frombuffer(x, np.uint32).astype(np.int64)) for x in (n, shared)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.frombuffer(ids, np.int64)), pa.array([block] * len(names), pa.int32()), *wide, pa.array(np.frombuffer(g, np.int64))], ["hash", "id", "block", "n", "shared", "grp"])
+
+
+def _matrix(dealt: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """What ``_probe`` gives for all blocks, and its SETS as rows; shared is 0 for texts that link to no other group."""
+    asked = dealt.groupBy("block").applyInArrow(_ask(parts, size), "part int, block int, tokens binary, runs binary, groups binary, many binary")
+    told = asked.groupBy("part").applyInArrow(_tell, "part int, block int, levels binary")
+    probes = stage(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_probe(parts, size), PROBES), "probes")
+    return probes, stage(probes.where(F.col("kind") == SETS).mapInArrow(_unpack, "hash string, id long, block int, n long, shared long, grp long"), "sets")
+
+
+def _across(probes: DataFrame, cells: DataFrame, found: DataFrame, near: DataFrame, parts: int) -> DataFrame:
+    """``found`` with the links between texts of different cells (id, block, n, shared, cell); near: the classes of ``found``."""
+    opened = probes.where(F.col("kind") == OPEN).select("id", "tokens")
+    left = probes.where(F.col("kind") == CHOSEN).select("block", "ids", "tokens")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        near = components(found) if turn else near
+        state = stage(cells.join(near.withColumnRenamed("node", "id"), "id", "left").select("block", "id", "cell", F.coalesce("root", "id").alias("class"), "n", "shared"), "state")
+        offers = stage(left.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_offer(parts), OFFERS), "offers")
+        hubs = offers.where(F.col("kind") == SUMMARY).groupBy("part").applyInArrow(_hub, "part int, block int, hubs binary, mixed binary")
+        choices = offers.where(F.col("kind") == KEPT).groupBy("block").cogroup(hubs.groupBy("block")).applyInArrow(_choose(parts, last), CHOICES)
+        choices = stage(choices, "choices")
+        if last:
+            visits = choices.groupBy("part").applyInArrow(_pairs, "id long, home long").distinct()
+        else:
+            visits = choices.where(F.col("kind") == VISIT).select("id", "home")
+        visits = stage(visits, "visits")
+        if visits.isEmpty():
+            return found
+        copies = visits.groupBy("home").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("copies"))
+        seat = F.pmod(F.xxhash64("id"), F.col("copies"))
+        guests = visits.join(copies, "home").select("id", "home", seat.alias("seat"), F.lit(VISITOR).alias("role"), F.lit(0).cast("long").alias("class"))
+        hosts = state.join(copies, state.cell == copies.home).select("id", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("seat"), F.lit(MEMBER).alias("role"), "class")
+        met = guests.union(hosts).join(opened, "id").groupBy("home", "seat").applyInArrow(_verify, LINKS)
+        found = stage(found.union(met), "found")
+        if last:
+            return found
+        left = choices.where(F.col("kind") == LEFT).select("block", "ids", "tokens")
+    return found
+
+
 def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with n_shingles and component_id: the smallest doc_id that links reach, the own included."""
     spark = docs.sparkSession
@@ -311,57 +485,41 @@ def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     blocks, parts = spread(spark, held, BLOCK_BYTES), spread(spark, held // 12, PART_TOKENS)
     dealt = docs.select(text.alias("text")).mapInArrow(_collapse, "hash string, text binary, copies long")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_ask(parts, size), "part int, block int, tokens binary, runs binary, groups binary")
-    told = asked.groupBy("part").applyInArrow(_tell, "part int, block int, levels binary")
-    probes = stage(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_probe(parts, size), PROBES), "probes")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, names, n, g, o in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "sizes", "groups", "tokens"))):
-                columns = [pa.array(names), pa.array([block] * len(names), pa.int32()), pa.array(np.frombuffer(n, np.uint32).astype(np.int64)), pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(o, bool))]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "block", "n", "grp", "open"])
+    probes, sets = _matrix(dealt, parts, size)
 
-    sets = stage(probes.where("kind = 0").mapInArrow(unpack, "hash string, block int, n long, grp long, open boolean"), "sets")
-    pairs = stage(probes.where("kind = 1").groupBy("part").applyInArrow(_pairs, "low long, high long").distinct(), "pairs")
-    groups = sets.where("n > 0").groupBy("grp").agg(F.count("*").alias("texts"), F.count_if("open").alias("opened"), F.min("hash").alias("pivot"))
+    groups = sets.where("n > 0").groupBy("grp").agg(F.count("*").alias("texts"), F.min("id").alias("pivot"))
     groups = groups.withColumn("shards", F.ceil(F.col("texts") / SHARD).cast("int"))
 
-    def of(name: str) -> DataFrame:
-        return groups.select(F.col("grp").alias(name), F.col("texts").alias(f"{name}_texts"), F.col("shards").alias(f"{name}_shards"))
-
-    # the smaller group visits the larger one
-    sized = pairs.join(of("low"), "low").join(of("high"), "high")
-    larger = F.struct("high_texts", "high") >= F.struct(F.col("low_texts").alias("high_texts"), F.col("low").alias("high"))
-    visits = sized.select(F.when(larger, F.col("low")).otherwise(F.col("high")).alias("grp"), F.when(larger, F.col("high")).otherwise(F.col("low")).alias("home"), F.when(larger, F.col("high_shards")).otherwise(F.col("low_shards")).alias("shards"))
-    visits = stage(visits, "visits")
-    hosts = visits.select(F.col("home").alias("grp")).distinct().withColumn("hosts", F.lit(True))
-    shard = F.pmod(F.xxhash64("hash"), F.col("shards")).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    busy = groups.join(hosts, "grp", "left").where("texts > 1 or hosts")
-    own = sets.where("n > 0").join(busy, "grp").select("block", "hash", F.col("grp").alias("home"), shard.alias("shard"), F.lit(MEMBER).alias("role"))
-    guests = sets.where("open").join(visits, "grp").select("block", "hash", "home", each.alias("shard"), F.lit(VISITOR).alias("role"))
-    pivots = sets.join(groups.where("shards > 1").select(F.col("pivot").alias("hash"), "shards"), "hash").select("block", "hash", F.col("grp").alias("home"), each.alias("shard"), F.lit(PIVOT).alias("role"))
-
-    def visit(ways: DataFrame) -> DataFrame:
-        fetched = dealt.groupBy("block").cogroup(ways.groupBy("block")).applyInArrow(_fetch(size), "home long, shard int, role int, hash string, tokens binary")
-        return stage(fetched.groupBy("home", "shard").applyInArrow(_verify, LINKS), "found")
-
-    found = visit(own.union(guests).union(pivots))
-    split = groups.where("shards > 1").select("grp", "shards", "pivot")
-    if not split.isEmpty():
-        # texts of split groups that the pivot does not reach visit all shards
-        large = sets.join(split, "grp").where("hash != pivot").select("hash", "block", "grp", "shards", "pivot")
-        near = components(found.join(split.select(F.col("grp").alias("home")), "home", "left_semi"))
-        roots = near.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        loose = large.join(near.select(F.col("node").alias("hash"), "root"), "hash", "left").join(roots, "pivot", "left").where("root is null or pivot_root is null or root != pivot_root")
-        back = own.join(loose.select(F.col("grp").alias("home")).distinct(), "home", "left_semi")
-        again = loose.select("block", "hash", F.col("grp").alias("home"), each.alias("shard"), F.lit(VISITOR).alias("role"))
-        found = found.union(visit(back.select(again.columns).union(again)))
+    def cell(shard: Column) -> Column:
+        return F.when(F.col("shards") == 1, F.col("grp")).otherwise(F.xxhash64("grp", shard))
+
+    seated = stage(sets.where("n > 0").join(groups, "grp").withColumn("cell", cell(F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))), "seated")
+    own = seated.where("texts > 1").select("block", "id", F.col("cell").alias("home"), F.lit(MEMBER).alias("role"))
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    pivots = seated.where("shards > 1 and id = pivot").select("block", "id", "grp", "shards", every).select("block", "id", cell(F.col("shard")).alias("home"), F.lit(PIVOT).alias("role"))
+    fetched = dealt.groupBy("block").cogroup(own.union(pivots).groupBy("block")).applyInArrow(_fetch(size), "home long, role int, id long, tokens binary")
+    found = stage(fetched.groupBy("home").applyInArrow(_verify, LINKS), "found")
+
+    near = components(found)
+    open_cells = seated.where("shared > 0").select("id", "block", "n", "shared", "cell")
+    found, inner = _across(probes, open_cells, found, near, parts), found
+    divided = seated.where("shards > 1")
+    if not divided.isEmpty():
+        # groups with texts that the pivot's class lacks: each of their texts is its own group now
+        known = stage(divided.select("hash", "id", "grp", "pivot", "cell").join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("root", "id")), "known")
+        leading = known.where("id = pivot").select("grp", F.col("class").alias("leading"))
+        loose = known.join(leading, "grp").where("class != leading").select("grp").distinct()
+        again = known.join(loose, "grp", "left_semi").select("hash", "id", "cell")
+        if not again.isEmpty():
+            alone = dealt.join(again.drop("cell"), "hash").repartition(blocks, "block")
+            more, each = _matrix(alone, parts, size)
+            cells = each.where("shared > 0").select("id", "block", "n", "shared").join(again.select("id", "cell"), "id")
+            found = found.union(_across(more, cells, inner, near, parts))
     roots = components(found)
 
     ids = docs.select(F.col("doc_id").alias("own_id"), F.md5(text.cast("binary")).alias("hash"))
     firsts = ids.groupBy("hash").agg(F.min("own_id").alias("first_id"))
-    classes = sets.select("hash", F.col("n").alias("n_shingles")).join(firsts, "hash").join(roots.select(F.col("node").alias("hash"), "root"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    classes = sets.select("hash", "id", F.col("n").alias("n_shingles")).join(firsts, "hash").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component"))
     classes = stage(classes.join(least, "root").select(F.col("hash").alias("_hash"), F.col("n_shingles").alias("_shingles"), F.col("component").alias("_component")), "classes")
     kept = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
