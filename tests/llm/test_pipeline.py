@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from textmill.llm import language_id, mixing
 
+from .conftest import prose
 from .test_joins import brute, removed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -74,6 +75,14 @@ def test_stages_against_brute_force(spark, table, tmp_path):
     assert Counter(map(key, whole)) == Counter(map(key, fifth))
 
 
+def test_unlike_documents_of_one_id_stay(spark):
+    rows = [(5, prose(1, 40)), (5, prose(2, 40)), (5, prose(2, 40)), (6, prose(3, 40)), (7, prose(1, 40)), (8, None), (None, prose(4, 9))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string")
+    found = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert found.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter([rows[i] for i in (0, 1, 3, 5, 6)])
+
+
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.write.parquet(str(tmp_path / "sf" / "documents.parquet"))

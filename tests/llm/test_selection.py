@@ -65,6 +65,21 @@ def test_reduction_stays_near_the_fewest(lengths):
     assert sum(n for _, n in groups) <= fewest(lengths, 20) + 1
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(3, 25), min_size=0, max_size=9), st.integers(20, 30))
+def test_fixed_sets_are_part_of_an_optimum(lengths, capacity):
+    lengths = [n for n in lengths if n <= capacity]
+    groups, left = packing.reduce_lengths(Counter(lengths), capacity)
+    assert Counter(x for g, n in groups for x in g * n) + Counter(left) == Counter(lengths)
+    assert sum(n for _, n in groups) + fewest(list(Counter(left).elements()), capacity) == fewest(lengths, capacity)
+
+
+def test_sets_are_judged_against_all_that_is_not_fixed():
+    lengths = [9, 9, 10, 10, 14, 19, 25, 25]
+    groups, left = packing.reduce_lengths(Counter(lengths), 50)
+    assert sum(n for _, n in groups) + fewest(list(Counter(left).elements()), 50) == fewest(lengths, 50) == 3
+
+
 def test_slots_hold_each_rank_once():
     plan = packing.slots([((5, 5, 2), 3), ((7, 2), 4)])
     assert sorted(map(tuple, plan.tolist())) == [(2, 0, 0, 10), (2, 3, 3, 7), (5, 0, 0, 0), (5, 3, 0, 5), (7, 0, 3, 0)]

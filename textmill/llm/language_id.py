@@ -8,7 +8,8 @@ prediction is rejected. As averaging and the layer are both linear, each bucket
 language, and a text is read once, whatever the width of the embeddings.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; equal texts get equal
-results; an empty table gives no rows; without training rows everything is ``und``. Ids, sources and given
+results; an empty table gives no rows; without training rows everything is ``und``; labels that cannot be told apart
+on the calibration texts reject nothing, as the score says nothing there. Ids, sources and given
 languages are never inputs of a prediction.
 """
 
@@ -20,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from .common import slices, text_bytes
 
 UNKNOWN = "und"
-PER_LABEL = 1000
+PER_LABEL, LABELS = 1000, 200
 BUCKET_BITS = 15
 WIDTH = 16
 GRAMS = (2, 3, 4)
@@ -110,6 +111,17 @@ def _extracts(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return found
 
 
+def lowest_accepted(scores: np.ndarray) -> float:
+    """The score below which REJECTED of rightly labelled texts are expected to lie.
+
+    With too few of them for that quantile, the next score below all of them: as far from the lowest as that is from its neighbour.
+    """
+    k, order = int(REJECTED * (len(scores) + 1)), np.sort(scores)
+    if k:
+        return float(order[k - 1])
+    return max(0.0, float(2 * order[0] - order[1])) if len(order) > 1 else 0.0
+
+
 def train(texts: list[bytes], given: list[str], seed: int = 7) -> Model | None:
     """Fits on all but each fourth row and calibrates on those."""
     labels = sorted(set(given))
@@ -152,22 +164,29 @@ def train(texts: list[bytes], given: list[str], seed: int = 7) -> Model | None:
         model.temperature = min(tried, key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-30)).mean())
         p = _softmax(logits / model.temperature)
         right = p.argmax(axis=1) == truth
-        model.threshold = float(np.quantile(p.max(axis=1)[right], REJECTED)) if right.any() else 0.0
+        guess = np.bincount(truth).max() / len(truth)
+        if right.mean() > guess + 1 / np.sqrt(len(truth)):  # two standard errors better than the most frequent label
+            model.threshold = lowest_accepted(p.max(axis=1)[right])
     return model
 
 
 def sample(docs: DataFrame, label: str, usable: Column) -> tuple[list[bytes], list[str]]:
-    """At most PER_LABEL different texts of each label, in the order of a hash of the texts.
+    """At most PER_LABEL different texts of each of LABELS labels at most (the most frequent), in the order of a hash of the texts.
 
-    Only labels and hashes are ranked; the texts of the chosen ones are picked up in a second scan.
+    The number of different texts of a label is estimated first. Only texts whose hash lies below a bound, which half as
+    many again as are wanted should pass, are collapsed and collected; no task gathers the rows of a label.
     """
     rows = docs.where(usable & F.col("text").isNotNull() & F.col(label).isNotNull()).select(F.col("text"), F.col(label).alias("label"), F.md5(F.col("text").cast("binary")).alias("h"))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = rows.select("label", "h").distinct().withColumn("n", first).where(F.col("n") <= PER_LABEL).select("label", "h")
-    held = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "label string, h string")  # PER_LABEL rows a label
-    found = {(r["h"], r["label"]): r["text"] for r in rows.join(F.broadcast(held), ["label", "h"], "left_semi").select("h", "label", "text").dropDuplicates(["h", "label"]).collect()}
-    ordered = sorted(found)
-    return [found[k].encode() for k in ordered], [g for _, g in ordered]
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h", 0.03).alias("n")).orderBy(F.col("n").desc(), "label").limit(LABELS).collect()
+    if not sizes:
+        return [], []
+    bounds = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, 1.5 * PER_LABEL / max(1, r["n"])))))
+    at = F.conv(F.substring("h", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    found: dict[str, list] = {}
+    for r in rows.where(at < bounds[F.col("label")]).groupBy("label", "h").agg(F.first("text").alias("text")).collect():  # about 1.5 PER_LABEL rows a label
+        found.setdefault(r["label"], []).append((r["h"], r["label"], r["text"]))
+    ordered = sorted(x for each in found.values() for x in sorted(each)[:PER_LABEL])
+    return [t.encode() for _, _, t in ordered], [g for _, g, _ in ordered]
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

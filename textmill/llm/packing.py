@@ -25,7 +25,8 @@ from .common import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-SALTS = 64
+#: Pieces of one length that are ranked together, on average.
+RANKED = 50_000
 #: Words whose ids a worker keeps. It bounds memory only: other words are tokenised when met.
 KEPT_WORDS = 300_000
 
@@ -130,19 +131,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def reduce_and_pack(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Groups (lengths of a sequence, number of such sequences) that hold each piece of the histogram once.
+def reduce_lengths(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Sets of lengths that an optimal packing may hold, with how often, and the pieces that are in none.
 
-    Reduction, from the longest length L down, with room = capacity - L; a set with L dominates all others with L
-    if the companions of any other set can be dealt out among its own:
+    From the longest length L down, with room = capacity - L, a set with L dominates all others with L if the
+    companions of any other set of pieces not yet fixed can be dealt out among its own:
     nothing fits -> L alone; a piece of exactly ``room`` -> that pair; at most one companion fits -> the largest
     that does; at most two fit -> the largest single one if no two weigh more, or the pair (k1, k2) if k1 is the
-    largest single one and no second companion is longer than k2. What no rule fixes is packed by best fit,
-    longest first, and each later length may be fixed against it no more.
+    largest single one and no second companion is longer than k2. Fixing a set leaves fewer companions to the others,
+    so the lengths are gone through until no more is fixed.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     groups: list[tuple[tuple[int, ...], int]] = []
-    rest: dict[int, int] = {}
 
     def take(lengths: tuple[int, ...]) -> None:
         need: dict[int, int] = defaultdict(int)
@@ -165,7 +165,7 @@ def reduce_and_pack(histogram: dict[int, int], capacity: int) -> list[tuple[tupl
             return (long,)
         if single == room:
             return long, single
-        small = sorted(left)[:3]
+        small = sorted(left)[:4]  # one of them may be the piece itself alone
         low = [n for n in small for _ in range(min(3, left[n] - (n == long)))][:3]
         if len(low) < 2 or low[0] + low[1] > room:
             return long, single
@@ -173,7 +173,7 @@ def reduce_and_pack(histogram: dict[int, int], capacity: int) -> list[tuple[tupl
             return None
         best, second = 0, 0
         for b in sorted(n for n in left if 2 * n <= room):
-            a = largest(room - b, (long, b))
+            a = largest(room - b, (long, b)) if left[b] > (b == long) else 0
             if a >= b:
                 best, second = max(best, a + b), max(second, b)
         if best <= single:
@@ -181,14 +181,23 @@ def reduce_and_pack(histogram: dict[int, int], capacity: int) -> list[tuple[tupl
         with_single = largest(room - single, (long, single))
         return (long, single, with_single) if with_single and with_single >= second else None
 
-    for long in sorted(left, reverse=True):
-        while long in left:
-            found = fixed(long)
-            if not found:
-                rest[long] = left.pop(long)
-                break
-            take(found)
+    before = -1
+    while before != len(groups):
+        before = len(groups)
+        for long in sorted(left, reverse=True):
+            while long in left and (found := fixed(long)):
+                take(found)
+    return groups, left
+
 
+def reduce_and_pack(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Groups (lengths of a sequence, number of such sequences) that hold each piece of the histogram once.
+
+    What the reduction leaves is packed by best fit, longest first. Either step ends one length, or one group, with
+    each group it adds, so there are at most a few groups for each length, however many pieces.
+    """
+    groups, left = reduce_lengths(histogram, capacity)
+    rest = dict(sorted(left.items(), reverse=True))
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room left
     for long, count in rest.items():  # longest first
         for room in range(long, capacity):
@@ -225,18 +234,21 @@ def slots(groups: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Every piece of ``docs`` with its sequence and its offset there; see the module for cases."""
     cut = stage(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     plan = slots(reduce_and_pack(histogram, capacity))
+    most = max(histogram.values(), default=0)
+    spread = F.create_map(*(F.lit(x).cast("long") for n, c in histogram.items() if c > RANKED for x in (n, -(-c // RANKED)))) if most > RANKED else None
+    salts = F.coalesce(spread[F.col("length")], F.lit(1)) if most > RANKED else F.lit(1)
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     place = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         salted.withColumn("row", F.row_number().over(place))
-        .join(F.broadcast(before), ["length", "salt"])  # at most capacity * SALTS rows
+        .join(before, ["length", "salt"])  # in place: rows are already dealt by these
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
     )
-    held = docs.sparkSession.sparkContext.broadcast(plan)  # grows with the number of different patterns, not of documents
+    held = docs.sparkSession.sparkContext.broadcast(plan)  # bounded by the capacity: a few groups for each length, of ``capacity`` pieces at most
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = held.value

@@ -28,7 +28,7 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_classes
 
-    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "class_id")
 
 
 OP2_SQL = r"""
