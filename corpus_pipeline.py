@@ -2,6 +2,10 @@
 
 Rejected languages go; of similar documents the one with the smallest id stays; repeated strings are cut out;
 sources are mixed to their targets, so documents are dropped or repeated; what is left is packed.
+
+Defined results: null texts and texts without a letter go with the rejected languages; rows without an id stay where a
+stage keeps one of several; rows that are equal in all columns are interchangeable; the columns of ``documents`` alone
+are passed on, whatever else the table has; n_chars is counted anew where text was cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +27,18 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of similar ones. Documents without words or ids all stay."""
-    found = ngram_join.similar_classes(docs)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")))
-    if not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():  # an id may stay once only
-        words = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-        kept = kept.where(words).dropDuplicates(["doc_id"]).unionByName(kept.where(~words))
-    return kept.select(docs.columns)
+    """One document of each class of similar ones: of those with its smallest id, the first by a hash of the row.
+
+    Documents without words or ids all stay, and so do unlike documents of one id, as each is of its own class.
+    """
+    found = ngram_join.similar_classes(docs.select(*docs.columns))
+    free = F.col("doc_id").isNull() | F.col("class_id").isNull()
+    kept = stage(found.where(free | (F.col("doc_id") == F.col("component_id"))).withColumn("_class", F.when(~free, F.col("class_id"))), "kept")
+    many = stage(kept.where("_class is not null").groupBy("_class").count().where("count > 1").select("_class"), "many")
+    if many.isEmpty():
+        return kept.select(docs.columns)
+    ties = kept.join(many, "_class").groupBy("_class").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(many, "_class", "left_anti").select(docs.columns).unionByName(ties)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
