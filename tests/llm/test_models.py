@@ -98,7 +98,10 @@ class Plain:
         return sum(math.log10(self.p(s[i - ppm.ORDER : i], s[i])) for i in range(ppm.ORDER, len(s)))
 
 
-def test_ppm_against_plain_model(docs, rows, empty):
+@pytest.mark.parametrize("block_bytes, fan", [(ppm.BLOCK_BYTES, ppm.FAN), (6000, 2)])
+def test_ppm_against_plain_model(docs, rows, empty, monkeypatch, block_bytes, fan):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(ppm, "FAN", fan)
     train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
     found = ppm.score(docs, train).collect()
     texts = [(r[1] or "").encode().translate(LOWER) for r in rows]

@@ -9,7 +9,9 @@ Texts are lower-cased (A-Z) and dealt into blocks by hash. Each block gathers th
 its texts, with their counts in training texts; these are shuffled by n-gram, merged into the part of the trie that
 holds their contexts, answered with counts or logarithms, and shuffled back to the block. So no trie and no
 vocabulary is ever held in one place; only the counts of single bytes after single bytes, 257 x 257 at most, are.
-Parts are dealt by the last two bytes of the context, and large numbers of blocks are spread over copies of a part.
+Parts are dealt by the last two bytes of the context and SPLIT kinds of the byte before them, so that a frequent pair
+of bytes does not fill one part; the contexts of two bytes are then summed over these parts and sent back to them. The
+counts of many blocks are summed in levels of FAN blocks, and their questions are spread over copies of a part.
 
 Defined results: a null text counts as empty, with the end token alone; equal texts get equal scores; without
 training texts symbols are equally likely and no token is known; an empty table gives no rows.
@@ -30,7 +32,8 @@ WIDTH = 9  # bits
 BLOCK_BYTES, PART_KEYS = 16 << 20, 1 << 20
 #: Blocks that one copy of a part answers.
 BLOCKS_EACH = 512
-NGRAM, WORD = 0, 1
+FAN, SPLIT = 256, 8
+NGRAM, WORD, TRIPLE = 0, 1, 2
 #: Key of the end token among the words.
 END = np.uint64(1)
 REQUEST = "part int, block int, kind int, keys binary, counts binary"
@@ -104,8 +107,13 @@ def _word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
-    """n-grams go by the last two bytes of their context, words by their own value."""
-    by = keys >> np.uint64(WIDTH) & _mask(2) if kind == NGRAM else keys >> np.uint64(1)
+    """n-grams go by the last two bytes of their context and the kind of the one before, triples by their first two, words by their own value."""
+    if kind == WORD:
+        by = keys >> np.uint64(1)
+    else:
+        by = keys >> np.uint64(WIDTH) & _mask(2)
+        if kind == NGRAM:
+            by = by | (keys >> np.uint64(3 * WIDTH) & np.uint64(SPLIT - 1)) << np.uint64(2 * WIDTH)
     return ((by * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
@@ -139,31 +147,94 @@ def _read(table: pa.Table, kind: int, counts: str, kind_of_count) -> list[tuple[
     return [(np.frombuffer(k, np.uint64), np.frombuffer(c, kind_of_count)) for k, c in zip(chosen.column("keys").to_pylist(), chosen.column(counts).to_pylist())]
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One part: the counts of all blocks summed, for keys that training texts hold."""
-    import pyarrow.compute  # noqa: F401
-
-    part, rows = table.column("part")[0].as_py(), []
-    for kind in (NGRAM, WORD):
-        found = [(k[c > 0], c[c > 0].astype(np.int64)) for k, c in _read(table, kind, "counts", np.uint32)]
-        keys, counts = _merge(found)
-        pairs = []
+def _summed(table: pa.Table, kind: int, kind_of_count) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for keys that training texts hold, and one key without count for each pair of bytes that is asked for only."""
+    found = []
+    for k, c in _read(table, kind, "counts", kind_of_count):
+        keep = c > 0
         if kind == NGRAM:
-            two, sums = _merge([(keys & _mask(2), counts)])
-            pairs = [{"pair": p, "n": n} for p, n in zip(two.tolist(), sums.tolist())]
-        rows.append((part, kind, keys.tobytes(), counts.tobytes(), pairs, len(keys), int(counts.sum())))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("pair", pa.int32()), ("n", pa.int64())])), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "kind", "keys", "counts", "pairs", "different", "total"])
+            keep[np.unique(k >> np.uint64(WIDTH) & _mask(2), return_index=True)[1]] = True
+        found.append((k[keep], c[keep].astype(np.int64)))
+    return _merge(found)
+
+
+def _sum_up(kind_of_count):
+    """The counts of FAN blocks, or sums of such."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import pyarrow.compute  # noqa: F401
+
+        part, above, rows = table.column("part")[0].as_py(), table.column("above")[0].as_py(), []
+        for kind in (NGRAM, WORD):
+            keys, counts = _summed(table, kind, kind_of_count)
+            rows.append((part, above, kind, keys.tobytes(), counts.tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "above", "kind", "keys", "counts"])
+
+    return run
+
+
+def _gather(kind_of_count):
+    """One part: all counts summed, for keys that training texts hold; and those of its contexts of two bytes and of one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import pyarrow.compute  # noqa: F401
+
+        part, rows = table.column("part")[0].as_py(), []
+        for kind in (NGRAM, WORD):
+            keys, counts = _summed(table, kind, kind_of_count)
+            pairs = []
+            if kind == NGRAM:
+                three, sums = _merge([(keys & _mask(3), counts)])
+                rows.append((part, TRIPLE, three.tobytes(), sums.tobytes(), [], 0, 0))
+                keys, counts = keys[counts > 0], counts[counts > 0]
+                two, sums = _merge([(keys & _mask(2), counts)])
+                pairs = [{"pair": p, "n": n} for p, n in zip(two.tolist(), sums.tolist())]
+            rows.append((part, kind, keys.tobytes(), counts.tobytes(), pairs, len(keys), int(counts.sum())))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("pair", pa.int32()), ("n", pa.int64())])), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "kind", "keys", "counts", "pairs", "different", "total"])
+
+    return run
+
+
+def _deal(parts: int):
+    """Triples of a part, by where their first two bytes are summed."""
+
+    def run(batches):
+        for batch in batches:
+            for part, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "counts"))):
+                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                to = _part_of(keys, TRIPLE, parts)
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(parts + 1))
+                rows = [(p, part, keys[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["dealt", "part", "keys", "counts"])
+
+    return run
+
+
+def _complete(table: pa.Table) -> pa.Table:
+    """For each part, all symbols that follow the pairs of bytes that it holds or is asked for, with their sums over all parts."""
+    sent = [(p, np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for p, k, c in zip(*(table.column(x).to_pylist() for x in ("part", "keys", "counts")))]
+    keys, counts = _merge([(k[c > 0], c[c > 0]) for _, k, c in sent])
+    rows = []
+    for part, k, _ in sent:
+        mine = np.isin(keys >> np.uint64(WIDTH), k >> np.uint64(WIDTH))
+        rows.append((part, TRIPLE, keys[mine].tobytes(), counts[mine].tobytes()))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "keys", "counts"])
 
 
 class Trie:
-    """Contexts of one part as levels of sorted arrays; the two lowest levels are those of the whole corpus."""
+    """Contexts of one part as levels of sorted arrays; the three lowest levels are those of the whole corpus."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> None:
-        """pairs: how often each symbol (column) follows each single byte (row)."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, triples: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """pairs: how often each symbol (column) follows each single byte (row); triples: and the pairs of bytes of this part, if not all is here."""
         self.levels: list[tuple] = []  # from ORDER down to 2: (entries, counts, contexts, totals, numbers of symbols)
         for order in range(ORDER, 1, -1):
-            k, c = (keys, counts) if order == ORDER else _merge([(self.levels[-1][0] & _mask(order + 1), self.levels[-1][1])])
+            if order == 2 and triples is not None:
+                k, c = triples
+            else:
+                k, c = (keys, counts) if order == ORDER else _merge([(self.levels[-1][0] & _mask(order + 1), self.levels[-1][1])])
             context = k >> np.uint64(WIDTH)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(k) else np.zeros(0, np.int64)
             self.levels.append((k, c, context[first], np.add.reduceat(c, first) if len(first) else c, np.diff(np.append(first, len(k))), first))
@@ -228,7 +299,7 @@ def _answer(pairs):
         rows = []
         for kind in (NGRAM, WORD):
             keys, counts = _merge(_read(model, kind, "counts", np.int64))
-            trie = Trie(keys, counts, pairs.value) if kind == NGRAM else None
+            trie = Trie(keys, counts, pairs.value, _merge(_read(model, TRIPLE, "counts", np.int64))) if kind == NGRAM else None
             asked = requests.filter(pa.compute.equal(requests.column("kind"), kind))
             for block, raw in zip(asked.column("block").to_pylist(), asked.column("keys").to_pylist()):
                 wanted = np.frombuffer(raw, np.uint64)
@@ -302,13 +373,20 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     parts = spread(spark, held["n"] // 32, PART_KEYS)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     requests = stage(dealt.groupBy("block").applyInArrow(_request(parts), REQUEST), "lm-requests")
-    model = stage(requests.groupBy("part").applyInArrow(_gather, MODEL), "lm-model")
+    counts, kind_of_count, groups = requests.select("part", F.floor(F.col("block") / FAN).cast("int").alias("above"), "kind", "keys", "counts"), np.uint32, -(-blocks // FAN)
+    while groups > 1:
+        counts = counts.groupBy("part", "above").applyInArrow(_sum_up(kind_of_count), "part int, above int, kind int, keys binary, counts binary").withColumn("above", F.floor(F.col("above") / FAN).cast("int"))
+        kind_of_count, groups = np.int64, -(-groups // FAN)
+    model = stage(counts.groupBy("part").applyInArrow(_gather(kind_of_count), MODEL), "lm-model")
     words = model.where(F.col("kind") == WORD).agg(F.sum("different").alias("different"), F.sum("total").alias("total")).first()
     pairs = np.zeros((SYMBOLS, SYMBOLS))
     for r in model.select(F.explode("pairs").alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n")).collect():  # at most SYMBOLS ** 2
         pairs[r["pair"] >> WIDTH, r["pair"] & (1 << WIDTH) - 1] = r["n"]
     copies = -(-blocks // BLOCKS_EACH)
     asked = requests.select("part", "block", "kind", "keys", F.pmod("block", F.lit(copies)).alias("copy"))
-    given = model.select("part", "kind", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    triples = model.where(F.col("kind") == TRIPLE).select("part", "keys", "counts").mapInArrow(_deal(parts), "dealt int, part int, keys binary, counts binary")
+    triples = triples.groupBy("dealt").applyInArrow(_complete, "part int, kind int, keys binary, counts binary")
+    whole = model.where(F.col("kind") != TRIPLE).select("part", "kind", "keys", "counts").union(triples)
+    given = whole.select("part", "kind", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     answers = asked.groupBy("part", "copy").cogroup(given.groupBy("part", "copy")).applyInArrow(_answer(spark.sparkContext.broadcast(pairs)), ANSWER)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(words["total"] or 0, words["different"] or 0), SCORED)
