@@ -7,10 +7,12 @@ their left, and nothing is missed by leaving out the others.
 
 1. Equal texts are collapsed: of SPAN bytes or more, their copies go whole, and one of them stays as a partner for
    other texts. Texts are dealt into blocks by their hash.
-2. Blocks send the hashes of their anchors' grams to parts, which answer with those that stand more than once.
-3. For these, a block sorts its suffixes (SPAN bytes right of the anchor, then the bytes left of it, backwards),
+2. A repeat reaches HALF bytes or more from the gram to the right, or to the left. So each anchor has two keys, the
+   gram with HALF bytes on either side; a gram that many texts hold in different surroundings has different keys.
+   Blocks send hashes of the keys to parts, which answer with those that stand more than once.
+3. For these, a block sorts its suffixes (up to SPAN bytes right of the anchor, then the bytes left of it, backwards),
    collapses equal ones and sends each part its run, front-coded: the length shared with the entry before, and the
-   rest. All suffixes with one gram meet in one part.
+   rest. All suffixes with one key meet in one part.
 4. A part merges the runs by a loser tree that keeps for each entry the length it shares with the last output: a
    longer one wins without a look at the bytes, and equal ones are compared from there on only.
 5. In sorted order, suffixes that share their first r bytes are neighbours. For each number j of bytes to the left,
@@ -18,7 +20,8 @@ their left, and nothing is missed by leaving out the others.
 6. Blocks look up what their anchors' contexts cover, and cut it out.
 
 Groups of alike suffixes are collapsed in each block before they travel, so a part sees one entry of a block for
-each different context, however many documents share it.
+each different context, however many documents share it. Keys, contexts and bytes left of anchors are held equal if
+64-bit hashes of them are.
 
 Defined results: a null text counts as empty; texts under SPAN bytes keep everything; an empty table gives no rows.
 """
@@ -38,6 +41,8 @@ from .common import SLICE_BYTES, spread, slices, text_bytes
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM
+HALF = REACH // 2
+RIGHT, LEFT = 0, 1
 BLOCK_BYTES, PART_BYTES = 16 << 20, 24 << 20
 
 
@@ -71,18 +76,25 @@ class Anchors:
             best = _sliding(padded, REACH + 1, False)
             self.at = np.flatnonzero((rank == best[: len(rank)]) & (best[: len(rank)] > 0))
             self.at = self.at[self.at + GRAM <= end[self.at]]
-            self.keys = grams[self.at]
             self.text = text[self.at]
-            self.low = np.maximum(self.at - REACH, self.joined.starts[self.text])
-            self.high = np.minimum(self.at + SPAN, ends[self.text])
         else:
-            self.keys, self.text = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.low = self.high = self.at
+            self.text = np.zeros(0, np.int64)
+        self.begin, self.end = self.joined.starts[self.text], ends[self.text]
 
-    def contexts(self) -> np.ndarray:
-        """A hash of each anchor's context and of the anchor's place in it."""
-        whole = self.joined.hashes(self.low, self.high)
-        return mix(whole + (self.at - self.low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def side(self, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors whose text reaches far enough for a key on this side, the keys, and where their contexts begin and end."""
+        first, last = self.at - (HALF if side == LEFT else 0), self.at + GRAM + (HALF if side == RIGHT else 0)
+        own = np.flatnonzero((first >= self.begin) & (last <= self.end))
+        keys = mix(self.joined.hashes(first[own], last[own]) + np.uint64(side))
+        low = np.maximum(self.at[own] - (REACH if side == LEFT else HALF), self.begin[own])
+        return own, keys, low, np.minimum(self.at[own] + (SPAN if side == RIGHT else GRAM + HALF), self.end[own])
+
+    def keys(self) -> np.ndarray:
+        return np.concatenate([self.side(RIGHT)[1], self.side(LEFT)[1]])
+
+    def contexts(self, side: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of each context, of the anchor's place in it and of the side."""
+        return mix(self.joined.hashes(low, high) + ((at - low) * 2 + side).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _texts(table: pa.Table) -> tuple[list[bytes], list[int], list[str]]:
@@ -147,7 +159,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ask(parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        found, many = _different(np.concatenate([a.keys for _, a in _runs_of(_texts(table)[0])] or [np.zeros(0, np.uint64)]))
+        found, many = _different(np.concatenate([a.keys() for _, a in _runs_of(_texts(table)[0])] or [np.zeros(0, np.uint64)]))
         to = _part_of(found, parts)
         order = np.argsort(to, kind="stable")
         found, many, to = found[order], many[order], to[order]
@@ -251,17 +263,19 @@ def _send(parts: int):
         wanted = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in told.column("keys").to_pylist()]))
         by_part: dict[int, dict[int, list]] = {}
         for _, a in _runs_of(_texts(texts)[0]):
-            at = np.minimum(np.searchsorted(wanted, a.keys), len(wanted) - 1)
-            chosen = np.flatnonzero(wanted[at] == a.keys)
             data = a.joined.data.tobytes()
-            contexts, to = a.contexts()[chosen].tolist(), _part_of(a.keys[chosen], parts).tolist()
-            for c, p, low, mid, high in zip(contexts, to, a.low[chosen].tolist(), a.at[chosen].tolist(), a.high[chosen].tolist()):
-                held = by_part.setdefault(p, {})
-                if c in held:
-                    held[c][1] = True
-                else:
-                    right = data[mid:high]
-                    held[c] = [right.ljust(SPAN, b"\0") + data[low:mid][::-1] + bytes([high - mid]), False]
+            for side in (RIGHT, LEFT):
+                own, keys, low, high = a.side(side)
+                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                chosen = np.flatnonzero(wanted[at] == keys)
+                place, low, high = a.at[own[chosen]], low[chosen], high[chosen]
+                contexts, to = a.contexts(side, place, low, high).tolist(), _part_of(keys[chosen], parts).tolist()
+                for c, p, first, mid, last in zip(contexts, to, low.tolist(), place.tolist(), high.tolist()):
+                    held = by_part.setdefault(p, {})
+                    if c in held:
+                        held[c][1] = True
+                    else:
+                        held[c] = [data[mid:last].ljust(SPAN, b"\0") + data[first:mid][::-1] + bytes([last - mid]), False]
         rows = []
         for p, held in by_part.items():
             entries = sorted((e, c, many) for c, (e, many) in held.items())
@@ -346,12 +360,20 @@ def _cut(whole_characters: bool):
         found: dict[int, list[tuple[int, int]]] = {}
         if len(wanted):
             for before, a in _runs_of(raw):
-                c = a.contexts()
-                at = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == c)
-                inside = a.at[hit] - a.joined.starts[a.text[hit]]
-                first, last = inside - most[at[hit]], inside - least[at[hit]] + SPAN
-                edges = np.searchsorted(a.text[hit], np.arange(len(a.joined.lengths) + 1))
+                text, first, last = [], [], []
+                for side in (RIGHT, LEFT):
+                    own, _, low, high = a.side(side)
+                    c = a.contexts(side, a.at[own], low, high)
+                    at = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
+                    hit = np.flatnonzero(wanted[at] == c)
+                    inside = a.at[own[hit]] - a.begin[own[hit]]
+                    text.append(a.text[own[hit]])
+                    first.append(inside - most[at[hit]])
+                    last.append(inside - least[at[hit]] + SPAN)
+                text = np.concatenate(text)
+                order = np.argsort(text, kind="stable")
+                first, last = np.concatenate(first)[order], np.concatenate(last)[order]
+                edges = np.searchsorted(text[order], np.arange(len(a.joined.lengths) + 1))
                 for t in np.flatnonzero(np.diff(edges)).tolist():
                     found[before + t] = spans(first[edges[t] : edges[t + 1]], last[edges[t] : edges[t + 1]])
         rows = []
