@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -19,22 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = getattr(spark, "_textmill_dir", None) or "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark._textmill_dir = found
     return found
 
 
+_recorded = threading.local()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in getattr(_recorded, "open", [])[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """At the end, deletes the tables that were staged inside, but for the last one: what is returned may read that one only."""
+    _recorded.open = [*getattr(_recorded, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _recorded.open.pop()[:-1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(spark: SparkSession, units: int, per_task: int, least: int | None = None) -> int:
     """Number of partitions for so many units of work, never below the session's shuffle partitions."""
     least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))

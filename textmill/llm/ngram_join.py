@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytehash import Joined, shingles
-from .common import SLICE_BYTES, spread, stage
+from .common import SLICE_BYTES, passing, spread, stage
 from .suffix_dedup import _collapse, _table, _texts
 
 SIZE, PERCENT = 5, 75
@@ -477,18 +477,8 @@ def _across(probes: DataFrame, cells: DataFrame, found: DataFrame, near: DataFra
     return found
 
 
-def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with n_shingles, component_id and class_id.
-
-    component_id is the smallest doc_id that links reach, the own included. class_id, any number, is that of the class
-    itself, and null for texts without words: rows of one id may be of different classes.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
-    blocks, parts = spread(spark, held, BLOCK_BYTES), spread(spark, held // 12, PART_TOKENS)
-    dealt = docs.select(text.alias("text")).mapInArrow(_collapse, "hash string, text binary, copies long")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+def _classes(docs: DataFrame, dealt: DataFrame, text: Column, blocks: int, parts: int, size: int) -> DataFrame:
+    """(_hash, _shingles, _component, _class) of each different text; it reads one staged table."""
     probes, sets = _matrix(dealt, parts, size)
 
     groups = sets.where("n > 0").groupBy("grp").agg(F.count("*").alias("texts"), F.min("id").alias("pivot"))
@@ -525,7 +515,23 @@ def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     firsts = ids.groupBy("hash").agg(F.min("own_id").alias("first_id"))
     classes = sets.select("hash", "id", F.col("n").alias("n_shingles")).join(firsts, "hash").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component"))
-    classes = stage(classes.join(least, "root").select(F.col("hash").alias("_hash"), F.col("n_shingles").alias("_shingles"), F.col("component").alias("_component"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("_class")), "classes")
+    return stage(classes.join(least, "root").select(F.col("hash").alias("_hash"), F.col("n_shingles").alias("_shingles"), F.col("component").alias("_component"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("_class")), "classes")
+
+
+def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with n_shingles, component_id and class_id.
+
+    component_id is the smallest doc_id that links reach, the own included. class_id, any number, is that of the class
+    itself, and null for texts without words: rows of one id may be of different classes.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
+    blocks, parts = spread(spark, held, BLOCK_BYTES), spread(spark, held // 12, PART_TOKENS)
+    dealt = docs.select(text.alias("text")).mapInArrow(_collapse, "hash string, text binary, copies long")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    with passing(spark):
+        classes = _classes(docs, dealt, text, blocks, parts, size)
     kept = [c for c in docs.columns if c not in ("n_shingles", "component_id", "class_id")]
     joined = docs.select(*kept, F.md5(text.cast("binary")).alias("_row_hash")).join(classes, F.col("_row_hash") == F.col("_hash"))
     return joined.select(*kept, F.col("_shingles").alias("n_shingles"), F.when(F.col("_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.col("_class").alias("class_id"))
