@@ -33,7 +33,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     found = ngram_join.similar_classes(docs.select(*docs.columns))
     free = F.col("doc_id").isNull() | F.col("class_id").isNull()
-    kept = stage(found.where(free | (F.col("doc_id") == F.col("component_id"))).withColumn("_class", F.when(~free, F.col("class_id"))), "kept")
+    kept = found.where(free | (F.col("doc_id") == F.col("component_id"))).withColumn("_class", F.when(~free, F.col("class_id")))
     many = stage(kept.where("_class is not null").groupBy("_class").count().where("count > 1").select("_class"), "many")
     if many.isEmpty():
         return kept.select(docs.columns)
