@@ -189,3 +189,22 @@ def sentence_with(x: Column, keywords: list[str]) -> Column:
 
 def markdown_cell(x: Column) -> Column:
     return F.translate(F.replace(filled(x), F.lit("|"), F.lit("/")), "\n", " ")
+
+
+# Fixed values.
+_FOLD_FROM, _FOLD_TO = "áàâãäéêèíìóôõöúüç", "aaaaaeeeiioooouuc"
+
+
+def fold_letters(x: Column) -> Column:
+    """Seventeen accented letters as plain ones, in either case; all others stay."""
+    return F.translate(x, _FOLD_FROM + _FOLD_FROM.upper(), _FOLD_TO + _FOLD_TO.upper())
+
+
+def context_text(*columns: str) -> Column:
+    """Columns joined by blanks; null counts as empty."""
+    return F.concat_ws(" ", *(filled(F.col(c)) for c in columns))
+
+
+def publisher(x: Column) -> Column:
+    """What follows "Publicado por:" up to a slash."""
+    return normalize_space(F.regexp_extract(normalize_space(x), r"(?i)publicado por:\s*([^/]+)", 1))

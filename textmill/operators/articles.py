@@ -44,3 +44,14 @@ def training_frame(labelled: DataFrame, label: str, least: int = 8, other: str =
     dropped = (F.col(label) == other) & (F.col("others") > most_other * F.col("all")) & (F.col("classes") > 2)
     kept = counts.crossJoin(share).where(~dropped).select(label)  # share is one row
     return labelled.join(F.broadcast(kept), label, "left_semi")  # one row for each class
+
+
+def canonical_score(status: Column, words: Column, published: Column, unit: Column, images: Column, links: Column, richness: Column) -> list[Column]:
+    """What makes a document canonical in its group, most important first; the smallest id decides ties."""
+    has = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    return [F.coalesce(status == "collected", F.lit(False)), F.coalesce(words, F.lit(0)), has(published), has(unit), F.coalesce(images, F.lit(False)), F.coalesce(links, F.lit(False)), richness]
+
+
+def view(grouped: DataFrame, canonical: bool) -> DataFrame:
+    """The whole corpus, or its canonical documents only."""
+    return grouped.where("is_canonical") if canonical else grouped

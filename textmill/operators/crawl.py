@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 STOPS = ("not_found", "small_page", "repeated_page", "no_links")
 
@@ -35,3 +35,9 @@ def listing_urls(sources: DataFrame, base: str, max_pages: int, path_style: Colu
 def best_attempt(attempts: DataFrame, key: str, score: Column, order: str) -> DataFrame:
     """The attempt with the best score for each key; the earliest of equals."""
     return attempts.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(score.desc(), F.col(order)))).where("_rank = 1").drop("_rank")
+
+
+def diagnostic_urls(spark: SparkSession, hosts: list[str], templates: list[str], extra: list[str] | None = None) -> DataFrame:
+    """Addresses to test: each host, with the extra ones if asked, under both schemes with each template, once each."""
+    every = dict.fromkeys(scheme + host + path for host in [*hosts, *(extra or [])] for scheme in ("http://", "https://") for path in templates)
+    return spark.createDataFrame([(u,) for u in every], "url string")

@@ -195,3 +195,25 @@ def consolidate(parts: dict[str, DataFrame], order: str, prefix: str = "gart") -
         one = df.withColumn("dataset", F.lit(name)).withColumn("original_id", F.col(order))
         united = one if united is None else united.unionByName(one, allowMissingColumns=True)
     return numbered(united, prefix, ["dataset", order], "global_id")
+
+
+def near_keys(keys: DataFrame, key: str, percent: int = 5) -> DataFrame:
+    """(a, b, distance): all pairs of different keys, a < b, whose edit distance is at most ``percent`` of the longer one.
+
+    No block and no cross join: of a key cut into one segment more than edits are allowed, one segment is untouched, and
+    stands in the other key no farther off than that. So keys meet by (length, edits allowed, segment number, segment).
+    """
+    texts = keys.select(F.col(key).alias("t"), F.length(key).alias("n")).where("n > 0").distinct()
+    allowed = lambda n: F.floor(n * percent / 100).cast("int")
+    edge = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
+    meet = lambda n, k, i, s: F.xxhash64(n, k, i, s)
+    longest = F.floor(F.col("n") * 100 / (100 - percent)).cast("int")
+    held = texts.withColumn("k", F.explode(F.sequence(allowed(F.col("n")), allowed(longest)))).where("k > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, stop = edge(F.col("i"), F.col("n"), F.col("k")), edge(F.col("i") + 1, F.col("n"), F.col("k"))
+    held = held.select(F.col("t").alias("a"), meet(F.col("n"), F.col("k"), F.col("i"), F.substr("t", start + 1, stop - start)).alias("meet"))
+    asked = texts.withColumn("k", allowed(F.col("n"))).where("k > 0").withColumn("m", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    asked = asked.withColumn("start", edge(F.col("i"), F.col("m"), F.col("k"))).withColumn("size", edge(F.col("i") + 1, F.col("m"), F.col("k")) - F.col("start"))
+    asked = asked.withColumn("at", F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(0)), F.col("start") + F.col("k")))).where("at + size <= n")
+    asked = asked.select(F.col("t").alias("b"), "k", meet(F.col("m"), F.col("k"), F.col("i"), F.substr("t", F.col("at") + 1, F.col("size"))).alias("meet"))
+    both = held.join(asked, "meet").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
+    return both.withColumn("distance", F.levenshtein("a", "b")).where("distance <= k").select("a", "b", "distance")

@@ -76,7 +76,7 @@ def a7_coverage(spark, sf_dir):
 
 
 @query("SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1")
-def a8_crawl_report(spark, sf_dir):
+def a21_request_report(spark, sf_dir):
     return profile.request_report(read(spark, sf_dir, "events"), "event_type", "value")
 
 

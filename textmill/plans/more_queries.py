@@ -65,29 +65,12 @@ def a11_host_summary(spark, sf_dir):
     return read(spark, sf_dir, "pages").groupBy(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain")).agg(F.count("*").alias("pages"), F.count_distinct(host).alias("hosts"), F.bool_or(F.startswith("url", F.lit("https"))).alias("secure"))
 
 
-@query("SELECT event_type, user_id, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS rank FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)) WHERE rank <= 3")
-def a9_top_by_type(spark, sf_dir):
-    counts = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))).where("rank <= 3")
-
-
 @query("SELECT source, lang, count(*) AS n, grouping_id(source, lang) AS gid FROM documents GROUP BY GROUPING SETS ((source, lang), (source), ())")
 def a5_rollup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return docs.groupingSets([[F.col("source"), F.col("lang")], [F.col("source")], []], "source", "lang").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
-def a16_pricing_summary(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-
-
-@query("SELECT c_mktsegment, coalesce(round(avg(c_acctbal), 2), 0) AS avg, median(c_acctbal) AS median, count(*) AS n FROM customer GROUP BY 1")
-def a10_inspection(spark, sf_dir):
-    return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.coalesce(F.round(F.avg("c_acctbal"), 2), F.lit(0.0)).alias("avg"), F.median("c_acctbal").alias("median"), F.count("*").alias("n"))
-
-
 @query("SELECT 'documents' AS name, count(*) AS n, count_if(coalesce(text, '') = '')::BIGINT AS empty FROM documents UNION ALL SELECT 'benchmark', count(*), count_if(coalesce(text, '') = '')::BIGINT FROM benchmark UNION ALL SELECT 'conversations', count(*), count_if(coalesce(text, '') = '')::BIGINT FROM conversations")
 def o5_concat_summary(spark, sf_dir):
     found = None
