@@ -43,9 +43,11 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that stand anywhere else too; each document stays, if without text."""
-    rows = suffix_dedup.remove_repeats(docs, whole_characters=True)
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    rows = suffix_dedup.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), whole_characters=True)
+    # what is kept is the whole text where nothing goes, so texts need not travel beside it
+    whole = F.size("removed") == 0
+    text = F.when(~F.col("_none"), F.col("kept").cast("string"))
+    return rows.withColumns({"text": text, "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("long"))}).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
