@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import stage
+
 
 def shuffled(seed: int, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
@@ -70,7 +72,8 @@ def numbered(df: DataFrame, prefix: str, order: list[str], name: str) -> DataFra
     Rows are range-partitioned by the order and ranked within partitions; the counts of partitions are summed up
     before, so no task holds all rows. Equal order keys share a partition.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # staged: ranges and numbers of partitions have to be the same for the counts and for the rows
+    ranged = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     held = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = held.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -24,7 +24,8 @@ def keyed(spark, sf_dir):
 
 def edges_of(rows):
     by_title = F.when(F.col("title_key") != "", F.concat_ws("|", "title_key", "unit")).otherwise("")
-    return dedupe.exact_edges(rows.select("doc_id", "content_hash", "title_key", "unit"), {"content_hash": (F.col("content_hash"), 1.0), "title_unit": (by_title, 0.95)})
+    rows = stage(rows.select("doc_id", "content_hash", "title_key", "unit"), "keys")  # narrow: keys of whole texts are made once
+    return dedupe.exact_edges(rows, {"content_hash": (F.col("content_hash"), 1.0), "title_unit": (by_title, 0.95)})
 
 
 @query(f"WITH {EDGES} SELECT src, dst, reason, confidence FROM edges")

@@ -22,5 +22,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+#: Tables of long texts, where a task's work is in the text functions.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that comes in fewer partitions than there are cores (a single row group) is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..sources.scratch import shared_dir
 from ..streaming import events
+from .page_queries import NORMALIZED
 from .registry import query
 
 
@@ -39,3 +41,16 @@ def st6_sliding(spark, sf_dir):
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def st6_session(spark, sf_dir):
     return events.drain(events.sessions(events.stream(spark, sf_dir, "events"), "30 minutes", "user_id"), "complete")
+
+
+@query(f"WITH n AS (SELECT page_id, url, {NORMALIZED} AS normalized FROM pages) SELECT normalized, min(page_id) AS first_id, min_by(url, page_id) AS first_url, (count(DISTINCT url) - 1)::INT AS alternatives FROM n GROUP BY 1")
+def st4_known_addresses(spark, sf_dir):
+    rows = events.pages(spark, sf_dir).select("page_id", "url", urls.normalize_url(F.col("url")).alias("normalized"))
+    return events.drain(events.known_addresses(rows, "page_id", "url"), "complete")
+
+
+@query("WITH w AS (SELECT page_id % 10 AS source, page_id // 10 AS page, md5((length(html) % 60)::VARCHAR) AS fp FROM pages) SELECT source, min(page) AS stop_page FROM (SELECT source, page, row_number() OVER (PARTITION BY source, fp ORDER BY page) AS n FROM w) WHERE n > 1 GROUP BY 1")
+def st5_stop_pages(spark, sf_dir):
+    page = F.col("page_id")
+    walk = events.pages(spark, sf_dir).select((page % 10).alias("source"), F.floor(page / 10).alias("page"), F.md5((F.length("html") % 60).cast("string").cast("binary")).alias("fp"))
+    return events.drain(events.stops(walk, "source", "page", "fp"), "append")

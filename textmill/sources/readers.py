@@ -27,9 +27,9 @@ def _missing(error: AnalysisException) -> bool:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | StructType, missing_ok: bool = False) -> DataFrame:
-    """JSON lines; blank lines are skipped. A missing path is an error, or empty if ``missing_ok``."""
+    """JSON lines; blank lines are skipped, a broken one is an error. So is a missing path, or empty if ``missing_ok``."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         if missing_ok and _missing(error):
             return spark.createDataFrame([], schema)

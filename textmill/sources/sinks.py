@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 # Characters that LaTeX reserves.
@@ -69,7 +72,48 @@ def latex_escape(text: str) -> str:
 
 
 def latex(df: DataFrame, limit: int = 200) -> str:
-    rows = df.limit(limit).collect()
-    body = [" & ".join(latex_escape("" if v is None else str(v)) for v in r) + r" \\" for r in rows]
+    """A table of a small result; rows beyond ``limit`` are told, not shown."""
+    rows = df.limit(limit + 1).collect()
+    body = [" & ".join(latex_escape("" if v is None else str(v)) for v in r) + r" \\" for r in rows[:limit]]
+    if len(rows) > limit:
+        body.append(rf"\multicolumn{{{len(df.columns)}}}{{l}}{{(first {limit} rows)}} \\")
     head = " & ".join(map(latex_escape, df.columns)) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", head, r"\hline", *body, r"\hline", r"\end{tabular}"])
+
+
+def initialise(spark: SparkSession, path: str, schema: str, afresh: bool = True) -> None:
+    """An empty table to append to; with ``afresh`` in place of what is there, else only where nothing is."""
+    spark.createDataFrame([], schema).write.mode("overwrite" if afresh else "ignore").parquet(path)
+
+
+def atomic_json(spark: SparkSession, path: str, value: object) -> None:
+    """A JSON document that readers see whole or not at all: written beside its place, closed, then renamed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+        out.hsync()
+    finally:
+        out.close()
+    store.delete(place, False)
+    if not store.rename(beside, place):
+        raise OSError(f"cannot rename to {path}")
+
+
+def aliases(spark: SparkSession, tables: dict[str, str]) -> None:
+    """Other names for tables of results: a view for each name, of the table at its path."""
+    for name, path in tables.items():
+        spark.read.parquet(path).createOrReplaceTempView(name)
+
+
+def checked_run_paths(spark: SparkSession, output: str, pilot: str, checkpoint: str = "checkpoint") -> str:
+    """The output folder: it has to be another one than the pilot's, and empty or with a checkpoint to go on from."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(output).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.makeQualified(at(output)).equals(store.makeQualified(at(pilot))):
+        raise ValueError("the output folder has to differ from the pilot's")
+    if store.exists(at(output)) and len(store.listStatus(at(output))) and not store.exists(at(f"{output}/{checkpoint}")):
+        raise ValueError(f"{output} holds something, but no checkpoint")
+    return output

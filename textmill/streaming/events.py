@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..sources.scratch import shared_dir
 
@@ -52,3 +55,32 @@ def sessions(events: DataFrame, gap: str, *by: str, late: str = "1 day") -> Data
 def first_seen(events: DataFrame, *keys: str) -> DataFrame:
     """Each key once, whenever it comes again."""
     return events.select(*keys).dropDuplicates(list(keys))
+
+
+def pages(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+    """The page files of a folder as a stream."""
+    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "pages.parquet").parquet(folder)
+
+
+def known_addresses(rows: DataFrame, order: str, url: str) -> DataFrame:
+    """State by normalised address: its first record and how many other addresses it has. The state grows with the addresses, as a crawl's does."""
+    grouped = rows.groupBy("normalized").agg(F.min(F.struct(order, url)).alias("first"), F.size(F.collect_set(url)).alias("urls"))
+    return grouped.select("normalized", F.col(f"first.{order}").alias("first_id"), F.col(f"first.{url}").alias("first_url"), (F.col("urls") - 1).alias("alternatives"))
+
+
+def stops(walk: DataFrame, source: str, page: str, fingerprint: str) -> DataFrame:
+    """State by source: the fingerprints seen so far; the first page that repeats one is put out, and ends the source's walk."""
+    schema = f"{source} long, stop_page long"
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, ended = state.get if state.exists else ("", False)
+        known = set(filter(None, seen.split(",")))
+        for row in pd.concat(list(parts)).sort_values(page).itertuples():
+            if not ended and getattr(row, fingerprint) in known:
+                ended = True
+                yield pd.DataFrame({source: [key[0]], "stop_page": [getattr(row, page)]})
+            known.add(getattr(row, fingerprint))
+        state.update((",".join(sorted(known)) if not ended else "", ended))
+
+    return walk.groupBy(source).applyInPandasWithState(follow, schema, "seen string, ended boolean", "append", "NoTimeout")
