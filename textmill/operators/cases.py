@@ -110,3 +110,17 @@ def checkpoint_conflicts(saved: DataFrame, key: str, *content: str) -> DataFrame
     """Keys saved with different contents: a repeated identical save is none."""
     digest = values.fingerprint(*content)
     return saved.select(key, digest.alias("digest")).groupBy(key).agg(F.count_distinct("digest").alias("versions"), F.count("*").alias("saves")).where("versions > 1")
+
+
+def incomplete(outputs: DataFrame, scores: DataFrame, configurations: list[str] = CONFIGURATIONS) -> DataFrame:
+    """(case_id, problem) for each case without exactly one output and one score of each configuration, or with one that failed.
+
+    Repeated, unknown and missing configurations count as problems of outputs or of scores.
+    """
+    known = lambda: F.count_distinct(F.when(F.col("configuration").isin(configurations), F.col("configuration")))
+    given = outputs.groupBy("case_id").agg(F.count("*").alias("n"), known().alias("kinds"), F.bool_or(~F.col("status").eqNullSafe("ok")).alias("failed"), F.bool_or(F.coalesce("parse_error", F.lit("")) != "").alias("unparsed"))
+    scored = scores.groupBy("case_id").agg(F.count("*").alias("s"), known().alias("scored_kinds"))
+    rows = given.join(scored, "case_id", "full")
+    whole = lambda n, kinds: F.coalesce((F.col(n) == len(configurations)) & (F.col(kinds) == len(configurations)), F.lit(False))
+    problems = F.array(F.when(~whole("n", "kinds"), "outputs"), F.when(F.col("failed"), "not ok"), F.when(F.col("unparsed"), "parse error"), F.when(~whole("s", "scored_kinds"), "scores"))
+    return rows.select("case_id", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))

@@ -70,3 +70,30 @@ def match_units(labels: DataFrame, label: str, aliases: DataFrame, fragments: Da
     status = F.when(F.col("exact_code").isNotNull(), "exact_match").when(F.col("rule_code").isNotNull(), "rule_match").when(F.col("score") >= APPLY, "fuzzy_match").when(F.col("score") >= REVIEW, "needs_review").otherwise("unknown")
     code = F.coalesce("exact_code", "rule_code", F.when(F.col("score") >= REVIEW, F.col("fuzzy_code")))
     return rows.select("label", code.alias("code"), status.alias("status"), F.when(status.isin("exact_match", "rule_match"), 100.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+def article_units(articles: DataFrame, key: str, candidates: list[str], context: list[str], aliases: DataFrame, fragments: DataFrame, truncated: str, settled: list[tuple[str, str]], home: str | None = None) -> DataFrame:
+    """(key, code, status, score, source_value) of each article: its candidates in their order, the first that applies.
+
+    A label that begins with ``truncated`` names no unit by itself: the first of ``settled`` (pattern, code) that the keys of
+    label and context hold decides, else it is for review. If no candidate applies, ``home`` (the code of the source's
+    unit) counts, then the first for review; articles without labels are unknown. Each different label is matched once.
+    """
+    order = F.array(*(text.normalize_space(F.col(c)) for c in candidates))
+    rows = articles.select(key, F.array_distinct(F.filter(order, lambda v: v != "")).alias("labels"), F.concat_ws(" ", *context).alias("context"), (F.col(home) if home else F.lit(None).cast("string")).alias("home"))
+    each = rows.select(key, "context", F.posexplode("labels").alias("place", "label"))
+    matched = each.join(match_units(each, "label", aliases, fragments), "label", "left")
+    name = text.comparison_key(F.col("label"))
+    cut = ((name == truncated) | F.startswith(name, F.lit(truncated + " "))) & (F.col("status") != "exact_match")
+    around = text.comparison_key(F.concat_ws(" ", "label", "context"))
+    told = F.coalesce(*(F.when(around.rlike(pattern), F.lit(code)) for pattern, code in settled), F.lit(None).cast("string"))
+    matched = matched.withColumns({"cut": cut, "told": told})
+    status = F.when(F.col("cut"), F.when(F.col("told").isNotNull(), "rule_match").otherwise("needs_review")).otherwise(F.col("status"))
+    code, score = F.when(F.col("cut"), F.col("told")).otherwise(F.col("code")), F.when(F.col("cut"), F.when(F.col("told").isNotNull(), 100.0).otherwise(0.0)).otherwise(F.col("score"))
+    matched = matched.select(key, "place", F.struct(status.alias("status"), code.alias("code"), score.alias("score"), F.col("label").alias("source_value")).alias("m"))
+    first = lambda *kinds: F.min_by("m", F.when(F.col("m.status").isin(*kinds), F.col("place")))
+    by_article = matched.groupBy(key).agg(first("exact_match", "rule_match", "fuzzy_match").alias("applied"), first("needs_review").alias("review"), F.min_by("m", "place").alias("any"))
+    found = rows.join(by_article, key, "left")
+    kind = F.when(F.col("applied").isNotNull(), F.col("applied.status")).when(F.col("home").isNotNull(), "rule_match").when(F.col("review").isNotNull(), "needs_review").otherwise("unknown")
+    points = F.when(F.col("applied").isNotNull(), F.col("applied.score")).when(F.col("home").isNotNull(), 100.0).when(F.col("review").isNotNull(), F.col("review.score")).otherwise(0.0)
+    return found.select(key, F.coalesce("applied.code", "home", F.when(kind == "needs_review", F.col("review.code"))).alias("code"), kind.alias("status"), F.round(points, 2).alias("score"), F.coalesce("applied.source_value", "review.source_value", "any.source_value", F.lit("")).alias("source_value"))
