@@ -62,3 +62,15 @@ def test_incomplete_cases(spark):
     scores = spark.createDataFrame([(1, "a"), (1, "b"), (3, "a"), (3, "b"), (4, "a")], "case_id long, configuration string")
     found = sorted(map(tuple, cases.incomplete(outputs, scores, every).collect()))
     assert found == [(2, "outputs"), (2, "scores"), (3, "not ok"), (3, "parse error"), (4, "outputs"), (4, "scores")]
+
+
+def test_subtitle_and_publisher(spark):
+    from textmill.operators import html
+
+    body = "<main><h1>Title</h1><p class='lead'>Opening words of it</p><p class='subtitulo'>Below the title</p><p>Publicado por: Unit One / 2024</p><p>" + "Opening words of it " * 6 + "</p></main>"
+    pages = [(1, "http://example.org/a", "<meta name='description' content='Title'>" + body), (2, "http://example.org/b", "<meta property='og:description' content=' Said  first '>" + body), (3, "http://example.org/c", None)]
+    found = {r["page_id"]: r for r in html.articles(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert found[2]["subtitle"] == "Said first" and found[3]["subtitle"] == ""
+    assert found[1]["publisher"] == "Unit One" and found[1]["subtitle"] == ""  # both stand in the head of the body
+    rows = spark.createDataFrame([(["", "T", "in body", "new"], "T", "it is in body"), ([None, "T"], "T", None), (None, "T", "x")], "c array<string>, t string, b string")
+    assert [r["s"] for r in rows.select(html.subtitle(F.col("c"), F.col("t"), F.col("b")).alias("s")).collect()] == ["new", "", ""]

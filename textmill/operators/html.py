@@ -22,6 +22,7 @@ NOISE_NAMES = re.compile(r"(menu|breadcrumb|sidebar|share|social|cookie|banner|r
 BLOCKS = {"h2", "h3", "h4", "p", "li", "blockquote"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "blockquote", "main"}, "li": {"li"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}}
 CONTENT = (("article", None), ("main", None), (None, "entry-content"), (None, "post-content"), (None, "article-body"), (None, "content"), (None, "conteudo"))
+SUBTITLE_CLASSES = ("subtitle", "subtitulo", "lead", "excerpt")
 LEAST_SCORE, LEAST_WORDS = 80, 20
 
 
@@ -79,7 +80,7 @@ def _strings(*names: str) -> list[StructField]:
 
 PAGE = StructType([
     *_strings("page_title", "h1", "og_title", "twitter_title", "meta_title", "canonical", "author", "published", "og_image", "visible"),
-    StructField("blocks", ArrayType(StringType())), StructField("terms", ArrayType(StringType())),
+    StructField("blocks", ArrayType(StringType())), StructField("terms", ArrayType(StringType())), StructField("subtitles", ArrayType(StringType())),
     StructField("links", ArrayType(StructType(_strings("href", "text")))), StructField("images", ArrayType(StructType(_strings("src", "alt", "caption", "kind")))),
 ])
 
@@ -99,6 +100,7 @@ def parse(html: str | None) -> dict | None:
     canonical = first(lambda n: n.tag == "link" and "canonical" in n.attrs.get("rel", ""))
     by = first(lambda n: "author" in n.attrs.get("rel", "")) or first(lambda n: re.search("author|autor", n.attrs.get("class", "")))
     when = first(lambda n: n.tag == "time")
+    marked = [n.text() for c in SUBTITLE_CLASSES if (n := first(lambda n: c in n.attrs.get("class", "").split()))]
     of = lambda tag: (n.text() if (n := first(lambda n: n.tag == tag)) else "")
     title, h1 = of("title"), of("h1")
 
@@ -138,7 +140,7 @@ def parse(html: str | None) -> dict | None:
     return {
         "page_title": title, "h1": h1, "og_title": metas.get("og:title", ""), "twitter_title": metas.get("twitter:title", ""), "meta_title": metas.get("title", ""), "canonical": canonical.attrs.get("href", "") if canonical else "",
         "author": metas.get("author") or (by.text() if by else ""), "published": metas.get("article:published_time") or ((when.attrs.get("datetime") or when.text()) if when else ""), "og_image": metas.get("og:image", ""),
-        "visible": body.text(), "blocks": blocks or [body.text()], "terms": terms, "links": anchors, "images": images,
+        "visible": body.text(), "blocks": blocks or [body.text()], "terms": terms, "subtitles": [metas.get("og:description", ""), metas.get("description", ""), *marked], "links": anchors, "images": images,
     }
 
 
@@ -154,14 +156,20 @@ def title_of(page: str, site: str = "") -> Column:
     return text.title_suffix(found, site) if site else found
 
 
+def subtitle(candidates: Column, title: Column, body: Column, head: int = 300) -> Column:
+    """The first candidate that is neither the title nor in the head of the body; empty if there is none."""
+    clean = F.transform(candidates, text.normalize_space)
+    return F.coalesce(F.get(F.filter(clean, lambda s: (s != "") & (s != title) & ~F.contains(F.left(text.filled(body), F.lit(head)), s)), F.lit(0)), F.lit(""))
+
+
 def articles(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: fields, body, hashes, counts and status; links and media stay as arrays."""
     rows = pages.select(key, F.col(url).alias("url"), parsed(F.col(html)).alias("p"))
-    rows = rows.select(key, "url", title_of("p").alias("title"), text.clean_body(F.col("p.blocks")).alias("body"), text.lead(F.col("p.blocks")).alias("lead"), dates.parse_when(F.coalesce(F.nullif(F.col("p.published"), F.lit("")), dates.first_date(F.col("p.visible")))).alias("when"), F.trim("p.author").alias("author"), urls.resolve(F.col("p.canonical"), F.col("url")).alias("canonical_url"), F.col("p.terms").alias("tags"), F.col("p.links").alias("links"), F.col("p.images").alias("images"), F.col("p.og_image").alias("og_image"))
+    rows = rows.select(key, "url", title_of("p").alias("title"), text.clean_body(F.col("p.blocks")).alias("body"), text.lead(F.col("p.blocks")).alias("lead"), dates.parse_when(F.coalesce(F.nullif(F.col("p.published"), F.lit("")), dates.first_date(F.col("p.visible")))).alias("when"), F.trim("p.author").alias("author"), urls.resolve(F.col("p.canonical"), F.col("url")).alias("canonical_url"), F.col("p.terms").alias("tags"), F.col("p.subtitles").alias("subtitles"), text.publisher(F.col("p.visible")).alias("publisher"), F.col("p.links").alias("links"), F.col("p.images").alias("images"), F.col("p.og_image").alias("og_image"))
     rows = rows.withColumn("words", text.word_count(F.col("body")))
     problem = F.concat_ws(", ", F.when(F.col("title") == "", "missing title"), F.when(F.col("words") < LEAST_WORDS, "short body"))
     return rows.select(
-        key, "url", "title", "lead", "body", F.col("when.date").alias("date"), F.col("when.time").alias("time"), "author", "canonical_url", "tags", "words", text.reading_time(F.col("words")).alias("reading_time"), text.text_hash(F.col("title")).alias("title_hash"), text.text_hash(F.col("body")).alias("content_hash"),
+        key, "url", "title", subtitle(F.col("subtitles"), F.col("title"), F.col("body")).alias("subtitle"), "publisher", "lead", "body", F.col("when.date").alias("date"), F.col("when.time").alias("time"), "author", "canonical_url", "tags", "words", text.reading_time(F.col("words")).alias("reading_time"), text.text_hash(F.col("title")).alias("title_hash"), text.text_hash(F.col("body")).alias("content_hash"),
         F.when(problem == "", "collected").otherwise("needs_review").alias("status"), problem.alias("message"), "links", "images", "og_image",
     )
 
