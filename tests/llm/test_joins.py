@@ -133,6 +133,24 @@ def test_removal_against_brute_force(docs, rows, empty):
     assert whole.where("not ok").count() == 0
 
 
+def two_sided(seed):
+    """A text none of whose strings of 200 bytes repeats, and two others that repeat what lies to the left of one of its anchors and to the right."""
+    rng = np.random.default_rng(seed)
+    noise = lambda n: rng.integers(97, 123, n, np.uint8).tobytes()
+    text = noise(700)
+    anchors = suffix_dedup.Anchors([text])
+    hashes = anchors.joined.windows(64)
+    p = min((a for a in anchors.at.tolist() if 200 <= a <= 400), key=lambda a: hashes[a] >> np.uint64(32))
+    return [text, noise(150) + text[p - 68 : p + 64] + noise(150), noise(150) + text[p : p + 132] + noise(150)]
+
+
+def test_an_anchor_is_no_repeat_of_itself(spark):
+    texts = [t.decode() for seed in range(12) for t in two_sided(seed)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "en", "s0") for i, t in enumerate(texts)], SCHEMA))
+    assert [r["doc_id"] for r in found.where("size(removed) > 0").collect()] == []
+    assert not any(g.any() for g in removed([t.encode() for t in texts]))
+
+
 def test_merge_of_front_coded_runs():
     pick = random.Random(1)
     runs = [sorted("".join(pick.choices("ab", k=pick.randint(0, 9))).encode() for _ in range(pick.randint(0, 40))) for _ in range(7)]

@@ -9,6 +9,8 @@ their left, and nothing is missed by leaving out the others.
    other texts. Texts are dealt into blocks by their hash.
 2. A repeat reaches HALF bytes or more from the gram to the right, or to the left. So each anchor has two keys, the
    gram with HALF bytes on either side; a gram that many texts hold in different surroundings has different keys.
+   Each side has its own starts of a repeat: RIGHT those fewer than HALF bytes left of the anchor, LEFT the others. So
+   the two entries of one anchor never show the same string, which would be a repeat of itself.
    Blocks send hashes of the keys to parts, which answer with those that stand more than once.
 3. For these, a block sorts its suffixes (up to SPAN bytes right of the anchor, then the bytes left of it, backwards),
    collapses equal ones and sends each part its run, front-coded: the length shared with the entry before, and the
@@ -86,7 +88,7 @@ class Anchors:
         first, last = self.at - (HALF if side == LEFT else 0), self.at + GRAM + (HALF if side == RIGHT else 0)
         own = np.flatnonzero((first >= self.begin) & (last <= self.end))
         keys = mix(self.joined.hashes(first[own], last[own]) + np.uint64(side))
-        low = np.maximum(self.at[own] - (REACH if side == LEFT else HALF), self.begin[own])
+        low = np.maximum(self.at[own] - (REACH if side == LEFT else HALF - 1), self.begin[own])
         return own, keys, low, np.minimum(self.at[own] + (SPAN if side == RIGHT else GRAM + HALF), self.end[own])
 
     def keys(self) -> np.ndarray:
