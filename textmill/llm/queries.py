@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_of_id, table
+from .common import crc_of_id, dealt, table
 
 #: Block and allow rules of the url query: fixed values.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -173,8 +173,19 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_
 """
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    digests = F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return decode(ids, path).select("doc_id", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup, op12_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
