@@ -184,9 +184,38 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, path).select("doc_id", *digests)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import rank
+
+    return rank(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 50)
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), sized AS (
+  SELECT row_number() OVER () AS row, doc_id, t, len(t)::BIGINT AS n FROM cut WHERE len(t) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counted AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, docs
+), scores AS (
+  SELECT item_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN sized USING (row), whole GROUP BY item_id, row
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM scores JOIN sized USING (row) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup, op12_byte_bpe, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL, "op13_lexical_search": OP13_SQL}
