@@ -173,6 +173,38 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import rebuilt, trie, turns
+
+    return trie(rebuilt(turns(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = """
+WITH own AS (
+  SELECT conv_id, list(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST) AS keys,
+    list(strlen(coalesce(text, ''))::BIGINT ORDER BY turn NULLS FIRST) AS sizes FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.keys, [])[1:c.h], c.keys[c.h + 1:]) AS keys, list_concat(coalesce(b.sizes, [])[1:c.h], c.sizes[c.h + 1:]) AS sizes
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), members AS (
+  SELECT conv_id, sizes, len(keys) AS n, d, coalesce(array_to_string(keys[1:d], ''), '') AS k FROM rebuilt, LATERAL (SELECT unnest(range(len(keys) + 1)) AS d)
+), nodes AS (
+  SELECT k, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(sizes[d]), 0) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM members GROUP BY k
+), kids AS (
+  SELECT substr(k, 1, 64 * (depth - 1)) AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT substr(k, 1, 64 * a) AS k, sum((n_convs - 1) * size)::BIGINT AS saved_tokens, count_if(n_children IS NULL)::BIGINT AS n_leaves
+  FROM (SELECT k, n_convs, size, n_children, unnest(range(depth + 1)) AS a FROM nodes LEFT JOIN kids USING (k)) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes p ON n.depth > 0 AND p.k = substr(n.k, 1, 64 * (n.depth - 1))
+"""
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -214,8 +246,8 @@ SELECT * FROM ranked WHERE rank <= 50
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup, op12_byte_bpe, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_ngram_join, op3_language_id, op4_order_minhash, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_url_filter, op9_ppm_score, op10_suffix_dedup, op11_prefix_trie, op12_byte_bpe, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op7_source_mixing": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical_search": OP13_SQL}
