@@ -30,15 +30,14 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from .common import slices
+from .common import slices, text_bytes
 
 #: Bytes of text whose words are replayed together, and of those whose ids travel in one Arrow batch. They bound memory only.
-STEP, SLICE = 32 << 20, 4 << 20
-#: Chunks of a long text that are handled together.
-PIECE = 1 << 20
+STEP, SLICE = 16 << 20, 4 << 20
 #: Places of one merge from which they are merged as arrays.
 MANY = 32
 _BITS = 24
@@ -186,19 +185,27 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return ids[kept], np.concatenate([[0], np.cumsum(kept)])[starts]
 
 
-def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces ``which`` of values, in a row, and where each begins and the last ends."""
-    first = starts[which]
-    lengths = starts[which + 1] - first
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return values[np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1], dtype=first.dtype)], ends
+#: White space beyond ASCII, as characters and in UTF-8.
+_WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Chunks end where matches of the usual pattern end: white space but for the blank or line feed before a chunk, and what has none.
+#: A match of that pattern has white space at its start only, or has nothing else.
+CHUNKS = re.compile(rf"[ \n]?[^\t-\r {_WIDE}]+|[\t-\r {_WIDE}]+(?![^\t-\r {_WIDE}])|[\t-\r {_WIDE}]+")
+_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-#: White space of the patterns, and chunks that end where matches of the usual pattern end: white space but for the blank or line
-#: feed before a chunk, and what has none. A match of that pattern has white space at its start only, or has nothing else.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS = re.compile(rf"[ \n]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+def chunk_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where the chunks of joined texts without wide white space begin; ``docs`` are the places where texts begin, and the end."""
+    white = _WHITE[data]
+    before = np.concatenate([[False], white[:-1]])
+    more = np.concatenate([white[1:], [True]])  # white space or the text's end follows
+    more[docs[1:][docs[1:] > 0] - 1] = True
+    soft = np.concatenate([[False], (data[:-1] == 32) | (data[:-1] == 10)])
+    begins = (white & ~(before & more)) | (before & ~white & ~soft)
+    begins[docs[:-1][docs[:-1] < len(data)]] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
@@ -211,32 +218,44 @@ class Encoder:
         import regex
 
         self.merges, self.words = merges_of(path), regex.compile(pattern)
-        self.chunks = CHUNKS if pattern == _USUAL else self.words
-
-    def _numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """The different chunks of the texts, and each text as numbers of chunks."""
-        number: dict[str, int] = defaultdict(itertools.count().__next__)
-        get = number.__getitem__
-        found = []
-        for text in texts:
-            parts, matches = [], self.chunks.finditer(text) if len(text) > SLICE else None
-            while chunks := [m.group() for m in itertools.islice(matches, PIECE)] if matches else self.chunks.findall(text):
-                parts.append(np.fromiter(map(get, chunks), np.int32, len(chunks)))
-                if not matches:
-                    break
-            found.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-        return list(number), found
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        chunks, numbered = self._numbered(texts)
-        cut = [self.words.findall(c) for c in chunks] if self.chunks is CHUNKS else [[c] for c in chunks]
+        self.usual = pattern == _USUAL
+
+    def _chunks(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The chunks of all texts in a row, and the number of the first one of each text, and of all."""
+        plain = [self.usual and not _WIDE_BYTES.search(t) for t in texts]
+        cut = [None if p else [m.encode() for m in (CHUNKS if self.usual else self.words).findall(t.decode())] for t, p in zip(texts, plain)]
+        texts = [t if c is None else b"".join(c) for t, c in zip(texts, cut)]
+        docs = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        starts = chunk_starts(data, docs) if len(data) else np.zeros(0, np.int64)
+        if not all(plain):
+            inside = np.repeat(plain, np.diff(np.searchsorted(starts, docs)))
+            others = [docs[i] + np.concatenate([[0], np.cumsum([len(x) for x in c[:-1]], dtype=np.int64)]) for i, c in enumerate(cut) if c]
+            starts = np.sort(np.concatenate([starts[inside], *others]))
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)])
+        return chunks.dictionary_encode(), np.searchsorted(starts, docs)
+
+    def encode(self, texts: list[bytes]) -> Iterator[pa.ListArray]:
+        """The ids of the texts, those of about SLICE bytes at a time."""
+        chunks, docs = self._chunks(texts)
+        cut = list(map(self.words.findall, chunks.dictionary.cast(pa.string()).to_pylist())) if self.usual else [[c.decode()] for c in chunks.dictionary.to_pylist()]
         number: dict[str, int] = defaultdict(itertools.count().__next__)
         in_chunks = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(cut)), np.int32)
-        ids, ends = gather(*replay([w.encode() for w in number], self.merges), in_chunks)
-        starts = ends[np.concatenate([[0], np.cumsum(list(map(len, cut)), dtype=np.int64)])]
-        for which in numbered:
-            yield np.concatenate([gather(ids, starts, which[a : a + PIECE])[0] for a in range(0, max(1, len(which)), PIECE)])
+        counts = np.concatenate([[0], np.cumsum(list(map(len, cut)), dtype=np.int64)])
+        del cut
+        ids, ends = replay([w.encode() for w in number], self.merges)
+        del number
+        of_word = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        words = of_word.take(pa.array(in_chunks))
+        of_chunk = pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy()[counts], pa.int32()), words.values)
+        held, first = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= SLICE or i == len(texts) - 1:
+                found = of_chunk.take(chunks.indices[docs[first] : docs[i + 1]])
+                yield pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[docs[first : i + 2] - docs[first]], pa.int32()), found.values)
+                held, first = 0, i + 1
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -267,12 +286,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for step in _steps(slices(batches, size=SLICE)):
-            texts = [[t or "" for t in batch.column("text").to_pylist()] for batch in step]
-            ids = encoder.encode([t for ts in texts for t in ts])
-            for batch, ts in zip(step, texts):
-                own = list(itertools.islice(ids, len(ts)))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield _with(batch, "ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))))
+            whole = pa.Table.from_batches(step).combine_chunks().to_batches()[0]
+            first = 0
+            for ids in encoder.encode(text_bytes(whole.column("text"))):
+                yield _with(whole.slice(first, len(ids)), "ids", ids)
+                first += len(ids)
 
     return docs.mapInArrow(run, _schema(docs, "ids", ArrayType(IntegerType())))
 
@@ -281,8 +299,17 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with ``decoded``: the bytes of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = merges_of(path).token.__getitem__
+        merges = merges_of(path)
+        tokens = pa.array([merges.token.get(i) for i in range(max(merges.token) + 1)], pa.binary())
         for batch in batches:
-            yield _with(batch, "decoded", pa.array([None if ids is None else b"".join(map(token, ids)) for ids in batch.column("ids").to_pylist()], pa.binary()))
+            ids = batch.column("ids")
+            flat = ids.flatten()
+            found = tokens.take(flat)
+            if found.null_count:
+                raise ValueError(f"id {flat.filter(found.is_null())[0]} is not in the vocabulary")
+            # the tokens lie in a row, so a text is the bytes from its first to its last
+            at = np.frombuffer(found.buffers()[1], np.int32)[found.offset :][np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])]
+            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), found.buffers()[2]])
+            yield _with(batch, "decoded", pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), decoded))
 
     return rows.mapInArrow(run, _schema(rows, "decoded", BinaryType()))
