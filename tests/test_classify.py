@@ -9,5 +9,5 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_three_models_are_compared(spark):
     rows = catalogue.queries()["c11_train"](spark, SF).collect()
-    assert sorted(r["model"] for r in rows) == ["hashed_logistic", "tfidf_logistic", "tfidf_svm"]
+    assert sorted(r["model"] for r in rows) == ["embedding_logistic", "tfidf_logistic", "tfidf_svm"]
     assert all(r["accuracy"] > 0.5 for r in rows)

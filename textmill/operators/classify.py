@@ -1,15 +1,19 @@
-"""Text classification: TF-IDF over one and two words, balanced logistic regression, linear SVM, and projected TF-IDF."""
+"""Text classification: sublinear TF-IDF over one and two words with balanced logistic regression or a linear SVM, and the same projected on singular vectors."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import stage
+from . import vectors
 
-VOCABULARY, MIN_DF = 50_000, 2
+VOCABULARY, PROJECTED, DIMS = 50_000, 60_000, 128
+MODELS = ("tfidf_logistic", "tfidf_svm", "embedding_logistic")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -20,53 +24,70 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)  # one row for each class
 
 
-def features(text: str, vocabulary: int = VOCABULARY, hashed: int | None = None) -> list:
-    """Stages from a text column to ``features``: words of two characters or more, one- and two-word terms, IDF, unit length."""
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    terms = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    if hashed:
-        counted = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=hashed)
-    else:
-        counted = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=MIN_DF, vocabSize=vocabulary)
-    return [words, pairs, terms, counted, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
+@F.udf(VectorUDT())
+def _sparse(size, indices, values):
+    return Vectors.sparse(size, indices, values)
+
+
+@dataclass
+class TextFeatures:
+    """A fitted vocabulary, and singular vectors where texts are projected."""
+
+    terms: vectors.TfIdf
+    dense: vectors.DenseModel | None = None
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, projected: bool, vocabulary: int | None = None) -> TextFeatures:
+        if projected:
+            dense = vectors.fit_dense(df, text, DIMS, vocabulary or PROJECTED)
+            return cls(dense.terms, dense)
+        return cls(vectors.TfIdf.fit(df, text, vocabulary or VOCABULARY))
+
+    def transform(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``features`` in place of the text."""
+        if self.dense:
+            return self.dense.transform(df, text).withColumn("features", array_to_vector("embedding")).drop("embedding")
+        rows = self.terms.rows(df, text)
+        return rows.withColumn("features", _sparse(F.lit(len(self.terms.index)), "indices", "values")).drop("indices", "values")
+
+
+def _classifier(name: str):
+    if name == "tfidf_svm":
+        return OneVsRest(classifier=LinearSVC(maxIter=30, regParam=1e-3), weightCol="weight")
+    return LogisticRegression(weightCol="weight", maxIter=60, regParam=1e-3)
 
 
-def models(text: str, label: str, vocabulary: int = VOCABULARY) -> dict[str, Pipeline]:
-    """Three classifiers by name; the last hashes its terms into few features in place of a projection."""
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
-    logistic = LogisticRegression(weightCol="weight", maxIter=60, regParam=1e-3)
-    return {
-        "tfidf_logistic": Pipeline(stages=[index, *features(text, vocabulary), logistic]),
-        "tfidf_svm": Pipeline(stages=[index, *features(text, vocabulary), OneVsRest(classifier=LinearSVC(maxIter=30, regParam=1e-3), weightCol="weight")]),
-        "hashed_logistic": Pipeline(stages=[index, *features(text, hashed=1024), logistic.copy()]),
-    }
+@dataclass
+class Classifier:
+    features: TextFeatures
+    labels: list[str]
+    model: object
 
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``predicted``."""
+        ready = self.features.transform(df.withColumn("_text", F.col(text)), "_text").withColumn("weight", F.lit(1.0))
+        return self.model.transform(ready).select(*df.columns, self.name(F.col("prediction")).alias("predicted"))
 
-def train(df: DataFrame, text: str, label: str, name: str, vocabulary: int = VOCABULARY) -> PipelineModel:
-    return models(text, label, vocabulary)[name].fit(balanced(df, label))
+    def name(self, prediction: Column) -> Column:
+        return F.get(F.array(*map(F.lit, self.labels)), prediction.cast("int"))
 
 
-def compare(train_rows: DataFrame, test_rows: DataFrame, text: str, label: str, vocabulary: int = VOCABULARY) -> dict[str, DataFrame]:
-    """(label, predicted) of the test rows by each of :func:`models`. Models with the same features share them, written once."""
+def compare(train_rows: DataFrame, test_rows: DataFrame, text: str, label: str, vocabulary: int | None = None) -> dict[str, DataFrame]:
+    """(label, predicted) of the test rows by each of :data:`MODELS`. Models with the same features share what was fitted."""
     found, held = {}, {}
-    weighted = balanced(train_rows, label)
-    for name, pipeline in models(text, label, vocabulary).items():
-        *prepared, classifier = pipeline.getStages()
-        kind = "hashed" if name.startswith("hashed") else "tfidf"
-        if kind not in held:
-            fitted = Pipeline(stages=prepared).fit(weighted)
-            ready = stage(fitted.transform(weighted).select("label", "weight", "features"), f"{kind}-train")
-            held[kind] = fitted, ready, stage(fitted.transform(test_rows).select(label, "label", "features"), f"{kind}-test")
-        fitted, ready, asked = held[kind]
-        model = classifier.fit(ready)
-        names = F.array(*map(F.lit, fitted.stages[0].labels))
-        found[name] = stage(model.transform(asked.withColumn("weight", F.lit(1.0))).select(label, F.get(names, F.col("prediction").cast("int")).alias("predicted")), name)
+    for name in MODELS:
+        projected = name.startswith("embedding")
+        if projected not in held:
+            held[projected] = TextFeatures.fit(train_rows, text, projected, vocabulary)
+        classifier = train(train_rows, text, label, name, vocabulary, held[projected])
+        found[name] = stage(classifier.predict(test_rows.select(label, text), text).select(label, "predicted"), name)
     return found
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``predicted``."""
-    names = model.stages[0].labels
-    rows = model.transform(df.withColumn("weight", F.lit(1.0)))
-    return rows.select(*df.columns, F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("predicted"))
+def train(df: DataFrame, text: str, label: str, name: str, vocabulary: int | None = None, features: TextFeatures | None = None) -> Classifier:
+    """The model ``name`` fitted to the rows; ``features`` that are fitted already are used as they are."""
+    features = features or TextFeatures.fit(df, text, name.startswith("embedding"), vocabulary)
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # one row for each class
+    numbered = balanced(df.select(label, text), label).withColumn("label", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double"))
+    ready = stage(features.transform(numbered, text).select("label", "weight", "features"), f"{name}-train")
+    return Classifier(features, labels, _classifier(name).fit(ready))
