@@ -6,22 +6,23 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import urls, values
 from ..functions.values import FIELDS
-from ..operators import cases, retrieval
+from ..operators import cases
 from .evaluation_queries import CASE, masked_cases
 from .page_queries import HOST
 from .registry import query, read
+from .retrieval_queries import index_of
 from .text_queries import TOKENS
 
 
 @query(f"WITH t AS (SELECT doc_id AS doc, {TOKENS} AS t FROM documents), p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM t) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS most FROM p GROUP BY 1")
 def c17_index_terms(spark, sf_dir):
     """Document and collection frequency of each term of the index."""
-    return retrieval.postings(read(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most"))
+    return index_of(spark, sf_dir).terms
 
 
 @query(f"SELECT doc_id AS doc, len({TOKENS})::INT AS dl FROM documents")
 def c17_index_lengths(spark, sf_dir):
-    return retrieval.lengths(read(spark, sf_dir, "documents"))
+    return index_of(spark, sf_dir).lengths
 
 
 _CUES = {f: "|".join(words) for f, words in cases.CUES.items()}
