@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.scratch import shared_dir
-from ..streaming import events
+from ..streaming import checkpoint, events
 from .page_queries import NORMALIZED
 from .registry import query
 
@@ -54,3 +54,19 @@ def st5_stop_pages(spark, sf_dir):
     page = F.col("page_id")
     walk = events.pages(spark, sf_dir).select((page % 10).alias("source"), F.floor(page / 10).alias("page"), F.md5((F.length("html") % 60).cast("string").cast("binary")).alias("fp"))
     return events.drain(events.stops(walk, "source", "page", "fp"), "append")
+
+
+#: Records of cases made from the events: every 50th is broken off, every 77th has no valid case id, and keys stand in two orders.
+_RECORD = """CASE WHEN event_id % 50 = 7 THEN '{"case": {"case_id": "' WHEN event_id % 77 = 5 THEN '{"case": {"case_id": "x"}}'
+  WHEN event_id % 2 = 0 THEN '{"case": {"case_id": "case_' || lpad(CAST(user_id AS STRING), 6, '0') || '"}, "outputs": ["' || event_type || '"]}'
+  ELSE '{"outputs":["' || event_type || '"],"case":{"case_id":"case_' || lpad(CAST(user_id AS STRING), 6, '0') || '"}}' END"""
+
+
+@query("""WITH r AS (SELECT event_id, 'case_' || lpad(user_id::VARCHAR, 6, '0') AS case_id, event_type, CASE WHEN event_id % 50 = 7 THEN 'no JSON' WHEN event_id % 77 = 5 THEN 'invalid case_id' END AS reason FROM events),
+f AS (SELECT case_id, min(event_id) AS first, arg_min(event_type, event_id) AS kept FROM r WHERE reason IS NULL GROUP BY 1)
+SELECT event_id AS position, CASE WHEN reason IS NULL THEN case_id END AS case_id, coalesce(reason, CASE WHEN event_id = first THEN 'saved' ELSE 'conflict' END) AS status FROM r LEFT JOIN f USING (case_id) WHERE reason IS NOT NULL OR event_id = first OR event_type <> kept""")
+def c33_checkpoint_store(spark, sf_dir):
+    """What a store makes of a stream of records: cases saved, records that differ from what is saved, and broken ones."""
+    store = checkpoint.CheckpointStore.create_or_open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {"seed": 42, "masking": "balanced"})
+    store.commit(events.stream(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.expr(_RECORD).alias("record")), strict=False)
+    return store.cases().select("position", "case_id", "status").unionByName(store.corrupt().select("position", F.lit(None).cast("string").alias("case_id"), F.col("reason").alias("status")))
