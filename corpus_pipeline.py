@@ -4,12 +4,15 @@ Rejected languages go; of similar documents the one with the smallest id stays;
 sources are mixed to their targets, so documents are dropped or repeated; what is left is packed.
 
 Defined results: null texts and texts without a letter go with the rejected languages; rows without an id stay where a
-stage keeps one of several; rows that are equal in all columns are interchangeable; the columns of ``documents`` alone
-are passed on, whatever else the table has; n_chars is counted anew where text was cut; an empty table gives no rows.
+stage keeps one of several; rows that are equal in all columns are interchangeable; further columns of the table are passed
+on as they are, whatever their names; n_chars is counted anew where text was cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textmill.llm import language_id, mixing, ngram_join, packing, suffix_dedup
@@ -20,12 +23,33 @@ from textmill.llm.queries import CAPACITY, tokenizer_path
 ORACLE_SQL = None
 
 
+#: What the stages work on. Other columns travel in one struct, so that none is taken for a column of an operator.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_others(function: Callable) -> Callable:
+    """The stage over the columns it knows; the others are the same after it as before."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return function(spark, docs, sf_dir)
+        known = [c for c in docs.columns if c in COLUMNS]
+        found = function(spark, docs.select(*known, F.struct(*(docs[f"`{c}`"] for c in others)).alias("_others")), sf_dir)
+        return found.select(*(found["_others"][c].alias(c) if c in others else found[c] for c in docs.columns))
+
+    return run
+
+
+@with_others
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a sufficient score."""
     model = language_id.train(*language_id.sample(docs, "lang", F.lit(True)))
     return language_id.predict(docs, model).where("accepted").select(docs.columns)
 
 
+@with_others
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones: of those with its smallest id, the first by a hash of the row.
 
@@ -41,6 +65,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.join(many, "_class", "left_anti").select(docs.columns).unionByName(ties)
 
 
+@with_others
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that stand anywhere else too; each document stays, if without text."""
     rows = suffix_dedup.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), whole_characters=True)
@@ -50,6 +75,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.withColumns({"text": text, "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("long"))}).select(docs.columns)
 
 
+@with_others
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.emit(mixing.mix(docs), docs.columns)
