@@ -83,6 +83,19 @@ def test_unlike_documents_of_one_id_stay(spark):
     assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter([rows[i] for i in (0, 1, 3, 5, 6)])
 
 
+def test_values_of_other_columns_stay(spark):
+    """Columns named like those of the operators keep their values through all stages but the last."""
+    names = ["class_id", "score", "n_shingles", "component_id", "lang_pred", "accepted", "n_bytes", "kept", "removed", "size", "target", "taken", "copies", "_class", "_none", "hash", "row", "block", "a.b"]
+    rows = [(i, prose(i % 5, 40), "en", f"s{i % 2}", None) for i in range(12)] + [(50, None, "en", "s0", None), (None, prose(3, 40), "en", "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.concat_ws("/", F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        found = function(spark, docs, "")
+        assert found.columns == docs.columns and found.dtypes == docs.dtypes, name
+        kept = found.collect()
+        assert kept and all(r[n] == f"{n}/{'none' if r['doc_id'] is None else r['doc_id']}" for r in kept for n in names), name
+
+
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
