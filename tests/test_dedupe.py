@@ -79,3 +79,35 @@ def test_near_copies_are_grouped(spark, tmp_path):
     assert found == {1: (1, 3, False), 2: (1, 3, False), 3: (1, 3, True), 4: (4, 2, True), 5: (4, 2, False)}
     table = {r["members"]: r for r in catalogue.queries()["a23_near_duplicate_groups"](spark, str(tmp_path)).collect()}
     assert table["1,2,3"]["canonical"] == 3 and table["1,2,3"]["reasons"] == "title_similarity" and table["4,5"]["reasons"] == "content_hash;title_similarity;title_unit" and len(table) == 2
+
+
+def test_generic_titles_need_the_date_or_the_body(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"unlike{i}" for i in range(60))
+    long = "a title of more than three words"
+    rows = [
+        (1, "resultado final", body, "2020-01-01", True), (2, "resultado final", other, "2023-01-01", True), (3, "resultado final", "third " * 70, "2020-01-01", True), (4, "resultado final", body + " x", "2021-01-01", False),
+        (5, "nota", "one thing " * 60, None, True), (6, "nota", "quite another " * 60, None, True), (7, "nota", "quite another " * 60, None, False), (8, "nota", "quite another " * 59 + "quite", "2022-02-02", False),
+        (9, long, "p " * 99, "2019-01-01", True), (10, long, "q " * 99, "2018-01-01", True), (11, "resultado finals", "r " * 99, "2023-01-01", True), (12, "resultado finals", "s " * 99, "2017-01-01", True),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, date string, ok boolean")
+    key = F.array(F.left("title", F.lit(4)))
+    found = dedupe.near_edges(df, key, "title", "body", "ok", "date")
+
+    # from the rule, over all pairs that share a block
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(rows, 2):
+        if a[1][:4] == b[1][:4]:
+            alike, bodies = dedupe.indel(a[1], b[1]) >= 95, dedupe.indel(" ".join(a[2].split()), " ".join(b[2].split())) >= 90
+            generic = any(len(x[1].split()) <= 3 or x[1] in dedupe.GENERIC_TITLES for x in (a, b))
+            if (alike and (not generic or (a[3] and a[3] == b[3]) or bodies)) or (bodies and a[4] and b[4]):
+                parent[max(root(a[0]), root(b[0]))] = min(root(a[0]), root(b[0]))
+    want = {(i, root(i)) for i in parent if any(root(i) == root(j) for j in parent if j != i)}
+    assert roots(found) == want and {n for n, _ in want} == {1, 2, 3, 4, 6, 7, 8, 9, 10, 11}
+    assert root(1) == root(3) == root(4) != root(2) and root(2) == root(11)

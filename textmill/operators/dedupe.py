@@ -134,38 +134,59 @@ def fuzzy_edges(pairs: DataFrame, rows: DataFrame, title: str, body: str, dedupa
     return titled.union(bodied.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
 
 
-def title_pairs(rows: DataFrame, keys: Column, title: str, node: str = "doc_id") -> DataFrame:
+def title_pairs(rows: DataFrame, keys: Column, title: str, node: str = "doc_id", entity: str | None = None) -> DataFrame:
     """(a, b, a_title, b_title, a_rows, b_rows): pairs of different titles with a block in common, each as its smallest row.
 
-    A title has the blocks of all its rows. How often a title stands does not matter to the number of pairs.
+    A title has the blocks of all its rows. How often a title stands does not matter to the number of pairs. With
+    ``entity``, values of this column take the place of titles, and those of one entity have one title.
     """
-    titles = stage(rows.groupBy(F.col(title).alias("title")).agg(F.min(node).alias("first"), F.count("*").alias("rows")), "titles")
-    blocks = rows.select(F.col(title).alias("title"), F.explode(keys).alias("block")).distinct().join(titles, "title").select("first", F.array("block").alias("keys"))
+    of = F.col(entity or title).alias("entity")
+    titles = stage(rows.groupBy(of).agg(F.min(F.col(title)).alias("title"), F.min(node).alias("first"), F.count("*").alias("rows")), "titles")
+    blocks = rows.select(of, F.explode(keys).alias("block")).distinct().join(titles, "entity").select("first", F.array("block").alias("keys"))
     side = lambda s: titles.select(F.col("first").alias(s), F.col("title").alias(f"{s}_title"), F.col("rows").alias(f"{s}_rows"))
     return blocked_pairs(blocks, F.col("keys"), "first").join(side("a"), "a").join(side("b"), "b")
 
 
-def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable: str, node: str = "doc_id") -> DataFrame:
-    """Edges that connect what :func:`fuzzy_edges` connects over all pairs of rows that share a block, whatever its size.
+#: Titles that prove nothing on their own, besides those of three words or fewer: fixed values.
+GENERIC_TITLES = ["nota de falecimento", "pregao eletronico", "resultado final", "retificacao", "comunicado"]
 
-    Rows with one title are linked to the smallest of them, and titles are compared once each, as titles of the
-    smallest rows. Bodies are compared between titles that are not alike: once for each title and body, where rows
-    share a block. The groups, their reasons and highest confidences are those of all pairs.
+
+def near_edges(rows: DataFrame, keys: Column, title: str, body: str, dedupable: str, date: str | None = None, node: str = "doc_id") -> DataFrame:
+    """Edges that connect what alike titles or alike bodies connect over all pairs of rows that share a block, whatever its size.
+
+    With ``date``, alike titles of which one is generic count only between rows of the same date or with alike bodies.
+
+    Rows with one title (and, where it is generic, one date, or one body where there is no date) are linked to the
+    smallest of them, and compared with others once, as titles of the smallest rows. Bodies are compared between those
+    that titles alone do not link: once for each title, date and body, where rows share a block. The groups, their
+    reasons and highest confidences are those of all pairs.
     """
     normal = text.normalize_space(F.col(body))
-    titled = stage(rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), F.md5(normal.cast("binary")).alias("same"), F.length(normal).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys")), "titled")
-    first = stage(titled.groupBy("title").agg(F.min("node").alias("first")), "titles")
-    edges = titled.join(first, "title").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.lit("title_similarity").alias("reason"), F.lit(1.0).alias("confidence"))
-    scored = stage(scored_titles(title_pairs(titled, F.col("keys"), "title", "node")), "scored")
-    edges = edges.union(scored.where(F.col("title_score") >= TITLE_LEAST).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("title_similarity").alias("reason"), (F.col("title_score") / 100).alias("confidence")))
-    apart = scored.where(F.col("title_score") < TITLE_LEAST).select("a_title", "b_title")
-    kinds = titled.where("ok").groupBy("title", "same", "n").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
-    kinds = stage(kinds, "bodies")
-    member = lambda s: kinds.select(F.col("title").alias(f"{s}_title"), F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("keys").alias(f"{s}_keys"))
-    met = apart.join(member("a"), "a_title").join(member("b"), "b_title").where(lengths_fit(F.col("a_n"), F.col("b_n")) & F.arrays_overlap("a_keys", "b_keys")).select("a", "b")
+    generic = text.generic_title(F.col(title), GENERIC_TITLES) if date else F.lit(False)
+    day = F.coalesce(F.col(date).cast("string"), F.lit("")) if date else F.lit("")
+    same = F.md5(normal.cast("binary"))
+    entity = F.when(~generic, F.col(title)).otherwise(F.concat_ws("\u0000", title, day, F.when(day == "", same)))
+    held = rows.where(F.col(title) != "").select(F.col(node).alias("node"), F.col(title).alias("title"), entity.alias("entity"), generic.alias("generic"), day.alias("day"), same.alias("same"), F.length(normal).alias("n"), F.col(dedupable).alias("ok"), F.array_distinct(keys).alias("keys"))
+    titled = stage(held, "titled")
+    first = stage(titled.groupBy("entity").agg(F.min("node").alias("first"), F.first("generic").alias("generic"), F.min("day").alias("day")), "entities")
+    edges = titled.select("entity", "node").join(first, "entity").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.lit("title_similarity").alias("reason"), F.lit(1.0).alias("confidence"))
+    side = lambda s: first.select(F.col("first").alias(s), F.col("entity").alias(f"{s}_entity"), F.col("generic").alias(f"{s}_generic"), F.col("day").alias(f"{s}_day"))
+    pairs = scored_titles(title_pairs(titled, F.col("keys"), "title", "node", "entity")).join(side("a"), "a").join(side("b"), "b")
+    safe = ~(F.col("a_generic") | F.col("b_generic")) | ((F.col("a_day") == F.col("b_day")) & (F.col("a_day") != ""))
+    scored = stage(pairs.withColumns({"alike": F.col("title_score") >= TITLE_LEAST, "linked": (F.col("title_score") >= TITLE_LEAST) & safe}), "scored")
+    edges = edges.union(scored.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("title_similarity").alias("reason"), (F.col("title_score") / 100).alias("confidence")))
+    apart = scored.where("not linked").select("a_entity", "b_entity", "alike", "title_score")
+    # of titles that are alike but not linked all rows count, of others those that are dedupable
+    doubtful = scored.where("alike and not linked").select(F.explode(F.array("a_entity", "b_entity")).alias("entity")).distinct().withColumn("doubtful", F.lit(True))
+    counting = titled.join(doubtful, "entity", "left").where("ok or doubtful")
+    kinds = stage(counting.groupBy("entity", "same", "n", "ok").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "bodies")
+    member = lambda s: kinds.select(F.col("entity").alias(f"{s}_entity"), F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("ok").alias(f"{s}_ok"), F.col("keys").alias(f"{s}_keys"))
+    compared = F.col("alike") | (F.col("a_ok") & F.col("b_ok"))
+    met = apart.join(member("a"), "a_entity").join(member("b"), "b_entity").where(compared & lengths_fit(F.col("a_n"), F.col("b_n")) & F.arrays_overlap("a_keys", "b_keys")).select("a", "b", "alike", "title_score")
     whole = lambda s: rows.select(F.col(node).alias(s), normal.alias(f"{s}_body"))
     bodied = scored_bodies(stage(met, "met").join(whole("a"), "a").join(whole("b"), "b"))
-    return edges.union(bodied.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("body_similarity").alias("reason"), (F.col("body_score") / 100).alias("confidence")))
+    reason = F.when(F.col("alike"), "title_similarity").otherwise("body_similarity")
+    return edges.union(bodied.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), reason.alias("reason"), (F.when(F.col("alike"), F.col("title_score")).otherwise(F.col("body_score")) / 100).alias("confidence")))
 
 
 def assign_groups(rows: DataFrame, edges: DataFrame, better: list[Column], node: str = "doc_id") -> DataFrame:

@@ -123,13 +123,13 @@ def c1_fuzzy_levenshtein(spark, sf_dir):
 @query()
 def c1_fuzzy_indel(spark, sf_dir):
     rows = keyed(spark, sf_dir).withColumn("ok", articles.dedupable(F.col("status"), F.col("words"), F.col("body")))
-    return dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok")
+    return dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok", "published")
 
 
 def grouped_near(spark, sf_dir):
     """Groups by exact and near edges together."""
     rows = stage(keyed(spark, sf_dir).withColumn("ok", articles.dedupable(F.col("status"), F.col("words"), F.col("body"))), "keyed")
-    edges = stage(edges_of(rows).union(dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok")), "all")
+    edges = stage(edges_of(rows).union(dedupe.near_edges(rows, candidate_keys(), "title_key", "body", "ok", "published")), "all")
     return dedupe.assign_groups(rows.select("doc_id", "words", "environment"), edges, [F.col("words")]), edges
 
 
