@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 from .common import slices, text_bytes
 
 #: Bytes of text whose words are replayed together, and of those whose ids travel in one Arrow batch. They bound memory only.
-STEP, SLICE = 16 << 20, 4 << 20
+STEP, SLICE = 8 << 20, 4 << 20
 #: Places of one merge from which they are merged as arrays.
 MANY = 32
 _BITS = 24
