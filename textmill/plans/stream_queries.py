@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.scratch import shared_dir
-from ..streaming import checkpoint, events
-from .page_queries import NORMALIZED
+from ..streaming import checkpoint, crawl_run, events
+from .page_queries import NORMALIZED, WALK
 from .registry import query
 
 
@@ -70,3 +70,34 @@ def c33_checkpoint_store(spark, sf_dir):
     store = checkpoint.CheckpointStore.create_or_open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {"seed": 42, "masking": "balanced"})
     store.commit(events.stream(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.expr(_RECORD).alias("record")), strict=False)
     return store.cases().select("position", "case_id", "status").unionByName(store.corrupt().select("position", F.lit(None).cast("string").alias("case_id"), F.col("reason").alias("status")))
+
+
+_ENDED = f"""s AS (SELECT *, row_number() OVER (PARTITION BY source, fp ORDER BY page) > 1 AS seen, page_id FROM (SELECT w.*, page * 10 + source AS page_id FROM {WALK} w)),
+r AS (SELECT *, CASE WHEN status <> 200 THEN 'not_found' WHEN size < 200 THEN 'small_page' WHEN seen THEN 'repeated_page' WHEN links = 0 THEN 'no_links' END AS why FROM s),
+e AS (SELECT source, min(page) FILTER (why IS NOT NULL) AS stop_page, min_by(why, page) FILTER (why IS NOT NULL) AS ended FROM r GROUP BY 1),
+f AS (SELECT r.*, CASE WHEN stop_page IS NULL OR page < stop_page THEN 'taken' WHEN page = stop_page THEN 'stopped' ELSE 'skipped' END AS action, CASE WHEN page = stop_page THEN ended WHEN page > stop_page THEN 'after_' || ended END AS reason FROM r JOIN e USING (source))"""
+
+
+def crawled(spark, sf_dir):
+    """A run over the pages as ten sources fetched them, and a second call that finds nothing new."""
+    run = crawl_run.CrawlRun(spark, f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}", "example.org")
+    page = F.col("page_id")
+    for _ in range(2):
+        fetched = events.pages(spark, sf_dir).select((page % 10).alias("source"), F.floor(page / 10).alias("page"), "page_id", "url", F.when(page % 83 == 82, 404).otherwise(200).alias("status"), "html")
+        run.advance(crawl_run.walk(fetched, F.left(F.md5("html"), F.lit(2)), F.regexp_count("html", F.lit("<a "))))
+    return run
+
+
+@query(f"WITH {_ENDED} SELECT printf('log_%08d', row_number() OVER (ORDER BY page_id)) AS id, source, page, page_id, status, action, reason FROM f")
+def c7_crawl_log(spark, sf_dir):
+    return crawled(spark, sf_dir).table("log").select("id", "source", "page", "page_id", "status", "action", "reason")
+
+
+@query(f"WITH {_ENDED} SELECT printf('art_%08d', row_number() OVER (ORDER BY page_id)) AS id, page_id FROM f WHERE action = 'taken'")
+def c7_crawl_articles(spark, sf_dir):
+    return crawled(spark, sf_dir).table("articles").select("id", "page_id")
+
+
+@query()
+def c7_crawl_links(spark, sf_dir):
+    return crawled(spark, sf_dir).table("links").select("id", "article_id", "page_id", "normalized", "link_type", "should_download")
