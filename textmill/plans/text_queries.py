@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, values
+from ..functions import answers, dates, text, values
 from .registry import query, read
 
 NORMAL = r"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(coalesce(text,''), chr(160), ' '), '[ \t\r\f\v]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g')), '^\s+', ''), '\s+$', '')"
@@ -153,6 +153,25 @@ def m15_parse_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", p.isNotNull().alias("is_object"), F.try_variant_get(p, "$.k", "string").alias("k"), F.size(values.json_list(F.col("props"))).alias("listed"))
 
 
+#: Answers made from the events: whole, within a text, no object, other keys, broken off, and with values of wrong kinds.
+_ANSWER = """CASE event_id % 6
+  WHEN 0 THEN '{"confirmed_information": {"quem": "' || event_type || '", "onde": "u' || CAST(user_id AS STRING) || '"}, "missing_fields": ["quando"], "briefing": " a  ' || event_type || '"}'
+  WHEN 1 THEN 'Answer: {"claims": ["' || event_type || ' } x"], "questions": ["Q ' || CAST(user_id AS STRING) || '?"]} end {'
+  WHEN 2 THEN '[' || CAST(user_id AS STRING) || ']' WHEN 3 THEN '{"answer": ' || CAST(user_id AS STRING) || '}' WHEN 4 THEN '{"claims": ["' || event_type
+  ELSE '{"missing_information": "x", "missing_fields": ["why", "who"], "confirmed_fields": {"source": "' || event_type || '"}}' END"""
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'no_known_key' WHEN 4 THEN 'no_json' END AS reason, event_id % 6 = 1 AS recovered,
+CASE event_id % 6 WHEN 0 THEN 'who=' || event_type || ',where=u' || user_id WHEN 5 THEN 'source=' || event_type ELSE '' END AS confirmed, CASE event_id % 6 WHEN 0 THEN 'when' WHEN 5 THEN 'who,why' ELSE '' END AS missing,
+CASE event_id % 6 WHEN 1 THEN 'Q ' || user_id || '?' ELSE '' END AS questions, CASE event_id % 6 WHEN 1 THEN event_type || ' } x' ELSE '' END AS claims,
+CASE event_id % 6 WHEN 0 THEN 'a ' || event_type WHEN 1 THEN '{"claims":["' || event_type || ' } x"],"questions":["Q ' || user_id || '?"]}' WHEN 2 THEN '[' || user_id || ']' WHEN 3 THEN '{"answer": ' || user_id || '}' WHEN 4 THEN '{"claims": ["' || event_type
+ELSE '{"confirmed_fields":{"source":"' || event_type || '"},"missing_fields":["why","who"],"missing_information":"x"}' END AS briefing FROM events""")
+def m15_answers(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.expr(_ANSWER).alias("answer")).select("event_id", answers.parse_answer(F.col("answer")).alias("a"))
+    pairs = F.transform(F.map_entries("a.confirmed"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.select("event_id", "a.reason", "a.recovered", F.array_join(pairs, ",").alias("confirmed"), *(F.array_join(f"a.{c}", ",").alias(c) for c in ("missing", "questions", "claims")), "a.briefing")
+
+
 @query("SELECT turn, role, CASE lower(role) WHEN 'user' THEN 'who' WHEN 'assistant' THEN 'what' ELSE NULL END AS field, count(*) AS n FROM conversations GROUP BY ALL")
 def m17_field_names(spark, sf_dir):
     as_field = F.when(F.col("role") == "user", "Quem ").when(F.col("role") == "assistant", "o que").otherwise(F.col("role"))
