@@ -21,7 +21,8 @@ NOISE_TAGS = {"script", "style", "noscript", "nav", "header", "footer", "aside",
 NOISE_NAMES = re.compile(r"(menu|breadcrumb|sidebar|share|social|cookie|banner|rodape|footer|header|comment|related|newsletter|ad[sv]?\b)", re.IGNORECASE)
 BLOCKS = {"h2", "h3", "h4", "p", "li", "blockquote"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "blockquote", "main"}, "li": {"li"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}}
-CONTENT = (("article", None), ("main", None), (None, "entry-content"), (None, "post-content"), (None, "article-body"), (None, "content"), (None, "conteudo"))
+CONTENT = (".elementor-widget-theme-post-content", ".entry-content", ".post-content", ".single-post-content", "article", "main article", "main", "#content", ".content")
+CONTAINERS = {"article", "main", "section", "div"}
 SUBTITLE_CLASSES = ("subtitle", "subtitulo", "lead", "excerpt")
 LEAST_SCORE, LEAST_WORDS = 80, 20
 
@@ -74,6 +75,50 @@ class TreeBuilder(HTMLParser):
             self.at.children.append(data)
 
 
+def scores(root: Node, nodes: list[Node]) -> dict[int, int]:
+    """Characters of text, and 100 for each paragraph below, of every node: subtree sums in one walk from the leaves up. ``nodes`` are those below root, parents first."""
+    sums = {id(n): [0, 0, 0] for n in (root, *nodes)}
+    found = {}
+    for n in (*reversed(nodes), root):
+        own = sums[id(n)]
+        for c in n.children:
+            if isinstance(c, str):
+                words = c.split()
+                own[0] += sum(map(len, words))
+                own[1] += len(words)
+        chars, words, paragraphs = own
+        found[id(n)] = chars + max(words - 1, 0) + 100 * paragraphs
+        if n is not root:
+            up = sums[id(n.parent)]
+            up[0] += chars
+            up[1] += words
+            up[2] += paragraphs + (n.tag == "p")
+    return found
+
+
+def matches(n: Node, selector: str) -> bool:
+    """Whether a node is what a selector of CONTENT names: a class, an id, a tag, or a tag within another."""
+    *outer, last = selector.split()
+    if last.startswith("."):
+        fits = last[1:] in n.attrs.get("class", "").split()
+    elif last.startswith("#"):
+        fits = n.attrs.get("id") == last[1:]
+    else:
+        fits = n.tag == last
+    up = n.parent
+    while fits and outer and up is not None and up.tag != outer[0]:
+        up = up.parent
+    return fits and (not outer or up is not None)
+
+
+def content_node(root: Node, nodes: list[Node]) -> Node:
+    """The first node by the order of CONTENT that scores enough; else the container of the highest score, else the body."""
+    score = scores(root, nodes)
+    wanted = (n for selector in CONTENT for n in nodes if score[id(n)] >= LEAST_SCORE and matches(n, selector))
+    held = [n for n in nodes if n.tag in CONTAINERS]
+    return next(wanted, None) or max(held, key=lambda n: score[id(n)], default=None) or next((n for n in nodes if n.tag == "body"), root)
+
+
 def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
 
@@ -119,11 +164,7 @@ def parse(html: str | None) -> dict | None:
     clean(builder.root)
     kept = list(builder.root.walk())
 
-    def score(n: Node) -> int:
-        return len(n.text()) + 100 * sum(c.tag == "p" for c in n.walk())
-
-    wanted = [n for tag, name in CONTENT for n in kept if (tag is None or n.tag == tag) and (name is None or name in n.attrs.get("class", "").split() or n.attrs.get("id") == name)]
-    body = next((n for n in wanted if score(n) >= LEAST_SCORE), None) or max((n for n in kept if n.tag in ("body", "div", "section")), key=score, default=builder.root)
+    body = content_node(builder.root, kept)
     inside = list(body.walk())
     blocks = [n.text() for n in inside if n.tag in BLOCKS and not any(c.tag in BLOCKS for c in n.walk())]
     for n in inside:

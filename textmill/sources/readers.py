@@ -58,9 +58,9 @@ def records(spark: SparkSession, path: str, schema: str | StructType) -> DataFra
 
 
 def json_document(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """One JSON document over many lines; empty if there is none."""
+    """One JSON document over many lines; empty if there is none, an error if it is broken."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         if _missing(error):
             return spark.createDataFrame([], schema)

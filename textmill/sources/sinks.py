@@ -97,9 +97,12 @@ def atomic_json(spark: SparkSession, path: str, value: object) -> None:
         out.hsync()
     finally:
         out.close()
-    store.delete(place, False)
-    if not store.rename(beside, place):
-        raise OSError(f"cannot rename to {path}")
+    # one step that replaces: readers between see the old document
+    kinds = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    place, beside = store.makeQualified(place), store.makeQualified(beside)
+    hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, place, over)
 
 
 def aliases(spark: SparkSession, tables: dict[str, str]) -> None:
