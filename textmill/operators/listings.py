@@ -104,14 +104,17 @@ def split_label(label: Column, publishers: list[str]) -> Column:
     return F.struct(F.when(known, title).otherwise(whole).alias("title"), F.when(known, F.regexp_extract(whole, LABEL, 1)).otherwise("").alias("date_label"), F.when(known, publisher).otherwise("").alias("publisher"))
 
 
-def news_links(pages: DataFrame, own_domain: str, legacy_host: str, publishers: list[str], key: str = "page_id", url: str = "url", page: str = "html", most: int | None = None) -> DataFrame:
-    """One row for each news address of a page, placed by its first anchor; the anchor that fills most fields describes it.
+FIELDS = ["label", "title", "summary", "date_label", "publisher", "image"]
 
-    Pages without text, and links that lead nowhere or to no news, give no row. ``most`` keeps the first addresses of a page.
-    """
+
+def anchor_rows(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """One row for each anchor of a page that leads somewhere, with what stands around it."""
     rows = pages.select(key, F.col(url).alias("base"), F.posexplode(anchors(F.col(page))).alias("position", "a")).select(key, "base", "position", "a.*")
-    rows = rows.withColumn("address", urls.resolve(F.col("href"), F.col("base"))).where("address is not null")
-    rows = rows.withColumn("kind", links.news_kind(F.col("address"), F.col("label"), F.col("navigation"), F.col("inside"), own_domain, legacy_host)).where("kind is not null")
+    return rows.withColumn("address", urls.resolve(F.col("href"), F.col("base"))).where("address is not null")
+
+
+def described(rows: DataFrame, publishers: list[str]) -> DataFrame:
+    """Anchors that have a kind, with FIELDS and how many of them are filled."""
     rows = rows.withColumns({"legacy": split_label(F.col("label"), publishers), "boxed": F.col("kind") != "legacy_article"})
     in_box = lambda found, other: F.when(F.col("boxed"), found).otherwise(other)
     first = lambda options: F.coalesce(F.get(options, F.lit(0)), F.lit(""))
@@ -122,9 +125,18 @@ def news_links(pages: DataFrame, own_domain: str, legacy_host: str, publishers:
     image = first(F.filter(F.transform("images", lambda s: urls.resolve(s, F.col("base"))), lambda s: s.isNotNull()))
     rows = rows.withColumns({"summary": in_box(summary, F.lit("")), "date_label": in_box(stamp, F.col("legacy.date_label")), "publisher": F.col("legacy.publisher"), "image": in_box(image, F.lit(""))})
     rows = rows.withColumn("publisher", in_box(F.lit(""), F.col("publisher")))
-    fields = ["label", "title", "summary", "date_label", "publisher", "image"]
-    quality = links.candidate_quality(*map(F.col, fields[1:]))
-    best = F.max_by(F.struct("href", "kind", *fields), F.struct(quality, -F.col("position")))
+    return rows.withColumn("quality", links.candidate_quality(*map(F.col, FIELDS[1:])))
+
+
+def news_links(pages: DataFrame, own_domain: str, legacy_host: str, publishers: list[str], key: str = "page_id", url: str = "url", page: str = "html", most: int | None = None) -> DataFrame:
+    """One row for each news address of a page, placed by its first anchor; the anchor that fills most fields describes it.
+
+    Pages without text, and links that lead nowhere or to no news, give no row. ``most`` keeps the first addresses of a page.
+    """
+    rows = anchor_rows(pages, key, url, page)
+    rows = rows.withColumn("kind", links.news_kind(F.col("address"), F.col("label"), F.col("navigation"), F.col("inside"), own_domain, legacy_host)).where("kind is not null")
+    rows = described(rows, publishers)
+    best = F.max_by(F.struct("href", "kind", *FIELDS), F.struct("quality", -F.col("position")))
     found = rows.groupBy(key, "address").agg(best.alias("best"), F.min("position").alias("position"))
     found = found.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("position")))
     found = found.select(key, "place", "address", "best.*").withColumn("relative_href", urls.relative(F.col("href")))
