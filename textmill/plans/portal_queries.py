@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import diagnosis, listings, old_portal
 from ..operators.old_portal import Portal
+from ..sources import attempts
 from .page_queries import NORMALIZED
 from .registry import query, read
 from .text_queries import NORMAL
@@ -101,3 +102,39 @@ def c8_host_report(spark, sf_dir):
     fetched = _fetched(spark, sf_dir)
     tested = fetched.where("not contains(url, '?')").select("url")
     return diagnosis.diagnose(tested, fetched, kinds(), [], PORTAL).hosts.select("host", "best_url", "opened", "candidates", "has_news", "paging_works")
+
+
+def _scripted(url: str, verify: bool, timeout: float) -> tuple[int, str, str]:
+    """Answers by the length of the address from its host on."""
+    import ssl
+
+    kind = len(url.split("://", 1)[1]) % 6
+    if kind == 0 and verify:
+        raise ssl.SSLError("certificate")
+    if kind == 1:
+        raise TimeoutError("late")
+    if kind == 3 and url.startswith("https:"):
+        return 403, url, ""
+    return (503, url, "") if kind == 2 else (200, url, f"<p>{len(url)}</p>")
+
+
+_KIND = "length(regexp_extract(url, '://(.*)$', 1)) % 6"
+_AFTER = f"""t AS (SELECT page_id, url, {_KIND} AS k, starts_with(url, 'https:') AS secure FROM pages),
+a AS (SELECT page_id, k, url, unnest(CASE WHEN k IN (0, 1) AND secure THEN ['first', 'first', 'first', 'plain'] || CASE k WHEN 1 THEN ['plain', 'plain'] ELSE [] END WHEN k IN (0, 1) THEN ['first', 'first', 'first'] WHEN k = 2 AND secure THEN ['first', 'first', 'first', 'plain', 'plain', 'plain'] WHEN k = 2 THEN ['first', 'first', 'first'] WHEN k = 3 AND secure THEN ['first', 'plain'] ELSE ['first'] END) AS rung,
+  generate_subscripts(CASE WHEN k IN (0, 1) AND secure THEN [0, 1, 2, 0] || CASE k WHEN 1 THEN [1, 2] ELSE [] END WHEN k IN (0, 1) THEN [0, 1, 2] WHEN k = 2 AND secure THEN [0, 1, 2, 0, 1, 2] WHEN k = 2 THEN [0, 1, 2] WHEN k = 3 AND secure THEN [0, 0] ELSE [0] END, 1) - 1 AS n FROM t)"""
+
+
+@query(f"WITH {_AFTER} SELECT page_id, n::INT AS n, rung, CASE WHEN rung = 'plain' THEN 'http' || substr(url, 6) ELSE url END AS request_url, rung = 'first' AS verify, (CASE WHEN k = 1 OR k = 0 AND rung = 'first' THEN NULL WHEN k = 2 THEN 503 WHEN k = 3 AND rung = 'first' AND starts_with(url, 'https:') THEN 403 ELSE 200 END)::INT AS status, CASE WHEN k = 1 THEN 'TimeoutError' WHEN k = 0 AND rung = 'first' THEN 'SSLError' ELSE '' END AS error_type FROM a")
+def src9_attempts(spark, sf_dir):
+    """Every attempt on the addresses of the pages, from a scripted fetcher; all hosts allow plain HTTP."""
+    ladder = attempts.Ladder(delay=0, backoff=0, plain_hosts=("com", "org", "net"))
+    found = attempts.attempts(read(spark, sf_dir, "pages").select("page_id", "url"), _scripted, ladder)
+    return found.select("page_id", "n", "rung", "request_url", "verify", "status", "error_type")
+
+
+@query(f"SELECT page_id, (CASE {_KIND} WHEN 1 THEN NULL WHEN 2 THEN 503 WHEN 3 THEN CASE WHEN starts_with(url, 'https:') THEN 403 ELSE 200 END ELSE 200 END)::INT AS status, {_KIND} <> 0 AS verify, {_KIND} = 0 AS verify_false_needed, {_KIND} = 0 AS had_tls_error, CASE WHEN {_KIND} = 0 THEN 2 ELSE 1 END::BIGINT AS attempts FROM pages")
+def src10_selected(spark, sf_dir):
+    """What a diagnosis takes: one attempt, and one without verification after a TLS error."""
+    ladder = attempts.Ladder(retries=0, delay=0, unverified_on_tls=True)
+    found = attempts.selected(attempts.attempts(read(spark, sf_dir, "pages").select("page_id", "url"), _scripted, ladder))
+    return found.select("page_id", "status", "verify", "verify_false_needed", (F.col("tls_error") != "").alias("had_tls_error"), "attempts")
