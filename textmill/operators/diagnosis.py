@@ -39,16 +39,23 @@ def link_union(anchors: DataFrame, kinds: list[Column], publishers: list[str], k
 
     Places go by family, then by the first anchor of the family. Families after the first take the label as the title.
     """
+    return _united(_taken(anchors, kinds, publishers, key), key)
+
+
+def _taken(anchors: DataFrame, kinds: list[Column], publishers: list[str], key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The anchors that a family takes, with the few columns that describe them; also those with a value in ``more``."""
     family = F.coalesce(*(F.when(k.isNotNull(), i) for i, k in enumerate(kinds)))
-    rows = anchors.withColumns({"family": family, "kind": F.coalesce(*kinds)}).where("family is not null")
+    rows = anchors.withColumns({"family": family, "kind": F.coalesce(*kinds)}).where(F.coalesce(F.col("family").cast("string"), *more).isNotNull())
     rows = listings.described(rows, publishers).withColumn("title", F.when(F.col("family") == 0, F.col("title")).otherwise(F.col("label")))
-    rows = rows.withColumn("normalized", urls.normalize_url(F.col("address")))
-    best = F.min_by(F.struct("address", "href", "kind", *listings.FIELDS), F.struct("family", -F.col("quality"), "position"))
-    found = rows.groupBy(key, "normalized").agg(best.alias("best"), F.min(F.struct("family", "position")).alias("at"))
-    # one page's links are placed within an array of their places, so that no window is needed
-    order = found.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("order"))
-    placed = found.join(order, key).withColumn("place", F.array_position("order", F.col("at")).cast("int"))
-    return placed.select(key, "place", "normalized", "at.family", "best.*").withColumn("relative_href", urls.relative(F.col("href")))
+    return rows.select(key, *more, "position", "family", "quality", urls.normalize_url(F.col("address")).alias("normalized"), F.struct("address", "href", "kind", *listings.FIELDS).alias("said"))
+
+
+def _united(taken: DataFrame, key: str) -> DataFrame:
+    best = F.min_by("said", F.struct("family", -F.col("quality"), "position"))
+    found = taken.groupBy(key, "normalized").agg(F.min(F.struct("family", "position")).alias("at"), best.alias("said"))
+    # the links of one page are placed within an array
+    placed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "normalized", "said"))).alias("all")).select(key, F.posexplode("all").alias("i", "x"))
+    return placed.select(key, (F.col("i") + 1).alias("place"), "x.normalized", "x.at.family", "x.said.*").withColumn("relative_href", urls.relative(F.col("href")))
 
 
 def individual_path(url: Column) -> Column:
@@ -58,29 +65,38 @@ def individual_path(url: Column) -> Column:
     return F.when(path.rlike(r"^/noticias/\d+/$"), "/noticias/{id}/").when(F.lower(path).rlike("^/noticias/[a-z0-9-]+/$"), "/noticias/{slug}/").when(folder == "", path).otherwise(F.concat(folder, F.lit("{article}/")))
 
 
-def _counted(rows: DataFrame, key: str, by: Column, name: str) -> DataFrame:
+def _counted(rows: DataFrame, key: str, by: Column, name: str, what: str) -> DataFrame:
     """A map of counts for each page, in order."""
-    n = rows.withColumn("_by", by).where("_by is not null").groupBy(key, "_by").agg(F.count("*").alias("_n"))
+    n = rows.withColumn("_by", by).where("_by is not null").groupBy(key, "_by").agg(F.count_distinct(what).alias("_n"))
     return n.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_by", "_n")))).alias(name))
 
 
 def listing_report(fetched: DataFrame, kinds: list[Column], publishers: list[str]) -> DataFrame:
-    """One row for each address: whether it opened, its title and size, its news links by kind and path, its paging links."""
-    longest = F.min_by(F.struct("final_url", "status", "html"), F.expr(LONGEST))
-    pages = stage(fetched.groupBy("url").agg(longest.alias("p")).select("url", "p.*").withColumn("final", F.coalesce(F.nullif("final_url", F.lit("")), "url")), "fetched")
-    anchors = stage(listings.anchor_rows(pages, "url", "final", "html"), "anchors")
-    union = stage(link_union(anchors, kinds, publishers, "url"), "union")
-    first = F.array_sort(F.collect_list(F.when(F.col("place") <= FIRST_LINKS, F.struct("place", "address", "title", "normalized"))))
-    totals = union.groupBy("url").agg(F.count("*").alias("candidates"), first.alias("first_links"))
-    paging = urls.pagination_pattern(F.col("address"))
-    found = pages
-    for part in (totals, _counted(union, "url", F.col("kind"), "kinds"), _counted(union, "url", individual_path(F.col("address")), "paths"), _counted(anchors, "url", paging, "paging_links")):
-        found = found.join(part, "url", "left")
+    """One row for each address: whether it opened, its title and size, its news links by kind and path, its paging links.
+
+    Pages are read where they are: what is shuffled is a short row of each, and its links. ``row`` tells several pages of
+    one address apart.
+    """
     body = text.filled(F.col("html"))
+    final = F.coalesce(F.nullif("final_url", F.lit("")), "url")
+    row = F.md5(F.concat_ws("\n", "url", final, F.coalesce(F.col("status").cast("string"), F.lit("")), F.md5(body)).cast("binary"))
+    pages = fetched.withColumns({"row": row, "final": final})
     opened = F.coalesce(F.col("status").between(200, 399), F.lit(False)) & (body != "")
+    short = pages.select("url", "row", "final", "status", opened.alias("opened"), F.length(body).alias("size"), text.collapse(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.when(body != "", text.fingerprint(body)).otherwise("").alias("fingerprint"))
+    one = F.min_by(F.struct("row", "final", "status", "opened", "size", "title", "fingerprint"), F.struct(-F.col("size"), "final", "status", "row"))
+    short = short.groupBy("url").agg(one.alias("p")).select("url", "p.*")
+    anchors = listings.anchor_rows(pages, "row", "final", "html").withColumn("style", urls.pagination_pattern(F.col("address")))
+    # a page's tree is built once
+    taken = stage(_taken(anchors, kinds, publishers, "row", ("style",)), "anchors")
+    union = stage(_united(taken.where("family is not null"), "row").select("row", "place", "normalized", "address", "title", "kind"), "union")
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= FIRST_LINKS, F.struct("place", "address", "title", "normalized"))))
+    totals = union.groupBy("row").agg(F.count("*").alias("candidates"), first.alias("first_links"))
+    found = short
+    for part in (totals, _counted(union, "row", F.col("kind"), "kinds", "place"), _counted(union, "row", individual_path(F.col("address")), "paths", "place"), _counted(taken, "row", F.col("style"), "paging_links", "position")):
+        found = found.join(part, "row", "left")
     return found.select(
-        "url", urls.host(F.col("url")).alias("host"), "status", opened.alias("opened"), (F.col("final") != F.col("url")).alias("redirected"), F.col("final").alias("final_url"), F.length(body).alias("size"), text.collapse(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.coalesce("candidates", F.lit(0)).alias("candidates"),
-        F.coalesce("first_links", F.array().cast(totals.schema["first_links"].dataType)).alias("first_links"), *(F.coalesce(m, F.create_map().cast("map<string,bigint>")).alias(m) for m in ("kinds", "paths", "paging_links")), F.when(body != "", text.fingerprint(body)).otherwise("").alias("fingerprint"),
+        "url", urls.host(F.col("url")).alias("host"), "status", "opened", (F.col("final") != F.col("url")).alias("redirected"), F.col("final").alias("final_url"), "size", "title", F.coalesce("candidates", F.lit(0)).alias("candidates"),
+        F.coalesce("first_links", F.array().cast(totals.schema["first_links"].dataType)).alias("first_links"), *(F.coalesce(m, F.create_map().cast("map<string,bigint>")).alias(m) for m in ("kinds", "paths", "paging_links")), "fingerprint",
     )
 
 
