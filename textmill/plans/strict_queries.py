@@ -1,12 +1,18 @@
-"""Strict briefings of every document whose id is divisible by 20, with passages of an index of all others."""
+"""Strict briefings and runs of four configurations: a case for every document whose id is divisible by 20, with passages of an index of all others."""
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import index, labeling, strict
-from ..sources.scratch import stage
+from ..operators import configurations, index, labeling, strict
+from ..sources.scratch import shared_dir, stage
+from ..streaming import evaluation_run
+from ..streaming.checkpoint import CheckpointStore
 from .corpus_queries import ARTICLES, arts
 from .evaluation_queries import TEST_KEYWORDS, WEAK, weak
 from .registry import query, read
@@ -95,3 +101,49 @@ def c23_strict_briefing(spark, sf_dir):
 @query(f"""WITH {STRICT} SELECT configuration, count(*) AS cases, {", ".join(f'round(avg("{m}"), {2 if m == "n_questions" else 4}) AS "{m}"' for m in strict.MEASURES)} FROM sc GROUP BY 1""")
 def a18_strict_means(spark, sf_dir):
     return strict.aggregate(strict_scores(spark, sf_dir))
+
+
+def pilot(spark, sf_dir):
+    rows = arts(spark, sf_dir).where(CASES)
+    how = F.when(F.col("words") > 100, "by mail").otherwise("")
+    return configurations.pilot_cases(rows.select(F.format_string("case_%08d", "doc_id").alias("case_id"), "title", F.lit("").alias("lead"), "body", F.col("environment").alias("author"), "unit", "published", F.col("article_id").alias("url"), how.alias("how")))
+
+
+def _redacted(x: str) -> str:
+    for v in ("day", "src", "who", "unit"):
+        x = f"CASE WHEN length({v}) >= 4 THEN regexp_replace({x}, '(?i)' || regexp_escape({v}), '[FIELD REMOVED]', 'g') ELSE {x} END"
+    return x
+
+
+_TRUE = "MAP {'what': title, 'who': who, 'when': day, 'where': unit, 'why': why, 'how': how, 'source': src, 'unit': unit}"
+_TOLD = "CASE WHEN context <> '' THEN ['what', 'why'] ELSE ['what'] END"
+_ALL = "[" + ", ".join(f"'{f}'" for f in configurations.FIELDS) + "]"
+
+
+@query(f"""WITH a AS (SELECT doc_id, title, body AS text, CASE WHEN coalesce(environment, '') <> '' THEN environment ELSE coalesce(unit, '') END AS who, coalesce(unit, '') AS unit, published AS day, article_id AS src, CASE WHEN words > 100 THEN 'by mail' ELSE '' END AS how FROM {ARTICLES} WHERE {CASES}),
+b AS (SELECT *, {_FIRST} AS why FROM (SELECT *, {COLLAPSED} AS c FROM a)), r AS (SELECT *, {_redacted('title')} AS shown, {_redacted('why')} AS context FROM b)
+SELECT printf('case_%08d', doc_id) AS case_id, array_to_string(list_filter([f FOR f IN {_ALL}], lambda f: ({_TRUE})[f] <> '' AND NOT list_contains({_TOLD}, f)), ',') AS removed,
+  '{configurations.DEMAND} {configurations.FACT}' || CASE WHEN shown <> '' THEN shown ELSE '{configurations.NO_FACT}' END || '.' || CASE WHEN context <> '' AND context <> shown THEN ' {configurations.CONTEXT}' || context || '.' ELSE '' END || ' {configurations.PENDING}' AS pitch FROM r""")
+def c24_pilot_case(spark, sf_dir):
+    return pilot(spark, sf_dir).select("case_id", F.array_join("removed_fields", ",").alias("removed"), "pitch")
+
+
+def scripted_model(prompt: str) -> str:
+    """Stands in for a model: repeats the fact of the request; of a third of all prompts the first answer breaks off."""
+    fact = prompt.partition(configurations.FACT)[2].partition(".")[0]
+    answer = json.dumps({"confirmed_information": {"what": fact}, "missing_information": ["quando", "fonte"], "suggested_questions": [{"question": f"What else is known of {fact[:20]}?"}], "factual_claims": [fact]})
+    return answer[:-20] if zlib.crc32(prompt.encode()) % 3 == 0 and configurations.SHORTER not in prompt else answer
+
+
+@query()
+def c29_four_configurations(spark, sf_dir):
+    """All cases in one store; each with four outputs, those with a model by :func:`scripted_model`."""
+    cases = stage(pilot(spark, sf_dir).withColumn("predicted_type", labeling.weak_label(F.col("pitch"), TEST_KEYWORDS)["label"]), "pilot-cases")
+    numbered = cases.select(F.substr("case_id", F.lit(6)).cast("long").alias("id"), "pitch")
+    found = index.overlap(index_of(spark, sf_dir, REST), numbered, "id", "pitch", configurations.PASSAGES)
+    described = arts(spark, sf_dir).select("doc_id", "article_id", "title", text.first_sentence(F.col("body")).alias("lead"), text.preview(F.col("body")).alias("preview"))
+    passages = stage(found.join(described, F.col("doc") == F.col("doc_id")).select(F.format_string("case_%08d", "query").alias("case_id"), "rank", "article_id", "title", "lead", "preview"), "passages")
+    store = CheckpointStore.create_or_open(spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", {"cases": CASES, "model": "scripted"})
+    parsed = F.from_json("record", "outputs array<struct<configuration:string,status:string,attempts:int,confirmed:map<string,string>,missing:array<string>,scores:struct<claims_total:int,claims_supported:int,questions_total:int>>>")
+    outputs = evaluation_run.run(cases, passages, scripted_model, store, wave=20_000).select("case_id", F.explode(parsed["outputs"]).alias("o"))
+    return outputs.select("case_id", "o.configuration", "o.status", "o.attempts", F.size("o.confirmed").alias("n_confirmed"), F.array_join("o.missing", ",").alias("missing"), "o.scores.*")
