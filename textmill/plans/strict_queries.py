@@ -120,7 +120,7 @@ _TOLD = "CASE WHEN context <> '' THEN ['what', 'why'] ELSE ['what'] END"
 _ALL = "[" + ", ".join(f"'{f}'" for f in configurations.FIELDS) + "]"
 
 
-@query(f"""WITH a AS (SELECT doc_id, title, body AS text, CASE WHEN coalesce(environment, '') <> '' THEN environment ELSE coalesce(unit, '') END AS who, coalesce(unit, '') AS unit, published AS day, article_id AS src, CASE WHEN words > 100 THEN 'by mail' ELSE '' END AS how FROM {ARTICLES} WHERE {CASES}),
+@query(f"""WITH a AS (SELECT doc_id, trim(title) AS title, body AS text, CASE WHEN coalesce(environment, '') <> '' THEN environment ELSE coalesce(unit, '') END AS who, coalesce(unit, '') AS unit, published AS day, article_id AS src, CASE WHEN words > 100 THEN 'by mail' ELSE '' END AS how FROM {ARTICLES} WHERE {CASES}),
 b AS (SELECT *, {_FIRST} AS why FROM (SELECT *, {COLLAPSED} AS c FROM a)), r AS (SELECT *, {_redacted('title')} AS shown, {_redacted('why')} AS context FROM b)
 SELECT printf('case_%08d', doc_id) AS case_id, array_to_string(list_filter([f FOR f IN {_ALL}], lambda f: ({_TRUE})[f] <> '' AND NOT list_contains({_TOLD}, f)), ',') AS removed,
   '{configurations.DEMAND} {configurations.FACT}' || CASE WHEN shown <> '' THEN shown ELSE '{configurations.NO_FACT}' END || '.' || CASE WHEN context <> '' AND context <> shown THEN ' {configurations.CONTEXT}' || context || '.' ELSE '' END || ' {configurations.PENDING}' AS pitch FROM r""")
