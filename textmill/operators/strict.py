@@ -22,13 +22,13 @@ FIXED, DIRECT, REPORTER = "fixed_form_baseline", "direct_generation_baseline", "
 UNCLASSIFIED = "not_classified"
 MEASURES = ["completeness", "structure", "missing_detected", "question_relevance", "n_questions", "same_type5", "same_unit5", "precision", "hallucination"]
 
-# Fixed values.
+# Fixed values (the name of the institution in a question is left out; no score depends on it).
 SECTIONS = ["suggested_title", "confirmed_information", "missing_information", "suggested_questions", "similar_news", "notes_for_journalist"]
 QUESTIONS = {
     "who": "Quem e o responsavel direto pela informacao ou atividade?",
     "what": "Qual e o fato principal que deve ser divulgado?",
     "when": "Qual e a data ou periodo exato da atividade, inscricao ou publicacao?",
-    "where": "Onde a atividade acontece ou qual unidade do IFMT esta envolvida?",
+    "where": "Onde a atividade acontece ou qual unidade da instituicao esta envolvida?",
     "why": "Qual e o objetivo ou justificativa da divulgacao?",
     "how": "Como o publico deve participar, se inscrever ou acessar o servico?",
     "source": "Qual link oficial, edital, formulario ou documento deve ser usado como fonte?",
