@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from textmill.llm import mixing, order_minhash, packing, url_filter
-from textmill.llm.queries import URL_RULES, tokenizer_path
+from textmill.llm.queries import URL_RULES, op8_url_filter, tokenizer_path
 
 
 def test_packing_against_the_tokenizer(docs, rows, empty):
@@ -151,6 +151,13 @@ def test_urls_against_a_list_of_rules(spark):
     assert url_filter.RuleTrie([("allow", "a.b"), ("block", "a.b")]).match("a.b", "") == ("a.b", "block")
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    pages = [(1, "http://other.net/de/1"), (2, "http://m.example.net/de/85"), (3, "http://example.net/de/7"), (4, "http://a.com/en/1"), (5, "http://example.com/en/7"), (6, "http://b.org/es/1"), (7, "http://b.org/en/1")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in op8_url_filter(spark, str(tmp_path)).collect()}
+    assert found == {1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: ("net/de/", "allow"), 4: ("com/en/", "block"), 5: ("example.com/en/7", "allow"), 6: ("org/es/", "block"), 7: (None, "allow")}
+
+
 def test_fingerprints(spark, docs, rows, empty):
     found = order_minhash.compare_edited(docs).collect()
     assert len(found) == len(rows)
