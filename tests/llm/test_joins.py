@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,49 @@ def test_split_groups(spark, monkeypatch, rounds):
     same(ngram_join.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
 
 
+@pytest.mark.parametrize(("shard", "rows", "ids"), [(2000, 1, 120), (50, 9, 360)])
+def test_texts_of_common_tokens_meet_as_lists(monkeypatch, shard, rows, ids):
+    """Thirty tokens that the same 120 texts hold: one list, and not 120 x 119 / 2 pairs; more than a shard is cut."""
+    monkeypatch.setattr(ngram_join, "SHARD", shard)
+    t, of = np.repeat(np.arange(30, dtype=np.uint64), 120), np.tile(np.arange(120, dtype=np.int64), 30)
+    each = {"tokens": t, "ids": of, "cells": of, "classes": of, "sizes": np.full(len(of), 40, np.uint32), "shared": np.full(len(of), 38, np.uint32)}
+    found = ngram_join._meetings(pa.table({c: pa.array([x.tobytes()]) for c, x in each.items()}))
+    lists = found.column("ids").to_pylist()
+    together = set()
+    for home in set(found.column("home").to_pylist()):
+        held = [x for h, x in zip(found.column("home").to_pylist(), lists) if h == home]
+        together |= {(a, b) for a in held[0] for b in held[-1]} | {(b, a) for a in held[0] for b in held[-1]}
+    assert len(together) == 120 * 120
+    assert (found.num_rows, sum(map(len, lists))) == (rows, ids)
+
+
+def test_partners():
+    rng = np.random.default_rng(3)
+    n = rng.integers(5, 60, 300)
+    shared = np.minimum(n, rng.integers(1, 60, 300))
+    fits = (100 + ngram_join.PERCENT) * np.minimum(shared[:, None], shared) >= ngram_join.PERCENT * (n[:, None] + n)
+    assert ngram_join._partnered(n, shared).tolist() == fits.any(axis=1).tolist()
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_passage_in_many_texts(spark, monkeypatch, rounds):
+    """Texts that share most of their tokens, mostly too few for a link, and their near copies."""
+    monkeypatch.setattr(ngram_join, "SHARD", 7)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    passage = prose(11, 40)
+    texts = [prose(500 + i, 6 + i % 5) + " " + passage + " " + prose(700 + i, 5 + i % 4) for i in range(40)]
+    texts += [t + " end" for t in texts[:9]]
+    rows = [(i, t, "en", "s0") for i, t in enumerate(texts)]
+    same(ngram_join.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
+
+
+def test_only_wanted_texts_are_dealt(spark):
+    texts = spark.createDataFrame([(i, prose(i, 30), "en", "s0") for i in range(400)], SCHEMA)
+    wanted = texts.where("doc_id % 20 = 0").select(F.md5(F.col("text").cast("binary")).alias("hash"))
+    found = {r["hash"] for r in ngram_join._different(texts, F.col("text"), 4, wanted).select("hash").collect()}
+    assert found >= {r["hash"] for r in wanted.collect()} and len(found) < 100
+
+
 def test_links_of_connects_what_brute_force_connects():
     rng = np.random.default_rng(0)
     sets = [np.sort(rng.choice(60, size=rng.integers(20, 40), replace=False)).astype(np.uint64) for _ in range(80)]
@@ -94,6 +138,9 @@ def test_links_of_connects_what_brute_force_connects():
 
     whole = [(names[i], names[j]) for i in range(80) for j in range(60) if i != j and near(sets[i].tolist(), sets[j].tolist())]
     assert classes(ngram_join.links_of(sets, roles, names)) == classes(whole)
+    known = [(names[i], names[j]) for i in range(0, 30) for j in range(i) if near(sets[i].tolist(), sets[j].tolist())]
+    of = {n: c[0] for c in classes(known) for n in c}
+    assert classes(known + ngram_join.links_of(sets, roles, names, [of[n] for n in names], within=True)) == classes(whole)
 
 
 def test_components_of_a_long_path(spark):

@@ -14,8 +14,8 @@ tokens and groups holds the union of each group's tokens; it is never stored, bu
 4. The rest say which other groups may hold enough of them. For each token they chose, the cell with most texts there
    is opened, and the others visit it: their overlap with its union of tokens is counted first, and that with its
    members only if it is enough. No pairs of texts or groups are formed. A token is done when links connect all its
-   texts; after ROUNDS such rounds the texts of the others, in different classes still and of sizes and numbers of
-   shared tokens that can link, visit each other's cells.
+   texts; after ROUNDS such rounds the texts of each of the others, in different classes still and of sizes and numbers
+   of shared tokens that can link, meet as one list, once for all tokens of the same texts.
 5. Divided groups with texts that the pivot's class lacks go through the steps 2 and 4 with tokens counted by text.
 6. Connected components of the links are found by hooking to the smallest neighbour and pointer jumping, as tables.
 
@@ -29,6 +29,7 @@ linked (unless empty); null ids count in no minimum; an empty table gives no row
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -310,47 +311,62 @@ def _choose(parts: int, last: bool):
     return run
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    """(text, cell to visit) of texts that hold one token, in different cells and classes, if they can link."""
+MEETINGS = "home long, role int, ids array<long>"
+
+
+def _partnered(n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and numbers of shared tokens include one that each can link to (itself, perhaps)."""
+    # the overlap is at most what either shares with anything, and has to be 75 of 175 of both sizes
+    most = (100 + PERCENT) * shared // PERCENT - n
+    by = np.argsort(-most, kind="stable")
+    least = np.minimum.accumulate(n[by])
+    able = np.searchsorted(-most[by], -n, "right")
+    return (able > 0) & (least[np.maximum(able, 1) - 1] <= most)
+
+
+def _meetings(table: pa.Table) -> pa.Table:
+    """Lists of texts that hold one token, in different cells and classes, and can link: once for all tokens of the same texts.
+
+    A list of more than SHARD is cut, and each two pieces of it meet at a home of their own.
+    """
     t, ids, cells, classes, n, shared = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("ids", np.int64), ("cells", np.int64), ("classes", np.int64), ("sizes", np.uint32), ("shared", np.uint32)))
-    order = np.lexsort((ids, cells, t))
+    order = np.lexsort((ids, classes, t))
     t, ids, cells, classes = t[order], ids[order], cells[order], classes[order]
     n, shared = n[order].astype(np.int64), shared[order].astype(np.int64)
     first = _firsts(t)
-    found, held = [], 0
+    found: dict[bytes, tuple] = {}
     for a, b in zip(first.tolist(), np.append(first, len(t))[1:].tolist()):
-        for i in range(a, b - 1):
-            rest = slice(i + 1, b)
-            # the overlap is at most what either shares with anything, and has to be 75 of 175 of both sizes
-            fits = (cells[rest] != cells[i]) & (classes[rest] != classes[i]) & ((100 + PERCENT) * np.minimum(shared[rest], shared[i]) >= PERCENT * (n[rest] + n[i]))
-            if fits.any():
-                to = np.unique(cells[rest][fits])
-                found.append(np.stack([np.full(len(to), ids[i]), to]))
-                held += len(to)
-        if held > 1 << 20:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-            held = 0
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.Table.from_arrays([pa.array(both[0]), pa.array(both[1])], ["id", "home"])
+        if classes[a] == classes[b - 1]:
+            continue
+        at = a + np.flatnonzero(_partnered(n[a:b], shared[a:b]))
+        pieces = [at[x : x + SHARD] for x in range(0, len(at), SHARD)]
+        for x, low in enumerate(pieces):
+            for high in pieces[x:]:
+                both = cells[low[0]] == cells[low], cells[low[0]] == cells[high]
+                if classes[low[0]] == classes[high[-1]] or both[0].all() and both[1].all():
+                    continue
+                key = hashlib.blake2b(ids[low].tobytes() + b"/" + ids[high].tobytes(), digest_size=8).digest()
+                found[key] = ids[low], None if high is low else ids[high]
+    rows = [(int.from_bytes(key, "little", signed=True), role, x.tolist()) for key, both in found.items() for role, x in zip((MEMBER, VISITOR), both) if x is not None]
+    return _table(rows, "home role ids", pa.int64(), pa.int32(), pa.list_(pa.int64()))
 
 
 def _fetch(size: int):
-    """The sets of the texts that have to go somewhere, one row for each way: (home, role)."""
+    """The sets of the texts that have to go somewhere, one row for each way (hash, id, home, role)."""
 
     def run(texts: pa.Table, ways: pa.Table) -> pa.Table:
         names_of, kinds = "home role id tokens", (pa.int64(), pa.int32(), pa.int64(), pa.binary())
         if not texts.num_rows or not ways.num_rows:
             return _table([], names_of, *kinds)
-        wanted: dict[int, list[tuple]] = {}
-        for i, *way in zip(*(ways.column(c).to_pylist() for c in ("id", "home", "role"))):
-            wanted.setdefault(i, []).append(way)
+        wanted: dict[str, list[tuple]] = {}
+        for h, *way in zip(*(ways.column(c).to_pylist() for c in ("hash", "home", "role", "id"))):
+            wanted.setdefault(h, []).append(way)
         raw, _, names = _texts(texts)
-        ids = _ids(texts, names).tolist()
-        chosen = [k for k, i in enumerate(ids) if i in wanted]
+        chosen = [k for k, h in enumerate(names) if h in wanted]
         rows = []
         for k, s in zip(chosen, token_sets([raw[k] for k in chosen], size)):
             data = s.tobytes()
-            rows += [(*way, ids[k], data) for way in wanted[ids[k]]]
+            rows += [(*way, data) for way in wanted[names[k]]]
         return _table(rows, names_of, *kinds)
 
     return run
@@ -360,8 +376,8 @@ MEMBER, VISITOR, PIVOT = 0, 1, 2
 LINKS = "a long, b long"
 
 
-def links_of(sets: list[np.ndarray], roles: list[int], names: list, classes: list | None = None) -> list[tuple]:
-    """Links that connect what the texts of one cell connect: of members, unless their classes are known, and of visitors to members."""
+def links_of(sets: list[np.ndarray], roles: list[int], names: list, classes: list | None = None, within: bool = False) -> list[tuple]:
+    """Links that connect what the texts of one cell connect: of visitors to members, and of members, unless their classes are known; with ``within`` of members of different ones too."""
     members = [i for i, r in enumerate(roles) if r == MEMBER]
     sizes = np.array([len(sets[i]) for i in members], np.int64)
     tokens = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in members)])
@@ -392,9 +408,9 @@ def links_of(sets: list[np.ndarray], roles: list[int], names: list, classes: lis
                 found.append((names[members[i]], names[members[int(linked[root[linked] == r][0])]]))
                 root[root == r] = root[i]
 
-    if members and classes is None:
+    if members and (classes is None or within):
         join(0, query(sets[members[0]]))
-        largest = np.bincount(root).argmax() if len(members) > 1 else 0
+        largest = int(np.flatnonzero(root == np.bincount(root).argmax())[0])
         for i in range(1, len(members)):
             if root[i] != root[largest]:
                 join(i, query(sets[members[i]]))
@@ -406,13 +422,21 @@ def links_of(sets: list[np.ndarray], roles: list[int], names: list, classes: lis
     return found
 
 
-def _verify(table: pa.Table) -> pa.Table:
+def _links(table: pa.Table, within: bool) -> pa.Table:
     columns = [c for c in ("role", "id", "tokens", "class") if c in table.column_names]
     rows = sorted(zip(*(table.column(c).to_pylist() for c in columns)))
-    found = links_of([np.frombuffer(r[2], np.uint64) for r in rows], [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows] if "class" in columns else None)
+    found = links_of([np.frombuffer(r[2], np.uint64) for r in rows], [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows] if "class" in columns else None, within)
     return _table(found, "a b", pa.int64(), pa.int64())
 
 
+def _verify(table: pa.Table) -> pa.Table:
+    return _links(table, within=False)
+
+
+def _verify_all(table: pa.Table) -> pa.Table:
+    return _links(table, within=True)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of the links (a, b): root is the smallest node that links reach."""
     edges = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
@@ -459,10 +483,11 @@ def _across(probes: DataFrame, cells: DataFrame, found: DataFrame, near: DataFra
         choices = offers.where(F.col("kind") == KEPT).groupBy("block").cogroup(hubs.groupBy("block")).applyInArrow(_choose(parts, last), CHOICES)
         choices = stage(choices, "choices")
         if last:
-            visits = choices.groupBy("part").applyInArrow(_pairs, "id long, home long").distinct()
-        else:
-            visits = choices.where(F.col("kind") == VISIT).select("id", "home")
-        visits = stage(visits, "visits")
+            # lists of two parts with one home are equal, or else all meet there
+            lists = stage(choices.groupBy("part").applyInArrow(_meetings, MEETINGS).distinct(), "meetings")
+            met = lists.select("home", "role", F.explode("ids").alias("id")).join(state.select("id", "class"), "id").join(opened, "id")
+            return stage(found.union(met.groupBy("home").applyInArrow(_verify_all, LINKS)), "found")
+        visits = stage(choices.where(F.col("kind") == VISIT).select("id", "home"), "visits")
         if visits.isEmpty():
             return found
         copies = visits.groupBy("home").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("copies"))
@@ -471,14 +496,42 @@ def _across(probes: DataFrame, cells: DataFrame, found: DataFrame, near: DataFra
         hosts = state.join(copies, state.cell == copies.home).select("id", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("seat"), F.lit(MEMBER).alias("role"), "class")
         met = guests.union(hosts).join(opened, "id").groupBy("home", "seat").applyInArrow(_verify, LINKS)
         found = stage(found.union(met), "found")
-        if last:
-            return found
         left = choices.where(F.col("kind") == LEFT).select("block", "ids", "tokens")
     return found
 
 
-def _classes(docs: DataFrame, dealt: DataFrame, text: Column, blocks: int, parts: int, size: int) -> DataFrame:
+#: Bits of a bitmap for each text in it, up to MOST_BITS; beyond that more texts than those travel.
+BITS, MOST_BITS, BUCKET = 16, 1 << 29, 1 << 15
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """One bit for each of the MD5 hashes, at a place that their first 15 digits say."""
+    size = max(BUCKET, min(MOST_BITS, 1 << (BITS * hashes.count()).bit_length()))
+    spot = F.conv(F.left("hash", F.lit(15)), 16, 10).cast("long") % size
+    # at most MOST_BITS / BUCKET rows of 4 KB
+    rows = hashes.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("spot") % BUCKET).alias("bits")).collect()
+    bits = np.zeros((size // BUCKET, BUCKET // 8), np.uint8)
+    for r in rows:
+        bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def _different(docs: DataFrame, text: Column, blocks: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(hash, text, copies, block) of the texts of a task; with ``wanted`` (hash) of those only and a few others, so that the rest are not shuffled."""
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _collapse(batches):
+            spots = np.array([int(h[:15], 16) for h in batch.column("hash").to_pylist()], np.int64) % (8 * len(shared.value))
+            yield batch.filter(pa.array((shared.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)))
+
+    found = docs.select(text.alias("text")).mapInArrow(_collapse if wanted is None else run, "hash string, text binary, copies long")
+    return found.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
+
+
+def _classes(docs: DataFrame, text: Column, blocks: int, parts: int, size: int) -> DataFrame:
     """(_hash, _shingles, _component, _class) of each different text; it reads one staged table."""
+    dealt = _different(docs, text, blocks).repartition(blocks, "block")
     probes, sets = _matrix(dealt, parts, size)
 
     groups = sets.where("n > 0").groupBy("grp").agg(F.count("*").alias("texts"), F.min("id").alias("pivot"))
@@ -488,10 +541,11 @@ def _classes(docs: DataFrame, dealt: DataFrame, text: Column, blocks: int, parts
         return F.when(F.col("shards") == 1, F.col("grp")).otherwise(F.xxhash64("grp", shard))
 
     seated = stage(sets.where("n > 0").join(groups, "grp").withColumn("cell", cell(F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))), "seated")
-    own = seated.where("texts > 1").select("block", "id", F.col("cell").alias("home"), F.lit(MEMBER).alias("role"))
+    own = seated.where("texts > 1").select("block", "hash", "id", F.col("cell").alias("home"), F.lit(MEMBER).alias("role"))
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    pivots = seated.where("shards > 1 and id = pivot").select("block", "id", "grp", "shards", every).select("block", "id", cell(F.col("shard")).alias("home"), F.lit(PIVOT).alias("role"))
-    fetched = dealt.groupBy("block").cogroup(own.union(pivots).groupBy("block")).applyInArrow(_fetch(size), "home long, role int, id long, tokens binary")
+    pivots = seated.where("shards > 1 and id = pivot").select("block", "hash", "id", "grp", "shards", every).select("block", "hash", "id", cell(F.col("shard")).alias("home"), F.lit(PIVOT).alias("role"))
+    grouped = _different(docs, text, blocks, seated.where("texts > 1").select("hash")).repartition(blocks, "block")
+    fetched = grouped.groupBy("block").cogroup(own.union(pivots).groupBy("block")).applyInArrow(_fetch(size), "home long, role int, id long, tokens binary")
     found = stage(fetched.groupBy("home").applyInArrow(_verify, LINKS), "found")
 
     near = components(found)
@@ -505,7 +559,8 @@ def _classes(docs: DataFrame, dealt: DataFrame, text: Column, blocks: int, parts
         loose = known.join(leading, "grp").where("class != leading").select("grp").distinct()
         again = known.join(loose, "grp", "left_semi").select("hash", "id", "cell")
         if not again.isEmpty():
-            alone = dealt.join(again.drop("cell"), "hash").repartition(blocks, "block")
+            again = stage(again, "again")
+            alone = _different(docs, text, blocks, again).join(again.drop("cell"), "hash").repartition(blocks, "block")
             more, each = _matrix(alone, parts, size)
             cells = each.where("shared > 0").select("id", "block", "n", "shared").join(again.select("id", "cell"), "id")
             found = found.union(_across(more, cells, inner, near, parts))
@@ -528,10 +583,8 @@ def similar_classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks, parts = spread(spark, held, BLOCK_BYTES), spread(spark, held // 12, PART_TOKENS)
-    dealt = docs.select(text.alias("text")).mapInArrow(_collapse, "hash string, text binary, copies long")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     with passing(spark):
-        classes = _classes(docs, dealt, text, blocks, parts, size)
+        classes = _classes(docs, text, blocks, parts, size)
     kept = [c for c in docs.columns if c not in ("n_shingles", "component_id", "class_id")]
     joined = docs.select(*kept, F.md5(text.cast("binary")).alias("_row_hash")).join(classes, F.col("_row_hash") == F.col("_hash"))
     return joined.select(*kept, F.col("_shingles").alias("n_shingles"), F.when(F.col("_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.col("_class").alias("class_id"))
