@@ -135,6 +135,13 @@ def test_article(spark):
     assert links["https://h.org/arquivo.pdf"] == "document" and links["https://h.org/menu"] == "internal"
 
 
+def test_masked_fields_are_computed_once(spark):
+    truth = cases.ground_truth(who=F.upper(F.concat(F.lit("w"), "id")), when=F.lit("2024"), where=F.lit("w"))
+    rows = cases.masked(spark.range(8).select(F.col("id"), truth.alias("truth"), F.lit(2).alias("depth")), "truth", 42, "id", "depth")
+    plan = rows.select("removed_fields", "available")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and plan.count("upper(") == 1
+
+
 def test_masking(spark):
     truth = cases.ground_truth(who=F.lit("Ana"), what=F.lit("Projeto X"), when=F.lit("2026-01-02"), where=F.lit("ana"), unit=F.lit("Ana"))
     row = cases.masked(spark.range(8).select(F.col("id"), truth.alias("truth"), F.lit(2).alias("depth")), "truth", 42, "id", "depth").withColumn("pitch", cases.pitch(F.col("available"))).collect()

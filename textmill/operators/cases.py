@@ -28,12 +28,15 @@ def masked(cases: DataFrame, truth: str, seed: int, key: str, depth: str) -> Dat
 
     Present fields are taken in the order of a hash of seed, id and field until ``depth`` are removed; a field whose
     value equals a removed one goes too. One field is never removed.
+
+    What lambdas read is exploded from an array of one, as it would else be computed for each element of each lambda.
     """
+    once = lambda x: F.explode(F.array(x))
     order = F.array_sort(F.transform(F.filter(F.array(*map(F.lit, FIELDS)), lambda f: (F.try_element_at(truth, f) != "") & (f != NEVER_MASKED)), lambda f: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), f).cast("binary"), 256).alias("h"), f.alias("f"))))
     chosen = F.transform(F.slice(F.col("_order"), F.lit(1), F.col(depth)), lambda x: x["f"])
     gone = F.transform(F.col("_chosen"), lambda f: F.lower(F.try_element_at(truth, f)))
     removed = F.filter(F.array(*map(F.lit, FIELDS)), lambda f: (f != NEVER_MASKED) & (F.try_element_at(truth, f) != "") & F.array_contains(F.col("_gone"), F.lower(F.try_element_at(truth, f))))
-    rows = cases.withColumn("_order", order).withColumn("_chosen", chosen).withColumn("_gone", gone).withColumn("removed_fields", removed)
+    rows = cases.withColumn(truth, once(F.col(truth))).withColumn("_order", order).withColumn("_chosen", chosen).withColumn("_gone", once(gone)).withColumn("removed_fields", once(removed))
     available = F.map_filter(truth, lambda f, v: (v != "") & ~F.array_contains(F.col("removed_fields"), f))
     return rows.withColumns({"available": available, "mask_depth": F.size("removed_fields")}).drop("_order", "_chosen", "_gone")
 
