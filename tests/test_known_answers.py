@@ -179,3 +179,21 @@ def test_fetching(spark):
     with pytest.raises(ValueError):
         readers.select_sources(spark, ["nope"], {}, [])
     assert [r["source_id"] for r in readers.select_sources(spark, ["g", "a"], {"g": ["b", "a"]}, ["a", "b"]).orderBy("position").collect()] == ["b", "a"]
+
+
+def test_partial_ratio_is_the_best_window():
+    pick = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(pick.choices("abc d", k=pick.randint(1, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        assert units.partial_ratio(a, b) == max(units.ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+
+
+def test_settled_labels_are_those_of_all_matches_without_comparing(spark):
+    labels = spark.createDataFrame([("France",), ("Campus france",), ("FRANCE - x",), ("Frnce",), ("zz",), ("",), (None,)], "label string")
+    aliases = spark.createDataFrame([("france", "6"), ("campus france", "6"), ("peru", "17")], "alias_key string, code string")
+    fragments = spark.createDataFrame([("france", "6", 6), ("peru", "17", 17)], "fragment string, code string, ord int")
+    settled = units.settled_units(labels, "label", aliases, fragments)
+    whole = units.match_units(labels, "label", aliases, fragments)
+    assert "label_score" not in settled._jdf.queryExecution().toString()
+    assert {tuple(r) for r in settled.collect()} == {tuple(r) for r in whole.where("status in ('exact_match', 'rule_match')").select("label", "code", "status").collect()} == {("France", "6", "exact_match"), ("Campus france", "6", "exact_match"), ("FRANCE - x", "6", "rule_match")}

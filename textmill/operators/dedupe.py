@@ -57,14 +57,24 @@ def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over the shorter text."""
     if len(a) > len(b):
         a, b = b, a
+    return subsequence_of(places(a), len(a), b)
+
+
+def places(a: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    row = full = (1 << len(a)) - 1
+    return where
+
+
+def subsequence_of(where: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of b and a text of n characters with these :func:`places`."""
+    row = full = (1 << n) - 1
     for c in b:
         hit = row & where.get(c, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
 def indel(a: str | None, b: str | None) -> int:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text
-from .dedupe import common_subsequence
+from ..sources.scratch import stage
+from .dedupe import common_subsequence, places, subsequence_of
 
 APPLY, REVIEW = 94.0, 80.0
 
@@ -21,7 +22,15 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
-    return max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    n, where = len(short), places(short)
+    known = [c in where for c in long]
+    held, best = sum(known[:n]), 0
+    for i in range(len(long) - n + 1):
+        if i:
+            held += known[i + n - 1] - known[i - 1]
+        if held > best:  # not more than the characters that stand in both
+            best = max(best, subsequence_of(where, n, long[i : i + n]))
+    return 200.0 * best / (2 * n)
 
 
 def token_ratio(a: str, b: str, compare=ratio) -> float:
@@ -52,6 +61,22 @@ def label_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b)])
 
 
+def _settled(labels: DataFrame, label: str, aliases: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(label, key, exact_code, rule_code) of each different label."""
+    # few labels by bytes, but work in UDFs for each: as many tasks as there are cores
+    named = labels.select(F.col(label).alias("label")).distinct().repartition(labels.sparkSession.sparkContext.defaultParallelism, "label").withColumn("key", text.comparison_key(F.col("label")))
+    exact = named.join(F.broadcast(aliases), F.col("key") == F.col("alias_key"), "left").select("label", "key", F.col("code").alias("exact_code"))  # the dimension is a fixed list
+    exact = stage(exact, "exact-labels")
+    held = exact.where("exact_code is null and key <> ''").join(F.broadcast(fragments), F.contains("key", "fragment")).groupBy("label").agg(F.min_by("code", "ord").alias("rule_code"))
+    return exact.join(held, "label", "left")
+
+
+def settled_units(labels: DataFrame, label: str, aliases: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(label, code, status) of the labels that :func:`match_units` settles by keys and fragments; none is compared with the aliases."""
+    rows = _settled(labels, label, aliases, fragments).where("exact_code is not null or rule_code is not null")
+    return rows.select("label", F.coalesce("exact_code", "rule_code").alias("code"), F.when(F.col("exact_code").isNotNull(), "exact_match").otherwise("rule_match").alias("status"))
+
+
 def match_units(labels: DataFrame, label: str, aliases: DataFrame, fragments: DataFrame) -> DataFrame:
     """(label, code, status, score) for each different label.
 
@@ -59,11 +84,8 @@ def match_units(labels: DataFrame, label: str, aliases: DataFrame, fragments: Da
     first fragment that the key holds, then the most alike alias: applied from APPLY on, for review from REVIEW on.
     Only different labels that neither rule settles are compared with the aliases, so the UDF sees few rows.
     """
-    named = labels.select(F.col(label).alias("label")).distinct().withColumn("key", text.comparison_key(F.col("label")))
-    exact = named.join(F.broadcast(aliases), F.col("key") == F.col("alias_key"), "left").select("label", "key", F.col("code").alias("exact_code"))  # the dimension is a fixed list
-    held = exact.where("exact_code is null and key <> ''").join(F.broadcast(fragments), F.contains("key", "fragment")).groupBy("label").agg(F.min_by("code", "ord").alias("rule_code"))
-    ruled = exact.join(held, "label", "left")
-    open_ = ruled.where("exact_code is null and rule_code is null and key <> ''").select("label", "key")
+    ruled = stage(_settled(labels, label, aliases, fragments), "settled-labels")
+    open_ = ruled.where("exact_code is null and rule_code is null and key <> ''").select("label", "key").repartition(labels.sparkSession.sparkContext.defaultParallelism, "label")
     scored = open_.crossJoin(F.broadcast(aliases)).withColumn("score", F.round(label_score("key", "alias_key"), 2))
     best = scored.groupBy("label").agg(F.max(F.struct("score", F.col("alias_key").alias("alias"), "code")).alias("m")).select("label", "m.score", F.col("m.code").alias("fuzzy_code"))
     rows = ruled.join(best, "label", "left")
