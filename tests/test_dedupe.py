@@ -57,6 +57,49 @@ def test_bounded_similarity_is_the_plain_one():
         assert dedupe.indel_from(a, b, 90) == (plain if plain >= 90 else 0)
 
 
+def test_a_family_of_near_copies_is_connected_by_few_comparisons(monkeypatch):
+    pick = random.Random(5)
+    plain, unlike = ["".join(pick.choices("abcdefgh ", k=300)) for _ in range(2)]
+    edited = lambda x: "".join(pick.choice("abcdefgh ") if pick.random() < 0.03 else c for c in x)
+    bodies = {i: edited(plain) for i in range(60)} | {60 + i: edited(unlike) for i in range(10)} | {70: "", 71: ""}
+    pairs = [(a, b, a % 3 == 0, 95 + b % 5) for a, b in combinations(bodies, 2)]
+    asked, whole = [], dedupe.common_subsequence
+    monkeypatch.setattr(dedupe, "common_subsequence", lambda a, b: asked.append(1) or whole(a, b))
+    found = dedupe.linked_bodies(pairs, bodies)
+    assert len(asked) < len(pairs) / 3
+    monkeypatch.undo()
+
+    def summary(links):
+        parent, best = {}, {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b, *_ in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        for a, _, alike, score in links:
+            best[root(a), alike] = max(best.get((root(a), alike), 0), score)
+        return {x: root(x) for x in bodies}, best
+
+    every = [(a, b, alike, t if alike else s) for a, b, alike, t in pairs if (s := dedupe.indel(bodies[a], bodies[b])) >= 90]
+    for alike in (True, False):
+        of = lambda links: summary([x for x in links if x[2] == alike])
+        assert of(found) == of(every)
+    assert summary(found) == summary(every) and len(found) < len(every) / 3
+
+
+def test_large_blocks_of_bodies_meet_in_cells(spark, monkeypatch):
+    bodies = [(i, "the same long words of a body " * 5 + str(i % 7)) for i in range(30)] + [(30, "quite another 4567 " * 20)]
+    met = spark.createDataFrame([(a, b, False, 0, "one") for a, b in combinations(range(31), 2)], "a long, b long, alike boolean, title_score int, block string")
+    rows = spark.createDataFrame(bodies, "node long, body string")
+    for cell in (256, 4):
+        monkeypatch.setattr(dedupe, "BODY_CELL", cell)
+        links = dedupe.body_links(met, rows).select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").collect()
+        assert roots(spark.createDataFrame(links)) == {(i, 0) for i in range(30)} and max(r["score"] for r in links) == 100
+
+
 def test_titles_alone_make_candidates(spark):
     from textmill.plans.dedupe_queries import candidate_keys
 
