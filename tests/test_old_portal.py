@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textmill.operators import html, old_portal
+from textmill.operators import html, listings, old_portal
 from textmill.operators.old_portal import Portal
 
 PORTAL = Portal("inst", "instituto de ensino")
@@ -77,3 +77,33 @@ def test_blocks_and_deep_pages():
     assert len(found) == old_portal.BEST and [b["id"] for b in found[:3]] == ["b29", "b59", "b28"] and found[0]["paragraphs"] == 1 and found[0]["chars"] == 31
     deep = old_portal.layout("<div class='content'>" * 5000 + "text")
     assert len(deep.below(deep.nodes[0])) == 5000 and html.matches(old_portal.candidates(deep)[0], ".content") and deep.text(deep.nodes[0]) == "text"
+
+
+def test_trees_are_freed_and_lines_are_those_of_the_layout():
+    import gc
+
+    pages = [None, "", "<p>one\n two<script>x</script><p>three <b>four</b> &amp; five<svg><p>six</p></svg>" * 20, PAGE]
+    gc.collect()
+    gc.disable()
+    try:
+        for p in pages:
+            assert old_portal.lines_of(p) == old_portal.layout(p or "").lines
+        gc.collect()
+        for p in pages:
+            old_portal.lines_of(p), old_portal.parse(p, "", ""), old_portal.blocks_of(p), listings.anchors_of(p)
+        assert not [x for x in gc.get_objects() if isinstance(x, html.Node)]
+    finally:
+        gc.enable()
+
+
+def test_anchors_of_one_large_box_come_in_portions(monkeypatch):
+    monkeypatch.setattr(listings, "PORTION", 1000)
+    found = listings.anchors_of("<li>" + "<a href='/x'>some words</a> " * 50 + "</li>")
+    parts = list(listings._portions((0, i, a) for i, a in enumerate(found)))
+    assert len(parts) == 25 and [i for p in parts for _, i, _ in p] == list(range(50))
+
+
+def test_keys_of_lines_are_made_once(spark):
+    """The plan of a scan holds one key of lines, not one for each test of a line."""
+    plan = spark.createDataFrame([(["a"], "a")], "l array<string>, t string").select(old_portal.line_scan(F.col("l"), F.col("t"), PORTAL).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[^a-z0-9À-ÿ]+") == 2

@@ -7,10 +7,12 @@ what their labels say and which of several anchors of one address stays are colu
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import dates, links, text, urls
 from . import html
@@ -21,6 +23,8 @@ NAVIGATION_HINTS = ["breadcrumb", "footer", "menu", "nav", "pagin", "pagination"
 IMAGE_ATTRIBUTES = ["src", "data-src", "data-lazy-src", "data-original"]
 SUMMARY_NAMES, DATE_NAMES = "excerpt|resumo|summary|descricao|description", "date|data|posted|published"
 CONTEXT_LEVELS, BOX_LEVELS = 5, 7
+#: Characters of anchors that a task holds as objects; bounds memory only.
+PORTION = 1 << 22
 LABEL = r"(?i)^(\d{1,2}\s+[A-Za-zÀ-ÿ]{3,})\s*-\s*Publicado por\s+(.+)$"
 LOOSE_DATE = r"(?i)\b(?:\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\s+de\s+[A-Za-zÀ-ÿ]+(?:\s+de\s+\d{4})?|\d{1,2}\s+[A-Za-zÀ-ÿ]{3,})\b"
 
@@ -78,14 +82,10 @@ def anchors_of(page: str | None) -> list[dict]:
         labels = [n.text(), n.attrs.get("title", ""), n.attrs.get("aria-label", "")] + ([picture.attrs.get("alt", ""), picture.attrs.get("title", "")] if picture else [])
         label = next((" ".join(x.split()) for x in labels if x.strip()), "")
         found.append({"href": n.attrs["href"], "label": label, "navigation": _hinted(near, NAVIGATION_HINTS), "inside": _hinted(near, ARTICLE_HINTS), **boxes[id(box)]})
+    html.free(builder.root)
     return found
 
 
-@F.pandas_udf(ArrayType(ANCHOR))
-def anchors(pages: pd.Series) -> pd.Series:
-    return pages.map(anchors_of)
-
-
 def split_label(label: Column, publishers: list[str]) -> Column:
     """(title, date_label, publisher) of ``10 Out - Publicado por UNIT TITLE``; other labels are all title.
 
@@ -107,9 +107,35 @@ def split_label(label: Column, publishers: list[str]) -> Column:
 FIELDS = ["label", "title", "summary", "date_label", "publisher", "image"]
 
 
+def _portions(found: Iterable[tuple[int, int, dict]]) -> Iterator[list[tuple[int, int, dict]]]:
+    """Anchors in lists of about PORTION characters, one at least: each has the text of its box, which many may share."""
+    part, size = [], 0
+    for one in found:
+        part.append(one)
+        size += 200 + len(one[2]["visible"]) + sum(map(len, one[2]["summaries"]))
+        if size > PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def anchor_rows(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row for each anchor of a page that leads somewhere, with what stands around it."""
-    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(anchors(F.col(page))).alias("position", "a")).select(key, "base", "position", "a.*")
+    held = pages.select(key, F.col(url).alias("base"), F.col(page).alias("_page"))
+    schema = StructType([held.schema[key], held.schema["base"], StructField("position", IntegerType()), *ANCHOR.fields])
+    arrow, kind = to_arrow_schema(schema), to_arrow_type(ANCHOR)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = ((i, batch.column(2)[i].as_py()) for i in range(batch.num_rows))
+            for part in _portions((i, place, a) for i, p in pages for place, a in enumerate(anchors_of(p))):
+                at = pa.array([i for i, _, _ in part], pa.int32())
+                said = pa.array([a for _, _, a in part], kind).flatten()
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([x for _, x, _ in part], pa.int32()), *said]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    rows = held.mapInArrow(read, schema)
     return rows.withColumn("address", urls.resolve(F.col("href"), F.col("base"))).where("address is not null")
 
 

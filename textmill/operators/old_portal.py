@@ -18,7 +18,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -147,6 +147,10 @@ def _pieces(children: list) -> Iterator[html.Node | str]:
         yield "".join(run)
 
 
+def _lines(words: str) -> list[str]:
+    return [line for raw in words.splitlines() if (line := " ".join(raw.split()))]
+
+
 def documentary(href: str, label: str) -> bool:
     said = f"{href} {label}"
     key, low = key_of(said), said.lower()
@@ -163,7 +167,7 @@ def layout(page: str) -> Layout:
     while pending:
         item, entering = pending.pop()
         if isinstance(item, str):
-            found.lines += [line for raw in item.splitlines() if (line := " ".join(raw.split()))]
+            found.lines += _lines(item)
         elif entering:
             if item.tag in HIDDEN:
                 continue
@@ -260,6 +264,7 @@ def parse(page: str | None, listed: str | None, name: str) -> dict:
     node, score = content(found, listed or "", name)
     empty = {"title": "", "node": None, "score": None, "lines": found.lines, "blocks": [], "inside": [], "documents": []}
     if node is None:
+        html.free(found.nodes[0])
         return empty
     below = found.below(node)
     heads = [n for n in below if _marked(n) or n.tag in ("h1", "h2", "h3")]
@@ -270,16 +275,18 @@ def parse(page: str | None, listed: str | None, name: str) -> dict:
     blocks = [found.block(n) for n in below if n.tag in BLOCK_TAGS and (id(n) not in marked or id(n.parent) not in marked)]
     links = [{"href": n.attrs["href"], "text": found.text(n)} for n in below if n.tag == "a" and "href" in n.attrs]
     first, last = found.spans[id(node)]
-    return {**empty, "title": found.text(heads[0]) if heads else "", "node": _described(node), "score": score, "blocks": blocks, "inside": found.lines[first:last], "documents": [x for x in links if documentary(x["href"], x["text"])]}
+    described = _described(node)
+    html.free(found.nodes[0])
+    return {**empty, "title": found.text(heads[0]) if heads else "", "node": described, "score": score, "blocks": blocks, "inside": found.lines[first:last], "documents": [x for x in links if documentary(x["href"], x["text"])]}
 
 
 def portal_page(page: Column, listed: Column, portal: Portal) -> Column:
     """Title, blocks, lines and links to documents of the node that holds the article, and all lines of the page."""
     name = portal.name
 
-    @F.pandas_udf(PAGE)
-    def parsed(pages: pd.Series, titles: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(p, t, name) for p, t in zip(pages, titles)], columns=PAGE.names)
+    @F.arrow_udf(PAGE)
+    def parsed(pages: pa.Array, titles: pa.Array) -> pa.Array:
+        return html.in_pieces(PAGE, lambda p, t: parse(p, t, name), pages, titles)
 
     return parsed(page, listed)
 
@@ -291,21 +298,40 @@ def blocks_of(page: str | None) -> list[dict]:
     """The candidates of most characters, at most BEST; the first of equals first."""
     found = layout(page or "")
     sized = ((found.chars(n)[1] - found.chars(n)[0], -i, n) for i, n in enumerate(candidates(found, near_title=False)))
-    return [
+    best = [
         {"selector": _described(n), "tag": n.tag, "id": n.attrs.get("id", ""), "classes": n.attrs.get("class", ""), "chars": chars, "words": found.words(n), "paragraphs": found.counts[id(n)][0], "links": found.counts[id(n)][1], "preview": found.whole[slice(*found.chars(n))][:240]}
         for chars, _, n in heapq.nlargest(BEST, sized, key=lambda x: x[:2])
     ]
+    html.free(found.nodes[0])
+    return best
+
+
+@F.arrow_udf(ArrayType(BLOCK))
+def content_blocks(pages: pa.Array) -> pa.Array:
+    return html.in_pieces(ArrayType(BLOCK), blocks_of, pages)
 
 
-@F.pandas_udf(ArrayType(BLOCK))
-def content_blocks(pages: pd.Series) -> pd.Series:
-    return pages.map(blocks_of)
+def lines_of(page: str | None) -> list[str]:
+    """The lines of :func:`layout` alone."""
+    builder = html.TreeBuilder()
+    builder.feed(page or "")
+    builder.close()
+    found: list[str] = []
+    pending: list[html.Node | str] = [builder.root]
+    while pending:
+        item = pending.pop()
+        if isinstance(item, str):
+            found += _lines(item)
+        elif item.tag not in HIDDEN:
+            pending += reversed(list(_pieces(item.children)))
+    html.free(builder.root)
+    return found
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def lines(pages: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def lines(pages: pa.Array) -> pa.Array:
     """The lines of text of a page, hidden elements left out."""
-    return pages.map(lambda p: layout(p or "").lines)
+    return html.in_pieces(ArrayType(StringType()), lines_of, pages)
 
 
 # What a line is.
@@ -320,14 +346,15 @@ def _own(line: Column, longest: int, words: int) -> Column:
     return F.contains(line, F.lit("/")) & (F.length(line) <= longest) & (F.size(F.split(F.trim(line), r"\s+")) <= words)
 
 
-def author_line(line: Column, portal: Portal) -> Column:
-    key = text.text_key(line)
+def author_line(line: Column, portal: Portal, key: Column | None = None) -> Column:
+    """Tests on lines take the line's key too, where it is there already: in a lambda nothing is computed once by itself."""
+    key = text.text_key(line) if key is None else key
     return ~F.startswith(key, F.lit(OFF_LINE)) & (key.rlike(r"\b(ascom|assessoria|comunica)") | (F.contains(key, F.lit(portal.word)) & _own(line, 140, 10)))
 
 
-def strict_author_line(line: Column, portal: Portal) -> Column:
+def strict_author_line(line: Column, portal: Portal, key: Column | None = None) -> Column:
     """As in a diagnosis: whole words, accents as they stand, a shorter line."""
-    key = spoken_key(line)
+    key = spoken_key(line) if key is None else key
     return ~F.startswith(key, F.lit(OFF_LINE)) & (key.rlike(r"(?U)\b(ascom|assessoria|comunicacao|comunicação)\b") | (key.rlike(rf"(?U)\b{re.escape(portal.word)}\b") & _own(line, 120, 8)))
 
 
@@ -337,16 +364,16 @@ def publisher_of(author: Column) -> Column:
     return F.when(F.contains(text.text_key(author), F.lit(HEAD_OFFICE)), HEAD_OFFICE.capitalize()).when(campus != "", text.normalize_space(F.concat(F.lit("Campus "), campus))).otherwise("")
 
 
-def document_heading(line: Column) -> Column:
-    return text.text_key(line).isin(DOCUMENT_HEADINGS) | F.rtrim(F.lower(line), F.lit(".")).rlike("(" + "|".join(map(re.escape, DOCUMENT_ENDINGS)) + ")$")
+def document_heading(line: Column, key: Column | None = None) -> Column:
+    return (text.text_key(line) if key is None else key).isin(DOCUMENT_HEADINGS) | F.rtrim(F.lower(line), F.lit(".")).rlike("(" + "|".join(map(re.escape, DOCUMENT_ENDINGS)) + ")$")
 
 
 def document_title(line: Column) -> Column:
     return F.lower(line).rlike(r"\.(pdf|docx?|xlsx?)$|^(edital |instrucao normativa|instrução normativa)")
 
 
-def crumb(line: Column) -> Column:
-    return text.text_key(line).isin(CRUMBS) | F.startswith(F.trim(line), F.lit(">>"))
+def crumb(line: Column, key: Column | None = None) -> Column:
+    return (text.text_key(line) if key is None else key).isin(CRUMBS) | F.startswith(F.trim(line), F.lit(">>"))
 
 
 def bad_title(title: Column, portal: Portal) -> Column:
@@ -374,7 +401,16 @@ def _from(rows: Column, start: Column) -> Column:
 
 def _before(rows: Column, end: Column) -> Column:
     """The lines before a place; all if it is 0."""
-    return F.when(end > 0, F.slice(rows, F.lit(1), (end - 1).cast("int"))).otherwise(rows)
+    return text.let(end, lambda e: F.when(e > 0, F.slice(rows, F.lit(1), (e - 1).cast("int"))).otherwise(rows))
+
+
+def _keyed(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """Lines with their keys, so that no test makes them again."""
+    return F.transform(rows, lambda x: F.struct(x.alias("line"), key(x).alias("key")))
+
+
+def _bare(keyed: Column) -> Column:
+    return F.transform(keyed, lambda x: x["line"])
 
 
 def line_scan(rows: Column, title: Column, portal: Portal) -> Column:
@@ -383,12 +419,11 @@ def line_scan(rows: Column, title: Column, portal: Portal) -> Column:
     The title is the first line with its key, else the first that holds it. The body ends at the menu of the foot, at the
     documents and at the title of a document; the first author line is no part of it. Without a title there is no body.
     """
-    key = spoken_key(title)
-    exact, held = _first(rows, lambda x: spoken_key(x) == key), _first(rows, lambda x: F.contains(spoken_key(x), key))
-    start = F.when(key == "", 0).when(exact > 0, exact).otherwise(held)
-    ends = lambda x: spoken_key(x).isin([*ENDS, *DOCUMENT_HEADINGS]) | document_title(x)
-    after = text.let(start, lambda s: F.when(s > 0, _from(rows, s + 1)).otherwise(F.array().cast("array<string>")))
-    found = text.let(after, lambda a: _before(a, _first(a, ends)))
+    ends = lambda x: x["key"].isin([*ENDS, *DOCUMENT_HEADINGS]) | document_title(x["line"])
+
+    def after(said: Column, key: Column) -> Column:
+        place = text.let(_first(said, lambda x: x["key"] == key), lambda exact: F.when(key == "", 0).when(exact > 0, exact).otherwise(_first(said, lambda x: F.contains(x["key"], key))))
+        return text.let(place, lambda s: F.when(s > 0, _from(said, s + 1)).otherwise(F.slice(said, 1, 0)))
 
     def fields(author: Column, body: Column) -> Column:
         dated = F.when(body == "", F.array_join(rows, "\n")).otherwise(body)
@@ -396,20 +431,23 @@ def line_scan(rows: Column, title: Column, portal: Portal) -> Column:
 
     def parted(held: Column, place: Column) -> Column:
         rest = F.when(place > 0, F.concat(F.slice(held, F.lit(1), (place - 1).cast("int")), _from(held, place + 1))).otherwise(held)
-        author = F.when(place > 0, F.try_element_at(held, place.cast("int"))).otherwise("")
-        return text.let(F.array_join(rest, "\n\n"), lambda body: fields(author, body))
+        author = F.when(place > 0, F.try_element_at(held, place.cast("int"))["line"]).otherwise("")
+        return text.let(F.array_join(_bare(rest), "\n\n"), lambda body: fields(author, body))
 
-    return text.let(found, lambda held: text.let(_first(held, lambda x: strict_author_line(x, portal)), lambda place: parted(held, place)))
+    def scanned(found: Column) -> Column:
+        held = text.let(found, lambda a: _before(a, _first(a, ends)))
+        return text.let(held, lambda h: text.let(_first(h, lambda x: strict_author_line(x["line"], portal, x["key"])), lambda place: parted(h, place)))
 
+    return text.let(F.struct(_keyed(rows, spoken_key).alias("said"), spoken_key(title).alias("key")), lambda v: scanned(after(v["said"], v["key"])))
 
-def body_lines(rows: Column, title: Column, portal: Portal, ends: list[str]) -> Column:
-    """The lines between the title and the documents or the foot, without crumbs, author lines and repeats of the title."""
-    key = text.text_key(title)
-    start = _first(rows, lambda x: text.text_key(x) == key)
-    after = text.let(start, lambda s: F.when(key == "", rows).when(s > 0, _from(rows, s + 1)).otherwise(F.array().cast("array<string>")))
-    over = lambda x: document_heading(x) | text.text_key(x).isin(ends)
-    kept = text.let(after, lambda a: _before(a, _first(a, lambda x: over(x) & ~crumb(x))))
-    return F.filter(kept, lambda x: (text.text_key(x) != key) & ~crumb(x) & ~author_line(x, portal))
+
+def body_lines(keyed: Column, key: Column, portal: Portal, ends: list[str]) -> Column:
+    """The lines between the title and the documents or the foot, without crumbs, author lines and repeats of the title; of lines with their keys, and the title's key."""
+    start = _first(keyed, lambda x: x["key"] == key)
+    after = text.let(start, lambda s: F.when(key == "", keyed).when(s > 0, _from(keyed, s + 1)).otherwise(F.slice(keyed, 1, 0)))
+    over = lambda x: (document_heading(x["line"], x["key"]) | x["key"].isin(ends)) & ~crumb(x["line"], x["key"])
+    kept = text.let(after, lambda a: _before(a, _first(a, over)))
+    return _bare(F.filter(kept, lambda x: (x["key"] != key) & ~crumb(x["line"], x["key"]) & ~author_line(x["line"], portal, x["key"])))
 
 
 def articles(pages: DataFrame, portal: Portal, key: str = "page_id", page: str = "html", listed: str = "listed_title") -> DataFrame:
@@ -421,17 +459,19 @@ def articles(pages: DataFrame, portal: Portal, key: str = "page_id", page: str =
     rows = pages.select(key, text.collapse(F.col(listed)).alias("listed"), portal_page(F.col(page), F.col(listed), portal).alias("p"))
     own = F.when(bad_title(F.col("p.title"), portal) & (F.col("listed") != ""), F.col("listed")).otherwise(F.col("p.title"))
     rows = rows.withColumn("title", F.when(F.col("p.node").isNull(), F.col("listed")).otherwise(own))
-    open_ = lambda x: (x != "") & (x != F.col("title")) & ~crumb(x)
-    rows = rows.withColumn("open", F.filter("p.blocks", open_))
-    rows = rows.withColumn("open", _before(F.col("open"), _first(F.col("open"), document_heading)))
-    rows = rows.withColumn("author", F.coalesce(F.try_element_at(F.filter("open", lambda x: author_line(x, portal)), F.lit(-1)), F.lit("")))
-    rows = rows.withColumn("blocks", F.filter("open", lambda x: ~author_line(x, portal)))
-    inside = lambda ends: body_lines(F.col("p.inside"), F.col("title"), portal, ends)
+    rows = rows.withColumns({"title_key": text.text_key(F.col("title")), "inside": _keyed(F.col("p.inside"), text.text_key), "shown": _keyed(F.col("p.blocks"), text.text_key)})
+    open_ = lambda x: (x["line"] != "") & (x["line"] != F.col("title")) & ~crumb(x["line"], x["key"])
+    rows = rows.withColumn("open", text.let(F.filter("shown", open_), lambda o: _before(o, _first(o, lambda x: document_heading(x["line"], x["key"])))))
+    by = lambda x: author_line(x["line"], portal, x["key"])
+    rows = rows.withColumn("author", F.coalesce(F.try_element_at(F.filter("open", by), F.lit(-1))["line"], F.lit("")))
+    rows = rows.withColumn("blocks", _bare(F.filter("open", lambda x: ~by(x))))
+    inside = lambda ends: body_lines(F.col("inside"), F.col("title_key"), portal, ends)
     rows = rows.withColumn("first", text.clean_body(F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(inside(ENDS))))
     rows = rows.withColumn("second", F.when(text.word_count(F.col("first")) < LEAST_BODY, text.clean_body(inside([*ENDS, *MORE_ENDS]))).otherwise(""))
     rows = rows.withColumn("body", F.when(text.word_count(F.col("second")) > text.word_count(F.col("first")), F.col("second")).otherwise(F.col("first")))
-    title_key = text.text_key(F.col("title"))
-    place = _first(F.col("p.inside"), lambda x: F.contains(text.text_key(x), title_key) | (F.contains(title_key, text.text_key(x)) & (text.text_key(x) != "")))
+    title_key = F.col("title_key")
+    rows = rows.withColumn("place", _first(F.col("inside"), lambda x: F.contains(x["key"], title_key) | (F.contains(title_key, x["key"]) & (x["key"] != ""))))
+    place = F.col("place")
     near = F.array_join(F.when(place > 0, F.slice("p.inside", place.cast("int"), F.lit(8))).otherwise(F.slice("p.inside", F.lit(1), F.lit(12))), " ")
     dated = F.concat_ws(" ", "title", "body", "author", near)
     return rows.select(key, "title", "body", text.word_count(F.col("body")).alias("words"), first_of(dated, PORTAL_DATES).alias("date_label"), "author", publisher_of(F.col("author")).alias("publisher"), F.size("p.documents").alias("documents"), F.coalesce("p.node", F.lit("")).alias("node"))
