@@ -154,3 +154,33 @@ def test_generic_titles_need_the_date_or_the_body(spark):
     want = {(i, root(i)) for i in parent if any(root(i) == root(j) for j in parent if j != i)}
     assert roots(found) == want and {n for n, _ in want} == {1, 2, 3, 4, 6, 7, 8, 9, 10, 11}
     assert root(1) == root(3) == root(4) != root(2) and root(2) == root(11)
+
+
+def test_alike_keys_meet_by_segments(spark):
+    """Against all pairs, with edits at the ends and between the segments; and few places are asked for."""
+    pick = random.Random(9)
+    keys = []
+    for _ in range(25):
+        base = "".join(pick.choices("abcdef ", k=pick.randint(20, 130)))
+        keys.append(base)
+        for _ in range(4):
+            x = list(base)
+            for _ in range(pick.randint(1, 7)):
+                at = pick.randint(0, len(x) - 1)
+                x[at : at + pick.randint(0, 1)] = pick.choice(["", "z", "ab"])
+            keys.append("".join(x))
+    df = spark.createDataFrame([(k,) for k in keys], "t string")
+    found = {(r["a"], r["b"], r["distance"]) for r in dedupe.near_keys(df, "t").collect()}
+    every = spark.createDataFrame([(a, b) for a, b in combinations(sorted(set(keys)), 2)], "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    want = {tuple(r) for r in every.where("d <= floor(greatest(length(a), length(b)) * 5 / 100)").collect()}
+    assert found == want and len(want) > 25
+    one = spark.createDataFrame([(1, "abcdefghij" * 12, 120)], "id long, t string, n int")
+    plan = dedupe.segments_met(one, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "x_id" in plan and " b#" not in plan
+
+
+def test_pairs_of_one_key_are_not_shuffled(spark):
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("k"))
+    found = dedupe.blocked_pairs(rows, F.array("k"), single=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan and sorted(map(tuple, found.collect())) == sorted(map(tuple, dedupe.blocked_pairs(rows, F.array("k")).collect()))

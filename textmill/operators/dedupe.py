@@ -36,11 +36,12 @@ def exact_edges(df: DataFrame, key_of: dict[str, tuple[Column, float]], node: st
     return found
 
 
-def blocked_pairs(df: DataFrame, keys: Column, node: str = "doc_id", largest: int | None = None) -> DataFrame:
+def blocked_pairs(df: DataFrame, keys: Column, node: str = "doc_id", largest: int | None = None, single: bool = False) -> DataFrame:
     """Different pairs (a, b), a < b, of rows that share one of an array of block keys.
 
     Large blocks are dealt into cells of about CELL rows, and each two cells meet in a task of their own. Only with
-    ``largest`` are blocks above it left out; see :func:`oversized_blocks`.
+    ``largest`` are blocks above it left out; see :func:`oversized_blocks`. ``single`` says that each node is in one row
+    of one key, so no pair is met twice and pairs are not shuffled.
     """
     keyed = df.select(F.col(node).alias("node"), F.explode(F.array_distinct(keys)).alias("block")).where("block <> ''")
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1" if largest is None else f"n between 2 and {largest}")
@@ -49,7 +50,8 @@ def blocked_pairs(df: DataFrame, keys: Column, node: str = "doc_id", largest: in
     low = placed.select("block", F.col("own").alias("low"), F.explode(F.sequence("own", F.col("cells") - 1)).alias("high"), F.col("node").alias("x"))
     high = placed.select("block", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("low"), F.col("own").alias("high"), F.col("node").alias("y"))
     met = low.join(high, ["block", "low", "high"]).where("x < y or low < high and x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs if single else pairs.distinct()
 
 
 def oversized_blocks(df: DataFrame, keys: Column, largest: int = LARGEST_BLOCK) -> DataFrame:
@@ -318,19 +320,33 @@ def near_keys(keys: DataFrame, key: str, percent: int = 5) -> DataFrame:
     """(a, b, distance): all pairs of different keys, a < b, whose edit distance is at most ``percent`` of the longer one.
 
     No block and no cross join: of a key cut into one segment more than edits are allowed, one segment is untouched, and
-    stands in the other key no farther off than that. So keys meet by (length, edits allowed, segment number, segment).
+    stands in the other key about where it was. So keys meet by (length, edits allowed, segment number, segment).
+    """
+    once = stage(keys.select(F.col(key).alias("t"), F.length(key).alias("n")).where("n > 0").distinct().withColumn("id", F.monotonically_increasing_id()), "near-keys")
+    met = segments_met(once, percent)
+    side = lambda s: once.select(F.col("id").alias(f"{s}_id"), F.col("t").alias(s))
+    both = met.join(side("x"), "x_id").join(side("y"), "y_id").withColumn("distance", F.levenshtein("x", "y")).where("distance <= k")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
+def segments_met(texts: DataFrame, percent: int) -> DataFrame:
+    """Different (x_id, y_id, k) of texts (id, t, n) that share a segment; only numbers are shuffled.
+
+    Of k + 1 segments and k edits at most there is an untouched one, say number i from 0, with exactly i edits before it:
+    so it stands i places off at most, and, counted from the ends of both texts, k - i at most.
     """
-    texts = keys.select(F.col(key).alias("t"), F.length(key).alias("n")).where("n > 0").distinct()
     allowed = lambda n: F.floor(n * percent / 100).cast("int")
     edge = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
     meet = lambda n, k, i, s: F.xxhash64(n, k, i, s)
     longest = F.floor(F.col("n") * 100 / (100 - percent)).cast("int")
     held = texts.withColumn("k", F.explode(F.sequence(allowed(F.col("n")), allowed(longest)))).where("k > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     start, stop = edge(F.col("i"), F.col("n"), F.col("k")), edge(F.col("i") + 1, F.col("n"), F.col("k"))
-    held = held.select(F.col("t").alias("a"), meet(F.col("n"), F.col("k"), F.col("i"), F.substr("t", start + 1, stop - start)).alias("meet"))
+    held = held.select(F.col("id").alias("x_id"), meet(F.col("n"), F.col("k"), F.col("i"), F.substr("t", start + 1, stop - start)).alias("meet"))
     asked = texts.withColumn("k", allowed(F.col("n"))).where("k > 0").withColumn("m", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     asked = asked.withColumn("start", edge(F.col("i"), F.col("m"), F.col("k"))).withColumn("size", edge(F.col("i") + 1, F.col("m"), F.col("k")) - F.col("start"))
-    asked = asked.withColumn("at", F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(0)), F.col("start") + F.col("k")))).where("at + size <= n")
-    asked = asked.select(F.col("t").alias("b"), "k", meet(F.col("m"), F.col("k"), F.col("i"), F.substr("t", F.col("at") + 1, F.col("size"))).alias("meet"))
-    both = held.join(asked, "meet").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
-    return both.withColumn("distance", F.levenshtein("a", "b")).where("distance <= k").select("a", "b", "distance")
+    more, after = F.col("n") - F.col("m"), F.col("k") - F.col("i")
+    first, last = F.greatest(F.col("start") - F.col("i"), F.col("start") + more - after, F.lit(0)), F.least(F.col("start") + F.col("i"), F.col("start") + more + after, F.col("n") - F.col("size"))
+    asked = asked.withColumn("at", F.explode(F.when(first <= last, F.sequence(first, last))))
+    asked = asked.select(F.col("id").alias("y_id"), "k", meet(F.col("m"), F.col("k"), F.col("i"), F.substr("t", F.col("at") + 1, F.col("size"))).alias("meet"))
+    # of two texts of one length each asks for the other: one of the two is enough
+    return held.join(asked, "meet").where("x_id <> y_id").groupBy(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).agg(F.max("k").alias("k"))

@@ -178,7 +178,7 @@ def _pairs(block: str, bound: str = "> 1") -> str:
 def j10_bucket_pairs(spark, sf_dir):
     """Pairs that share the year and the beginning of the title."""
     key = F.concat_ws("|", F.left("published", F.lit(4)), F.left("title_key", F.lit(12)))
-    return dedupe.blocked_pairs(keyed(spark, sf_dir).where("title_key <> ''"), F.array(key))
+    return dedupe.blocked_pairs(keyed(spark, sf_dir).where("title_key <> ''"), F.array(key), single=True)
 
 
 @query(_pairs("list_distinct(['title:' || left(title_key, 24), 'year_title:' || left(published, 4) || '|' || left(title_key, 18), CASE WHEN len(string_split(title_key, ' ')) >= 4 THEN 'tokens:' || array_to_string(string_split(title_key, ' ')[1:5], ' ') END])", "BETWEEN 2 AND 350"))
