@@ -73,3 +73,43 @@ def test_changed_files_are_found(spark, tmp_path, feed):
     spark.createDataFrame([(*rows[0][:2], rows[0]["canonical"].replace("1", "2"), *rows[0][3:])], store.cases().schema).write.mode("append").parquet(f"{store.path}/cases/batch=9")
     with pytest.raises(Exception, match="corrupt checkpoint of case_0001"):
         store.records().collect()
+
+
+def test_a_commit_reads_a_record_once_and_keeps_no_state(spark, tmp_path, feed):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    store = open_store(spark, tmp_path)
+    store.commit(feed(*((i, record(f"case_{i % 5:04d}", i % 2)) for i in range(40)), (40, "{")).select("position", counted("record").alias("record")), strict=False)
+    assert seen.value == 41
+    assert not list(tmp_path.glob("store/*/state"))
+    assert sorted(r["position"] for r in store.conflicts().collect()) == [i for i in range(40) if i % 2 != i % 5 % 2]
+    assert [r["position"] for r in store.corrupt().collect()] == [40]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path, feed):
+    store = open_store(spark, tmp_path)
+    store.commit(feed((1, record("case_0001", 1)), (2, record("case_0002", 1))))
+    more = feed((0, record("case_0001", 2)), (3, record("case_0003", 1)), (4, record("case_0003", 2)), (5, "{"))
+    store.commit(more, strict=False)
+    told = lambda: (sorted(map(tuple, store.cases().collect())), store.corrupt().collect())
+    before = told()
+    # as after a failure before the batch was marked as done
+    for at in [*tmp_path.glob("store/*/commits/1"), *tmp_path.glob("store/*/commits/.1.crc")]:
+        at.unlink()
+    store.commit(more, strict=False)
+    assert told() == before
+    # the record saved first stays, though another one has a smaller position
+    assert [(r["case_id"], r["position"]) for r in store.conflicts().orderBy("case_id").collect()] == [("case_0001", 0), ("case_0003", 4)]
+
+
+def test_records_of_one_position_are_one_case(spark, tmp_path, feed):
+    store = open_store(spark, tmp_path)
+    store.commit(feed((1, record("case_0001", 1)), (1, record("case_0001", 1)), (None, record("case_0001", 1)), (None, record("case_0002", 1)), (None, record("case_0002", 1))))
+    assert [(r["case_id"], r["position"]) for r in store.cases().orderBy("case_id").collect()] == [("case_0001", 1), ("case_0002", None)]

@@ -5,22 +5,20 @@ texts. One whose content a case has already, in whatever order of keys, changes
 case is a conflict; one that is no JSON object, has no case or no valid case id is corrupt. Conflicts and corrupt records
 are kept as tables of their own and are an error of :meth:`CheckpointStore.commit`.
 
-State by case is the digest of its record. Batches are written under their number, so one that is repeated after a
-failure replaces itself, and a later call goes on where the last one ended.
+A batch is joined with the digests of what is saved, so no state is kept beside the store and no case passes through one
+task. Batches are written under their number and meet earlier ones only, so one that is repeated after a failure replaces
+itself, and a later call goes on where the last one ended.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from .events import drain
+from ..sources.scratch import stage
 
 CASE_ID = r"^case_\d{4,}$"
 SAVED, CONFLICT = "saved", "conflict"
@@ -43,33 +41,22 @@ class DuplicateCheckpointError(CheckpointError):
 
 
 def checked(records: DataFrame) -> DataFrame:
-    """``records`` (position, record) with case_id, the canonical record, its digest, and what is wrong with it."""
-    parsed = F.try_parse_json("record")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-    case_id = F.try_variant_get(parsed, "$.case.case_id", "string")
-    reason = (
-        F.when(parsed.isNull(), "no JSON").when(~F.coalesce(F.startswith(kind("$"), F.lit("OBJECT")), F.lit(False)), "no object")
-        .when(~F.coalesce(F.startswith(kind("$.case"), F.lit("OBJECT")), F.lit(False)), "no case").when(~F.coalesce(case_id.rlike(CASE_ID), F.lit(False)), "invalid case_id")
-    )
-    canonical = F.to_json(parsed)  # keys of objects are sorted
-    return records.select("position", "record", case_id.alias("case_id"), canonical.alias("canonical"), F.sha2(canonical, 256).alias("digest"), reason.alias("reason"))
-
-
-def _follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first record of a case is saved, by position where a batch has several; others with another digest are conflicts."""
-    held = state.get[0] if state.exists else None
-    rows = []
-    for part in parts:
-        # what equals the record that is saved already goes at once
-        rows.append(part if held is None else part[part["digest"] != held])
-    rows = pd.concat(rows).sort_values("position")
-    if held is None and len(rows):
-        held = rows["digest"].iloc[0]
-        state.update((held,))
-        yield rows.head(1).assign(status=SAVED)[["case_id", "position", "canonical", "digest", "status"]]
-    rows = rows[rows["digest"] != held]
-    if len(rows):
-        yield rows.assign(status=CONFLICT)[["case_id", "position", "canonical", "digest", "status"]]
+    """``records`` (position, record) with case_id, the canonical record, and what is wrong with it; the text itself is kept of wrong ones only."""
+    kind = lambda path: F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("parsed", path, "variant")), F.lit("OBJECT")), F.lit(False))
+    # each step is a column of its own, so that a record is parsed once
+    parsed = records.select("position", "record", F.try_parse_json("record").alias("parsed"))
+    found = parsed.select("position", "record", "parsed", F.try_variant_get("parsed", "$.case.case_id", "string").alias("case_id"))
+    # only an object with an object as case has an id, so the kinds of the others alone are looked up
+    wrong = F.when(F.col("parsed").isNull(), "no JSON").when(~kind("$"), "no object").when(~kind("$.case"), "no case").otherwise("invalid case_id")
+    told = found.select("position", "record", "parsed", "case_id", F.when(~F.coalesce(F.col("case_id").rlike(CASE_ID), F.lit(False)), wrong).alias("reason"))
+    valid = F.col("reason").isNull()
+    canonical = F.when(valid, F.to_json("parsed"))  # keys of objects are sorted
+    return told.select("position", F.when(~valid, F.col("record")).alias("record"), "case_id", canonical.alias("canonical"), "reason")
+
+
+def _told(rows: DataFrame, status: str) -> DataFrame:
+    """Rows of the table of cases; digests are computed here, so that they are not shuffled."""
+    return rows.select("case_id", "position", "canonical", F.sha2("canonical", 256).alias("digest"), F.lit(status).alias("status"))
 
 
 @dataclass
@@ -91,12 +78,30 @@ class CheckpointStore:
             spark.createDataFrame([(json.dumps({"fingerprint": fingerprint, "digest": digest}),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
         return cls(spark, path)
 
+    def _saved(self) -> DataFrame:
+        """(case_id, held, batch): the digests of saved cases."""
+        return self.cases().where(F.col("status") == SAVED).select("case_id", F.col("digest").alias("held"), "batch")
+
+    def _batch(self, batch: DataFrame, batch_id: int) -> None:
+        """The first record of a case is saved, by position where a batch has several; others with another digest are conflicts."""
+        # records are parsed once, and read several times
+        rows = stage(checked(batch), "checked")
+        valid = rows.where("reason is null").select("case_id", "position", "canonical")
+        first = valid.groupBy("case_id").agg(F.min(F.struct(F.col("position").isNull(), "position", "canonical")).alias("first")).select("case_id", "first.position", "first.canonical")
+        if batch_id:
+            first = first.join(self._saved().where(F.col("batch") < batch_id), "case_id", "left_anti")
+        part = f"{self.path}/cases/batch={batch_id}"
+        _told(first, SAVED).write.mode("overwrite").parquet(part)
+        # what equals the record that is saved goes; rows of a case stand together, so that their digests compress
+        held = self._saved().where(F.col("batch") <= batch_id).drop("batch")
+        other = valid.join(held, "case_id").where(F.sha2("canonical", 256) != F.col("held")).sortWithinPartitions("case_id")
+        _told(other, CONFLICT).write.mode("append").parquet(part)
+        rows.where("reason is not null").select("position", "record", "reason").write.mode("overwrite").parquet(f"{self.path}/corrupt/batch={batch_id}")
+
     def commit(self, records: DataFrame, strict: bool = True) -> None:
         """Takes in what a stream of records (position long, record string) has beyond the last call; with ``strict`` conflicts and corrupt records are errors."""
-        rows = checked(records)
-        held = rows.where("reason is null").select("case_id", "position", "canonical", "digest")
-        drain(held.groupBy("case_id").applyInPandasWithState(_follow, "case_id string, position long, canonical string, digest string, status string", "digest string", "append", "NoTimeout"), "append", f"{self.path}/state", f"{self.path}/cases")
-        drain(rows.where("reason is not null").select("position", "record", "reason"), "append", f"{self.path}/read", f"{self.path}/corrupt")
+        run = records.writeStream.option("checkpointLocation", f"{self.path}/read").trigger(availableNow=True).foreachBatch(self._batch).start()
+        run.awaitTermination()
         if strict:
             if bad := self.corrupt().orderBy("position").limit(3).collect():
                 raise CheckpointCorruptionError("; ".join(f"record {r['position']}: {r['reason']}" for r in bad))
