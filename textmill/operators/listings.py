@@ -67,7 +67,7 @@ def anchors_of(page: str | None) -> list[dict]:
     if not page:
         return []
     builder = html.TreeBuilder()
-    builder.feed(page)
+    builder.feed(html.closed_references(page))
     builder.close()
     boxes: dict[int, dict] = {}
     found = []

@@ -5,7 +5,8 @@ all nodes (characters, paragraphs, links to documents, whether title, dates or m
 prefix sums and sorted places and not from a walk for each node. What a line is (title, author, heading of the documents,
 crumb) and where the body ends are column expressions over the lines.
 
-Null and empty pages give empty lines and empty fields. A page without a node that scores above 0 has no content. Of
+Null and empty pages give empty lines and empty fields. A reference without its semicolon, as where a text was cut, is text,
+but ``&amp``. A page without a node that scores above 0 has no content. Of
 nodes with equal scores the first candidate counts. Titles are compared by their key; an empty title begins at the top.
 """
 
@@ -159,7 +160,7 @@ def documentary(href: str, label: str) -> bool:
 
 def layout(page: str) -> Layout:
     builder = html.TreeBuilder()
-    builder.feed(page)
+    builder.feed(html.closed_references(page))
     builder.close()
     found = Layout()
     open_at: dict[int, tuple[int, int]] = {}
@@ -314,7 +315,7 @@ def content_blocks(pages: pa.Array) -> pa.Array:
 def lines_of(page: str | None) -> list[str]:
     """The lines of :func:`layout` alone."""
     builder = html.TreeBuilder()
-    builder.feed(page or "")
+    builder.feed(html.closed_references(page or ""))
     builder.close()
     found: list[str] = []
     pending: list[html.Node | str] = [builder.root]
