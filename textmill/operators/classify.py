@@ -73,21 +73,31 @@ class Classifier:
 
 
 def compare(train_rows: DataFrame, test_rows: DataFrame, text: str, label: str, vocabulary: int | None = None) -> dict[str, DataFrame]:
-    """(label, predicted) of the test rows by each of :data:`MODELS`. Models with the same features share what was fitted."""
+    """(label, predicted) of the test rows by each of :data:`MODELS`. Models with the same features share them: texts are read once for what is fitted and once for what is made of it."""
     found, held = {}, {}
     for name in MODELS:
         projected = name.startswith("embedding")
         if projected not in held:
-            held[projected] = TextFeatures.fit(train_rows, text, projected, vocabulary)
-        classifier = train(train_rows, text, label, name, vocabulary, held[projected])
-        found[name] = stage(classifier.predict(test_rows.select(label, text), text).select(label, "predicted"), name)
+            features = TextFeatures.fit(train_rows, text, projected, vocabulary)
+            labels, ready = _ready(train_rows, text, label, features, name)
+            asked = stage(features.transform(test_rows.select(label, text), text).withColumn("weight", F.lit(1.0)), f"{name}-test")
+            held[projected] = features, labels, ready, asked
+        features, labels, ready, asked = held[projected]
+        classifier = Classifier(features, labels, _classifier(name).fit(ready))
+        predicted = classifier.model.transform(asked.withColumnRenamed(label, "_label")).select(F.col("_label").alias(label), classifier.name(F.col("prediction")).alias("predicted"))
+        found[name] = stage(predicted, name)
     return found
 
 
+def _ready(df: DataFrame, text: str, label: str, features: TextFeatures, name: str) -> tuple[list[str], DataFrame]:
+    """The labels in order, and (label, weight, features) of the rows."""
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # one row for each class
+    numbered = balanced(df.select(label, text), label).withColumn("label", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double"))
+    return labels, stage(features.transform(numbered, text).select("label", "weight", "features"), f"{name}-train")
+
+
 def train(df: DataFrame, text: str, label: str, name: str, vocabulary: int | None = None, features: TextFeatures | None = None) -> Classifier:
     """The model ``name`` fitted to the rows; ``features`` that are fitted already are used as they are."""
     features = features or TextFeatures.fit(df, text, name.startswith("embedding"), vocabulary)
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # one row for each class
-    numbered = balanced(df.select(label, text), label).withColumn("label", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double"))
-    ready = stage(features.transform(numbered, text).select("label", "weight", "features"), f"{name}-train")
+    labels, ready = _ready(df, text, label, features, name)
     return Classifier(features, labels, _classifier(name).fit(ready))
